@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import minhash, sharding
+from skyledger.llm import embed_dedup, minhash, sharding
 from skyledger.llm.common import table
 
 
@@ -23,5 +23,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding, "op7_minhash": op7_minhash}
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.links(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
+    "op7_minhash": op7_minhash,
+    "op9_embeddings": op9_embeddings,
+}
 ORACLES: dict[str, str] = {}
