@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import embed_dedup, minhash, sharding
+from skyledger.llm import cdc_dedup, embed_dedup, minhash, sharding
 from skyledger.llm.common import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cdc_dedup.deduplicated(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    cut = F.aggregate("cdc.spans", F.lit(0), lambda s, x: s + x["stop"] - x["start"])
+    return found.select(
+        "doc_id", F.size("cdc.spans").alias("n_cuts"), F.col("cdc.words").alias("removed_words"), cut.alias("removed_bytes"),
+        F.col("cdc.spans").alias("spans"), "text",
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.documents_sharded(table(spark, sf_dir, "documents", ["doc_id", "text"]), 24)
     return placed.select(
@@ -31,6 +40,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_sharding": op2_sharding,
     "op7_minhash": op7_minhash,
     "op9_embeddings": op9_embeddings,
