@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import cdc_dedup, embed_dedup, minhash, sharding
+from skyledger.llm import cdc_dedup, decontam, embed_dedup, minhash, sharding
 from skyledger.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -42,6 +47,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_sharding": op2_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op9_embeddings": op9_embeddings,
 }
