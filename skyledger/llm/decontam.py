@@ -40,75 +40,74 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 59, 63]] = True
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, values): each token's placeholder or its word's hash, and the hash of the word that stands there."""
-    data = textnum.as_bytes(text)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    inside = textnum.WORD_BYTE[data]
+def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, values, where each text's tokens begin and at last the end) of some texts.
+
+    A token is a placeholder or its word's hash; its value is the hash of the word that stands there.
+    """
+    parts = [(t or "").encode("utf-8", "replace") for t in texts]
+    lower = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    # Where a letter changes its length in lower case, that text is read in ASCII lower case.
+    lower = [low if len(low) == len(part) else part.lower() for low, part in zip(lower, parts)]
+    data, begins = textnum.joined(parts)
+    low, _ = textnum.joined(lower)
     digit = _DIGIT[data]
     # Points and commas between digits belong to the number.
-    mark = (data == 46) | (data == 44)
-    mark[1:-1] &= digit[:-2] & digit[2:]
-    mark[[0, -1]] = False
-    starts, ends = textnum.spans(data, inside | mark)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    low = textnum.as_bytes(text.lower())
-    if len(low) == len(data):
-        values = textnum.span_hashes(low, starts, ends)
-    else:  # a few letters change their length in lower case
-        raw = data.tobytes()
-        values = np.array([textnum.word_hashes(raw[a:b].decode("utf-8", "replace").replace(".", "").replace(",", ""))[0] for a, b in zip(starts, ends)], np.uint64)
+    mark = np.zeros(len(data), bool)
+    mark[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
+    starts, ends = textnum.spans(data, textnum.WORD_BYTE[data] | mark)
+    first = np.searchsorted(starts, begins)
+    values = textnum.span_hashes(low, starts, ends)
     tokens = values.copy()
+    if not len(starts):
+        return tokens, values, first
     numeric = digit[starts]
     tokens[numeric] = NUMBER
-    at = np.searchsorted(_UNIT_HASHES, values).clip(max=len(_UNIT_HASHES) - 1)
-    unit = _UNIT_HASHES[at] == values
-    unit[0] = False
-    unit[1:] &= numeric[:-1]
-    tokens[unit] = UNIT
+    after = np.flatnonzero(numeric[:-1]) + 1
+    at = np.searchsorted(_UNIT_HASHES, values[after]).clip(max=len(_UNIT_HASHES) - 1)
+    tokens[after[_UNIT_HASHES[at] == values[after]]] = UNIT
     # A capital letter inside a sentence: no full stop, colon, question mark or line end since the word before.
-    capital = (data[starts] >= 65) & (data[starts] <= 90)
-    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
-    opens = np.ones(len(starts), bool)
-    opens[1:] = stops[starts[1:]] > stops[ends[:-1]]
-    # A text in capitals has no names to tell.
-    shout = (ends - starts > 1) & capital & (data[np.minimum(starts + 1, len(data) - 1)] >= 65) & (data[np.minimum(starts + 1, len(data) - 1)] <= 90)
-    tokens[capital & ~opens & ~shout & ~numeric] = NAME
-    return tokens, values
-
-
-def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
-    return textnum.windows(tokens, size).view(np.int64)
+    # Words all in capitals are no names.
+    capital = np.flatnonzero((data[starts[1:]] - 65 < 26) & (data[np.minimum(starts[1:] + 1, len(data) - 1)] - 65 >= 26)) + 1
+    stops = np.flatnonzero(_STOP[data])
+    same = np.searchsorted(stops, starts[capital]) == np.searchsorted(stops, ends[capital - 1])
+    tokens[capital[same]] = NAME
+    return tokens, values, first
 
 
 def _rows(ids: list, texts: list, size: int, wanted: np.ndarray | None) -> Iterator[dict]:
-    """Windows of texts: id, hash, place, number of windows, slot values, literal words."""
-    for id_, text in zip(ids, texts):
-        tokens, values = canonical(text)
-        if not len(tokens):
-            continue
-        found = _windows(tokens, size)
-        if wanted is None:
-            hit = np.arange(len(found))
-        elif len(wanted):
-            at = np.searchsorted(wanted, found)
-            hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == found)
-        else:
-            continue
-        for k in hit.tolist():
-            stretch = slice(k, k + size)
-            slots = np.flatnonzero(tokens[stretch] <= UNIT)
-            yield {"id": id_, "window": int(found[k]), "place": k, "n_windows": len(found), "n_tokens": len(tokens),
-                   "slots": (slots + k).tolist(), "values": values[stretch][slots].view(np.int64).tolist()}
+    """Windows of texts: id, hash, place, number of tokens, slots and the values there."""
+    at = 0
+    for group in textnum.groups(texts):
+        tokens, values, first = canonical(group)
+        short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
+        found = [(k, int(first[k]), textnum.windows(tokens[first[k] : first[k + 1]], size).view(np.int64)) for k in short.tolist()]
+        if wanted is not None:
+            found = [x for x in found if np.isin(x[2], wanted).any()]
+        if len(tokens) >= size:
+            all_ = textnum.windows(tokens, size).view(np.int64)
+            if wanted is None:
+                hit = np.arange(len(all_))
+            elif len(wanted):
+                hit = np.flatnonzero(wanted[np.searchsorted(wanted, all_).clip(max=len(wanted) - 1)] == all_)
+            else:
+                hit = np.zeros(0, np.int64)
+            text = np.searchsorted(first, hit, side="right") - 1
+            inside = hit + size <= first[text + 1]  # windows over two texts are none
+            found += [(k, p, all_[p : p + 1]) for k, p in zip(text[inside].tolist(), hit[inside].tolist())]
+        for k, p, window in found:
+            begin, end = int(first[k]), int(first[k + 1])
+            slots = np.flatnonzero(tokens[p : min(p + size, end)] <= UNIT) + p
+            yield {"id": ids[at + k], "window": int(window[0]), "place": p - begin, "n_tokens": end - begin,
+                   "slots": (slots - begin).tolist(), "values": values[slots].view(np.int64).tolist()}
+        at += len(group)
 
 
 _KIND = pa.schema(
-    [("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("n_windows", pa.int32()), ("n_tokens", pa.int32()),
+    [("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int32()),
      ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.int64()))]
 )
-_SQL = "id long, window long, place int, n_windows int, n_tokens int, slots array<int>, values array<bigint>"
+_SQL = "id long, window long, place int, n_tokens int, slots array<int>, values array<bigint>"
 
 
 def windows(texts: DataFrame, id_col: str, text_col: str, wanted: np.ndarray | None = None, size: int = WINDOW) -> DataFrame:

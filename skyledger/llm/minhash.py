@@ -114,8 +114,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCH
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 nodes, marks = [], []
-                for text in part.column(2).to_pylist():
-                    hashes = textnum.word_hashes(text)
+                for hashes in textnum.word_hashes_of(part.column(2).to_pylist()):
                     nodes.append(hashlib.md5(hashes.tobytes()).digest() if len(hashes) else None)
                     marks.append(sketch(hashes, sketches, picks, words))
                 columns = [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]

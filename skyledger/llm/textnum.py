@@ -61,6 +61,34 @@ def word_hashes(text: str | None) -> np.ndarray:
     return span_hashes(data, *spans(data)) if len(data) else np.zeros(0, np.uint64)
 
 
+def groups(texts: list, limit: int = 200_000) -> list[list]:
+    """``texts`` in order, in lists of about ``limit`` characters, so that one numpy call serves many short texts."""
+    out, size = [[]], 0
+    for text in texts:
+        if out[-1] and size + len(text or "") > limit:
+            out.append([])
+            size = 0
+        out[-1].append(text)
+        size += len(text or "")
+    return out
+
+
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the parts with a line end after each, where each part starts and at last the end)."""
+    sizes = np.array([0, *(len(p) + 1 for p in parts)])
+    return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), np.cumsum(sizes)
+
+
+def word_hashes_of(texts: list) -> list[np.ndarray]:
+    """word_hashes of each text, made together."""
+    out = []
+    for group in groups(texts):
+        data, begins = joined([(t or "").lower().encode("utf-8", "replace") for t in group])
+        starts, ends = spans(data)
+        out += np.split(span_hashes(data, starts, ends), np.searchsorted(starts, begins[1:-1]))
+    return out
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words; of all words together if there are fewer, of none if there is none."""
     size = min(size, len(words))
