@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import cdc_dedup, decontam, embed_dedup, minhash, sharding
-from skyledger.llm.common import table
+from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, minhash, sharding
+from skyledger.llm.common import fold, table
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    profiles = langid.learned(docs.where(fold("doc_id", 4) != 2), "text", "lang", F.col("doc_id"))
+    found = langid.identified(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return found.withColumnRenamed("id", "doc_id")
@@ -47,6 +54,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_sharding": op2_sharding,
+    "op3_language": op3_language,
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op9_embeddings": op9_embeddings,
