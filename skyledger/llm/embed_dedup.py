@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm import textnum
+from skyledger.llm import blocks, textnum
 from skyledger.llm.common import components, written
 
 COSINE = 0.98
@@ -29,7 +29,6 @@ COSINE = 0.98
 WIDTH = 1.0
 #: Share of projections on which orthogonal unit vectors agree at that width.
 FAR = 0.2709
-BLOCK = 512
 
 
 def _agreement(distance: float, width: float) -> float:
@@ -98,22 +97,17 @@ def hashed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, k:
 
 
 def _compared(rows: DataFrame, cosine: float) -> DataFrame:
-    """(node, links, root) of each node of each pair of blocks that has links there. rows are sorted by their pair of blocks."""
+    """(node, links, root) of each node of each pair of blocks that has links there."""
 
-    def block(t: pa.Table) -> tuple | None:
-        nodes, sides = t.column("node").to_pylist(), t.column("side").to_numpy()
-        vectors = np.stack(t.column("vector").to_numpy())
-        keys = np.stack(t.column("keys").to_numpy())
+    def kernel(t: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        vectors, keys = np.stack(t.column("vector").to_numpy()), np.stack(t.column("keys").to_numpy())
         copies, bucket = t.column("copies").to_numpy(), t.column("bucket")[0].as_py()
-        one_block = not sides.any()
-        a, b = (np.arange(len(nodes)),) * 2 if one_block else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
-        if not len(a) or not len(b):
-            return None
         i, j = np.nonzero(vectors[a] @ vectors[b].T >= cosine)
+        one_block = a is b
         i, j = a[i], b[j]
         if one_block:
             i, j = i[i < j], j[i < j]
-        links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        links, label = np.zeros(len(vectors), np.int64), np.arange(len(vectors))
         for lo in range(0, len(i), 100_000):
             x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
             first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == bucket  # a pair counts in the first table where it meets
@@ -127,29 +121,11 @@ def _compared(rows: DataFrame, cosine: float) -> DataFrame:
             if (low == label).all():
                 break
             label = low
-        hit = np.zeros(len(nodes), bool)
-        hit[i] = hit[j] = True
-        return [nodes[x] for x in np.flatnonzero(hit)], links[hit], [nodes[x] for x in label[hit]]
+        hit = np.unique(np.concatenate([i, j]))
+        nodes = t.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(hit)), pa.array(links[hit]), nodes.take(pa.array(label[hit]))], ["node", "links", "root"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def out(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for nodes, links, roots in found:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links), pa.array(roots, pa.binary())], ["node", "links", "root"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            key = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            starts = [0, *cuts.tolist()]
-            yield from out([x for s, e in zip(starts, starts[1:]) if e - s > 1 and (x := block(held.slice(s, e - s)))])
-            held = held.slice(starts[-1])
-        if held is not None and held.num_rows > 1 and (x := block(held)):
-            yield from out([x])
-
-    return rows.mapInArrow(run, "node binary, links long, root binary")
+    return blocks.arranged(rows).mapInArrow(lambda batches: blocks.each(batches, kernel), "node binary, links long, root binary")
 
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE,
@@ -169,13 +145,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     nodes = written(nodes, "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
     sizes = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "bucket", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side")
-    )
-    dealt = written(dealt, "dealt").join(nodes.select("node", "copies", "vector", "keys"), "node")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = written(blocks.dealt(members.join(sizes, "bucket")), "dealt").join(nodes.select("node", "copies", "vector", "keys"), "node")
     found = written(_compared(dealt, cosine), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select("node", "root"), "node", "root").select(F.col("id").alias("node"), "component")

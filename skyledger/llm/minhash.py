@@ -6,10 +6,11 @@ which they stand, so two texts share a sketch the likelier the smaller their edi
 are candidates; a banded alignment of their words decides: near-duplicates have an edit similarity
 1 - distance / longer length of 0.8 or more. Linked texts form classes, named by their smallest doc_id.
 
-Hot groups: equal texts become one text before anything else. In a sketch's bucket members are compared with
-representatives only, never in all pairs: first with the smallest one; buckets that still hold members of different
-classes go on with the smallest of each of 8, 64, 512 ... slices, until they hold one class or every member has been a
-representative. So no pair of a bucket is given up, and a group of near copies costs one row for each member.
+Hot groups: equal texts become one text before anything else. A bucket's members are first aligned with its smallest
+member only, so a group of near copies costs one row for each member. Buckets that then still hold several classes
+mostly come of passages that unlike texts share. Their members are compared across classes, in blocks, by counts of
+words that bound the distance from below, and what the bound can't tell apart is aligned: of any two classes first the
+four likeliest pairs, then 32 times as many, until they are one class or have no pair left. So no pair is given up.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm import textnum
+from skyledger.llm import blocks, textnum
 from skyledger.llm.common import components, written
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 20
-PICKS = 2
+SKETCHES = 24
+PICKS = 3
+#: Diagonals of the band that is tried before a wider one.
+NARROW = 24
+#: Bins of a text's word counts.
+BINS = 256
 
 
 def sketch(hashes: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS, words: int = WORDS, seed: int = 1) -> np.ndarray:
@@ -88,39 +93,76 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
     return d
 
 
-def similar(a: str | None, b: str | None, similarity: float = SIMILARITY) -> bool:
-    """Whether two texts have an edit similarity of words of at least ``similarity``."""
-    x, y = textnum.word_hashes(a), textnum.word_hashes(b)
+def wide_distance(a: list, b: list, most: int) -> int | None:
+    """Edit distance of two sequences for wide bands: columns of differences as bits of long integers; None beyond ``most``."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = every, 0, len(a)
+    for left, x in zip(range(len(b) - 1, -1, -1), b):
+        equal = at.get(x, 0)
+        level = equal | down
+        cross = ((equal & up) + up ^ up) | equal
+        plus, minus = down | (every & ~(cross | up)), up & cross
+        if plus & last:
+            score += 1
+        elif minus & last:
+            score -= 1
+        if score - left > most:
+            return None
+        plus, minus = plus << 1 & every | 1, minus << 1 & every
+        up, down = minus | (every & ~(level | plus)), plus & level
+    return score if score <= most else None
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two texts, given their words' hashes, have an edit similarity of at least ``similarity``."""
     longer = max(len(x), len(y))
     if not longer:
         return False
     most = int(longer * (1 - similarity) + 1e-9)
     if abs(len(x) - len(y)) > most:
         return False
-    # Words in common bound the distance from below, at a fraction of the alignment's cost.
-    values, counts = np.unique(x, return_counts=True)
-    others, theirs = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
-    if longer - int(np.minimum(counts[i], theirs[j]).sum()) > most:
+    # Equal words at either end cost nothing; the rest's words in common bound the distance from below.
+    shorter = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:shorter] != y[:shorter])
+    lo = int(unlike[0]) if len(unlike) else shorter
+    unlike = np.flatnonzero(x[::-1][: shorter - lo] != y[::-1][: shorter - lo])
+    hi = int(unlike[0]) if len(unlike) else shorter - lo
+    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    if max(len(x), len(y)) <= most:
+        return True
+    both = np.concatenate([x, y])
+    order = np.argsort(both, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+    ones = np.add.reduceat((order < len(x)).astype(np.int64), edge)
+    common = int(np.minimum(ones, np.diff(np.append(edge, len(both))) - ones).sum())
+    if max(len(x), len(y)) - common > most:
         return False
-    return edit_distance(x.tolist(), y.tolist(), most) is not None
+    x, y = x.tolist(), y.tolist()
+    if edit_distance(x, y, min(most, NARROW)) is not None:
+        return True
+    return most > NARROW and wide_distance(x, y, most) is not None
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCHES, picks: int = PICKS, words: int = WORDS) -> DataFrame:
-    """(id, text_key, node, marks) of every row. node: md5 of the words' hashes, null for texts without words."""
+    """(id, text_key, node, n_words, bins, marks) of every row. node: md5 of the words' hashes, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                nodes, marks = [], []
+                nodes, marks, sizes, bins = [], [], [], []
                 for hashes in textnum.word_hashes_of(part.column(2).to_pylist()):
                     nodes.append(hashlib.md5(hashes.tobytes()).digest() if len(hashes) else None)
                     marks.append(sketch(hashes, sketches, picks, words))
-                columns = [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "node", "marks"])
+                    sizes.append(len(hashes))
+                    bins.append(counted(hashes))
+                columns = [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "node", "n_words", "bins", "marks"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, node binary, marks array<bigint>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, node binary, n_words int, bins binary, marks array<bigint>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,21 +171,84 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. texts: (node, text)."""
+    """The pairs (a, b) whose texts are similar. texts: (node, text, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(k) for k in range(4))
-            keep = pa.array([similar(x[k].as_py(), y[k].as_py(), similarity) for k in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(keep)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                x, y = (textnum.word_hashes_of(part.column(k).to_pylist()) for k in (2, 3))
+                keep = pa.array([similar(*pair, similarity) for pair in zip(x, y)], pa.bool_())
+                yield part.select(["a", "b"]).filter(keep)
 
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # Both sides of each join are written tables, so that a representative of very many members can be split.
-    joined = written(pairs, "pairs").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
     )
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and their components with those of ``found``."""
+    found = written(found, "links")
+    if found.isEmpty():
+        return links, labels
+    links = written(links.union(found), "links")
+    return links, components(links)
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets of three or more that still hold different classes, with their class."""
+    named = members.where("size > 2").select("bucket", "node", "size").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    named = named.withColumn("label", F.coalesce("component", "node")).drop("component")
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return written(named.join(several.select("bucket"), "bucket"), "open")
+
+
+def counted(hashes: np.ndarray) -> bytes:
+    """How many words fall in each of ``BINS`` bins, by hash; counts over 255 stay 255."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _across(open_: DataFrame, texts: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Pairs (a, b, more) of unlike classes in a bucket that may be similar; more: their classes have further pairs.
+
+    Every edit changes the words' bin counts by two at most, so half the difference of two texts' counts is a lower
+    bound of their distance. It leaves very few pairs of texts that only share a passage. Of each two classes that meet
+    in a pair of blocks, the ``most`` pairs of the lowest bound are returned.
+    """
+
+    def kernel(t: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        words = t.column("n_words").to_numpy().astype(np.int64)
+        _, label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)
+        found = []
+        for x in a.tolist():
+            y = b[b > x] if a is b else b
+            y = y[label[y] != label[x]]
+            longer = np.maximum(words[y], words[x])
+            bound = np.maximum(np.abs(bins[y] - bins[x]).sum(axis=1) // 2, np.abs(words[y] - words[x]))
+            fits = bound <= longer * (1 - similarity) + 1e-9
+            found.append(np.stack([np.full(fits.sum(), x), y[fits], bound[fits]]))
+        pairs = np.concatenate(found, axis=1)
+        if not pairs.shape[1]:
+            return None
+        low, high = np.sort(label[pairs[:2]], axis=0)
+        order = np.lexsort((pairs[2], high, low))
+        pairs, classes = pairs[:, order], (low * len(label) + high)[order]
+        nth = textnum.occurrence(classes)
+        kept = nth < most
+        more = np.isin(classes, classes[~kept])
+        nodes = t.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [nodes.take(pa.array(pairs[0][kept])), nodes.take(pa.array(pairs[1][kept])), pa.array(more[kept])], ["a", "b", "more"]
+        )
+
+    rows = written(blocks.dealt(open_), "dealt").join(texts.select("node", "n_words", "bins"), "node")
+    return blocks.arranged(rows).mapInArrow(lambda batches: blocks.each(batches, kernel), "a binary, b binary, more boolean")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
             sketches: int = SKETCHES, picks: int = PICKS, words: int = WORDS) -> DataFrame:
     """One row for each row of ``docs``: id, text_key (xxhash64 of the text), class_id (smallest id of its class).
@@ -156,37 +261,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     rows = written(sketched(docs, id_col, text_col, sketches, picks, words), "sketches")
     distinct = rows.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("id", "text_key")).alias("first"), F.first("marks").alias("marks")
+        F.min(F.struct("id", "text_key")).alias("first"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("marks").alias("marks")
     )
-    distinct = written(distinct.select("node", "first.id", "first.text_key", "marks"), "texts")
+    distinct = written(distinct.select("node", "first.id", "first.text_key", "n_words", "bins", "marks"), "texts")
     members = distinct.select("node", F.explode("marks").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).where("size > 1")
-    members = written(members.join(written(buckets, "buckets"), "bucket"), "members")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).where("size > 1")
+    members = written(members.join(written(sizes, "buckets"), "bucket"), "members")
     # Only texts that share a bucket are read again, each by one of its rows.
     wanted = members.select("node").distinct().join(distinct.select("node", "id", "text_key"), "node")
     wanted = wanted.select("node", F.coalesce("id", F.lit(-1)).alias("key"), "text_key")
     found = _keyed(docs, id_col, text_col).withColumn("key", F.coalesce("id", F.lit(-1))).join(wanted, ["key", "text_key"])
-    texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "candidates")
+    found = found.groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(found.join(distinct.select("node", "n_words", "bins"), "node"), "candidates")
 
-    pairs = members.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     links = written(_verified(pairs, texts, similarity), "links")
-    labels, slices = components(links), 1
+    labels, most = components(links), 4
     while True:
-        named = members.where("size > 2").join(labels.withColumnRenamed("id", "node"), "node", "left")
-        named = named.select("bucket", "node", "size", F.coalesce("component", "node").alias("label"))
-        several = named.where(F.col("size") > slices).groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        still = written(named.join(several.where("low <> high").select("bucket"), "bucket"), "open")
-        if still.isEmpty():
+        pairs = written(_across(_open(members, labels), texts, similarity, most), "across")
+        links, labels = _more(links, labels, _verified(pairs.select("a", "b"), texts, similarity))
+        if pairs.where("more").isEmpty():
             break
-        slices *= 8
-        # With as many slices as members, every member is a representative.
-        slice_of = F.when(F.col("size") <= slices, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(slices)))
-        reps = still.groupBy("bucket", slice_of.alias("slice")).agg(F.min(F.struct("node", "label")).alias("rep"))
-        reps = written(reps.select("bucket", F.col("rep.node").alias("other"), F.col("rep.label").alias("other_label")), "reps")
-        pairs = still.join(reps, "bucket").where("label <> other_label")
-        pairs = pairs.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
-        links = written(links.union(_verified(pairs, texts, similarity)).distinct(), "links")
-        labels = components(links)
+        most *= 32
     named = distinct.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "id", F.coalesce("component", "node").alias("label")
     )
