@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, minhash, sharding
+from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, minhash, quality, sharding, sp_codec
 from skyledger.llm.common import fold, table
 
 
@@ -34,6 +34,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sp_codec.read_model(spark)
+    found = sp_codec.decoded(sp_codec.encoded(table(spark, sf_dir, "documents", ["doc_id", "text"]), pieces), pieces)
+    return found.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return found.withColumnRenamed("id", "doc_id")
@@ -44,6 +50,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = table(spark, sf_dir, "labels", ["doc_id", "quality"]).where("quality is not null")
+    model = quality.fitted(docs.join(labels, "doc_id").where(fold("doc_id", 4) != 2), "text", "quality", F.col("doc_id"))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.links(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
     return found.select(
@@ -55,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_sharding": op2_sharding,
     "op3_language": op3_language,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
+    "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
 }
 ORACLES: dict[str, str] = {}
