@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, minhash, quality, sharding, sp_codec
+from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, maxent_lm, minhash, quality, sharding, sp_codec
 from skyledger.llm.common import fold, table
 
 
@@ -65,6 +65,15 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found, total = maxent_lm.learned_and_scored(docs.where(fold("doc_id", 10) != 0), docs)
+    return found.select(
+        F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_sharding": op2_sharding,
@@ -74,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
+    "op10_language_model": op10_language_model,
 }
 ORACLES: dict[str, str] = {}
