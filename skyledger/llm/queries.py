@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, maxent_lm, minhash, quality, sharding, sp_codec
+from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, licenses, maxent_lm, minhash, quality, sharding, sp_codec
 from skyledger.llm.common import fold, table
 
 
@@ -40,6 +40,20 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+#: The table has no paths: doc_id gives a tree of directories of ten, a hundred and a thousand documents, and the first
+#: document of each directory is its licence file.
+VIRTUAL_PATH = """concat_ws('/', cast(doc_id div 1000 as string),
+    case when doc_id % 1000 = 0 then 'LICENSE'
+         when doc_id % 100 = 0 then concat(cast(doc_id div 100 as string), '/LICENSE')
+         when doc_id % 10 = 0 then concat(cast(doc_id div 100 as string), '/', cast(doc_id div 10 as string), '/LICENSE')
+         else concat(cast(doc_id div 100 as string), '/', cast(doc_id div 10 as string), '/', cast(doc_id as string), '.txt') end)"""
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("path", F.expr(VIRTUAL_PATH))
+    return licenses.scanned(files, "path", "text", "doc_id").withColumnRenamed("id", "doc_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return found.withColumnRenamed("id", "doc_id")
@@ -79,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_language": op3_language,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_licenses": op5_licenses,
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
