@@ -572,7 +572,7 @@ def best_models(spark, d):
     return evidence.best_models(model_metrics(spark, d))
 
 
-@query(f"{_MODELS}, {_F1}, w as (select max(f1) filter (feature_set = 'full') as full, max(f1) filter (feature_set = 'no_definition_features') as no_definition_features, max(f1) filter (feature_set = 'definition_only') as definition_only from q) select *, full - no_definition_features >= 2e-1 as full_gap, definition_only >= 85e-2 as definition_strong, definition_only - no_definition_features >= 2e-1 as definition_gap from w")
+@query(f"{_MODELS}, {_F1}, w as (select max(f1) filter (feature_set = 'full') as \"full\", max(f1) filter (feature_set = 'no_definition_features') as no_definition_features, max(f1) filter (feature_set = 'definition_only') as definition_only from q) select *, \"full\" - no_definition_features >= 2e-1 as full_gap, definition_only >= 85e-2 as definition_strong, definition_only - no_definition_features >= 2e-1 as definition_gap from w")
 def leakage_compare(spark, d):
     return evidence.leakage_signals(model_metrics(spark, d))
 
@@ -580,3 +580,39 @@ def leakage_compare(spark, d):
 @query(f"with {SCORE_SQL}, s as (select count(*) as n, count(*) filter (pha) as pha, count(*) filter (sentry_flag) as sentry, count(diameter) as dia, count(close_approach_count) as ca, avg(risk_score) as mean, max(risk_score) as mx, count(*) filter (risk_score_0_100 >= 40) as high from scores), r(finding_group, title, metric, value) as (select 'dataset', 'objects', 'count', cast(n as double) from s union all select 'dataset', 'hazardous', 'count', pha from s union all select 'dataset', 'impact monitoring', 'count', sentry from s union all select 'dataset', 'size coverage', 'ratio', round(dia / cast(n as double), 6) from s union all select 'dataset', 'approach coverage', 'ratio', round(ca / cast(n as double), 6) from s union all select 'risk', 'score', 'mean', round(mean, 6) from s union all select 'risk', 'score', 'max', round(mx, 6) from s union all select 'risk', 'elevated or above', 'count', high from s) select * from r")
 def findings(spark, d):
     return evidence.findings(scores(spark, d))
+
+
+# Models: no SQL; tests check that scores are probabilities and rank better than chance.
+from skyledger.operators import models  # noqa: E402
+
+
+def _predicted(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    rows = b.objects(spark, sf_dir).select(F.col("spkid").alias("object_key"), F.col("pha").cast("int").alias("label"), *models.FEATURE_SETS["definition_only"], "e", "a")
+    return models.predictions(rows, model, ["moid", "h", "e", "a"])
+
+
+@query()
+def lr_predictions(spark, d):
+    return _predicted(spark, d, "logistic_regression")
+
+
+@query()
+def rf_predictions(spark, d):
+    return _predicted(spark, d, "random_forest")
+
+
+@query()
+def gbt_predictions(spark, d):
+    return _predicted(spark, d, "gradient_boosting")
+
+
+@query()
+def mlp_predictions(spark, d):
+    return _predicted(spark, d, "mlp")
+
+
+@query()
+def label_propagation(spark, d):
+    shared_folder(spark, "propagation")
+    nodes = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, (F.col("label") == 0).cast("int")).alias("known"))
+    return models.label_propagation(nodes, embedding_edges(spark, d), "vec_id", "known", 8).withColumn("score", F.round("score", 6))
