@@ -85,14 +85,18 @@ def _context(sample: DataFrame, index: np.ndarray) -> np.ndarray:
                 owner = np.repeat(np.arange(len(group)), np.diff(first))
                 for gap in (1, 2):
                     same = np.flatnonzero(owner[gap:] == owner[:-gap])
-                    np.add.at(total, rows[same], index[rows[same + gap]])
-                    np.add.at(total, rows[same + gap], index[rows[same]])
+                    for one, other in ((same, same + gap), (same + gap, same)):
+                        order = np.argsort(rows[one], kind="stable")
+                        word = rows[one][order]
+                        starts = np.flatnonzero(np.diff(word, prepend=-1))
+                        if len(starts):
+                            total[word[starts]] += np.add.reduceat(index[rows[other]][order], starts, axis=0)
                 seen |= len(rows) > 0
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     total = np.zeros((ROWS, DIM), np.float32)
-    for row in sample.select("text").repartition(8).mapInArrow(run, "total binary").toLocalIterator():
+    for row in sample.select("text").repartition(8).mapInArrow(run, "total binary").collect():
         total += np.frombuffer(bytes(row["total"]), np.float32).reshape(ROWS, DIM)
     return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
 
