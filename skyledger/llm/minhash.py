@@ -261,7 +261,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     rows = written(sketched(docs, id_col, text_col, sketches, picks, words), "sketches")
     distinct = rows.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("id", "text_key")).alias("first"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("marks").alias("marks")
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("marks").alias("marks")
     )
     distinct = written(distinct.select("node", "first.id", "first.text_key", "n_words", "bins", "marks"), "texts")
     members = distinct.select("node", F.explode("marks").alias("bucket"))
