@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows with typed slots.
 
 Words are canonicalised: numbers become <number>, units after a number <unit>, and capitalised words inside a sentence
-<name>; other words are lower-cased. Windows of eight such tokens of every document are hash-joined with those of the
+<name>; other words are lower-cased. Names are also read as plain words, so that a text without capitals matches too.
+Windows of eight such tokens of every document are hash-joined with those of the
 benchmark, so a question whose numbers, names or units were changed still meets its item. A match counts if its slots
 agree: over the matched stretch of document and item, equal values of one side stand for equal values of the other
 (a one-to-one renaming). A document is contaminated by an item if one stretch of consecutive matching windows
@@ -79,30 +80,44 @@ def _rows(ids: list, texts: list, size: int, wanted: np.ndarray | None) -> Itera
     """Windows of texts: id, hash, place, number of tokens, slots and the values there."""
     at = 0
     for group in textnum.groups(texts):
-        tokens, values, first = canonical(group)
-        short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
-        found = [(k, int(first[k]), textnum.windows(tokens[first[k] : first[k + 1]], size).view(np.int64)) for k in short.tolist()]
-        if wanted is not None:
-            found = [x for x in found if np.isin(x[2], wanted).any()]
-        if len(tokens) >= size:
-            all_ = textnum.windows(tokens, size).view(np.int64)
-            if wanted is None:
-                hit = np.arange(len(all_))
-            elif len(wanted):
-                hit = np.flatnonzero(wanted[np.searchsorted(wanted, all_).clip(max=len(wanted) - 1)] == all_)
-            else:
-                hit = np.zeros(0, np.int64)
-            text = np.searchsorted(first, hit, side="right") - 1
-            inside = hit + size <= first[text + 1]  # windows over two texts are none
-            found += [(k, p, all_[p : p + 1]) for k, p in zip(text[inside].tolist(), hit[inside].tolist())]
-        for k, p, window in found:
-            begin, end = int(first[k]), int(first[k + 1])
-            slots = np.flatnonzero(tokens[p : min(p + size, end)] <= UNIT) + p
-            yield {"id": ids[at + k], "window": int(window[0]), "place": p - begin, "n_tokens": end - begin,
-                   "slots": (slots - begin).tolist(), "values": values[slots].view(np.int64).tolist()}
+        typed, values, first = canonical(group)
+        name = typed == NAME
+        for tokens in (typed, np.where(name, values, typed)):
+            again = tokens is not typed
+            if again and not name.any():
+                break  # without names both readings are the same
+            for k, p, window in _found(tokens, first, size, wanted, name if again else None):
+                begin, end = int(first[k]), int(first[k + 1])
+                slots = np.flatnonzero(tokens[p : min(p + size, end)] <= UNIT) + p
+                yield {"id": ids[at + k], "window": window, "place": p - begin, "n_tokens": end - begin,
+                       "slots": (slots - begin).tolist(), "values": values[slots].view(np.int64).tolist()}
         at += len(group)
 
 
+def _found(tokens: np.ndarray, first: np.ndarray, size: int, wanted: np.ndarray | None, within: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """(text, place among all tokens, hash) of the windows that are wanted; with ``within`` only those with such a token."""
+    found = []
+    for k in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist():
+        window = textnum.windows(tokens[first[k] : first[k + 1]], size).view(np.int64)
+        if (within is None or within[first[k] : first[k + 1]].any()) and (wanted is None or np.isin(window, wanted).any()):
+            found.append((k, int(first[k]), int(window[0])))
+    if len(tokens) >= size:
+        all_ = textnum.windows(tokens, size).view(np.int64)
+        if wanted is None:
+            hit = np.arange(len(all_))
+        elif len(wanted):
+            hit = np.flatnonzero(wanted[np.searchsorted(wanted, all_).clip(max=len(wanted) - 1)] == all_)
+        else:
+            hit = np.zeros(0, np.int64)
+        if within is not None:
+            seen = np.concatenate([[0], np.cumsum(within)])
+            hit = hit[seen[hit + size] > seen[hit]]
+        text = np.searchsorted(first, hit, side="right") - 1
+        inside = hit + size <= first[text + 1]  # windows over two texts are none
+        found += zip(text[inside].tolist(), hit[inside].tolist(), all_[hit[inside]].tolist())
+    return found
+
+
 _KIND = pa.schema(
     [("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int32()),
      ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.int64()))]
