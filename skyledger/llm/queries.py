@@ -116,4 +116,38 @@ found as (select doc_id, path, license, cosine, regexp_replace(path, '/?[^/]*$',
 holders as (select home as dir, license as dir_license from (select *, row_number() over (partition by home order by cosine desc, license) as r from found where license is not null and name like 'LICENSE%') t where r = 1),
 nearest as (select doc_id, arg_max(dir, length(dir)) as licence_dir, arg_max(dir_license, length(dir)) as dir_license from found join holders on home = dir or starts_with(home, dir || '/') or dir = '' where license is null group by 1)
 select doc_id, path, coalesce(license, dir_license) as license, cosine, case when license is not null then 'own' when dir_license is not null then 'inherited' else 'none' end as how, licence_dir from found left join nearest using (doc_id)"""
-ORACLES: dict[str, str] = {"op5_licenses": _LICENCES_SQL}
+
+
+def _nibbles() -> list[int]:
+    """CRC-32 of each half byte, by the reflected polynomial."""
+    out = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        out.append(k)
+    return out
+
+
+def _sharding_sql(walks: int = 8) -> str:
+    """Row numbers and the Feistel network in SQL; ``walks`` passes over positions outside [0, n)."""
+    digest = "('0x' || substr(md5({0}), 1, 13))::bigint"
+    steps, last = [], "w0"
+    for walk in range(walks + 1):
+        steps.append(f"f{walk}_0 as (select *, x % a as i, x // a as j from {last})")
+        for k in range(sharding.ROUNDS):
+            mover, other, width = ("i", "j", "a") if k % 2 == 0 else ("j", "i", "b")
+            turn = digest.format(f"concat_ws(':', '7', '{k}', {other}::varchar)")
+            steps.append(f"f{walk}_{k + 1} as (select * replace (({mover} + {turn} % {width}) % {width} as {mover}) from f{walk}_{k})")
+        moved = "i + j * a" if walk == 0 else "case when x >= n then i + j * a else x end"
+        last = f"w{walk + 1}"
+        steps.append(f"{last} as (select * exclude (i, j) replace ({moved} as x) from f{walk}_{sharding.ROUNDS})")
+    key = "concat_ws(chr(1), coalesce(doc_id::varchar, chr(0) || 'null'), size::varchar, text_crc32::varchar)"
+    return f"""with h as (select doc_id, text, string_split(hex(encode(coalesce(text, ''))), '') as h from documents),
+nib as (select doc_id, text, list_transform(range(0, 2 * octet_length(encode(coalesce(text, '')))), lambda i: (instr('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1)::bigint) as x from h),
+d as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, xor(list_reduce(list_concat([4294967295::bigint], x), lambda c, y: xor(({_nibbles()}::bigint[])[(xor(c, y) & 15) + 1], c >> 4)), 4294967295::bigint) as text_crc32 from nib),
+r as (select *, row_number() over (order by {digest.format(key)} % {sharding.BUCKETS}, doc_id nulls first, size, text_crc32) - 1 as x, count(*) over () as n from d),
+w0 as (select *, greatest(1, ceil(sqrt(n))::bigint) as a, (n + greatest(1, ceil(sqrt(n))::bigint) - 1) // greatest(1, ceil(sqrt(n))::bigint) as b from r), {", ".join(steps)}
+select doc_id, size::bigint as size, text_crc32, 'rows' as law, (x % 24)::int as shard, x // 24 as slot, null::int as grown_shard from {last}"""
+
+
+ORACLES: dict[str, str] = {"op2_sharding": _sharding_sql(), "op5_licenses": _LICENCES_SQL}
