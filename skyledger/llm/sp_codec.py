@@ -62,6 +62,19 @@ def read_model(spark: SparkSession, path: str = MODEL) -> Pieces:
     return Pieces(tuple(matched), tuple(shown), bytes_, model.unk_id(), min(s for _, _, s in matched), apart)
 
 
+class _Words(dict):
+    """Ids of words met before, by the word without its first mark; others are segmented on the way."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.codec.viterbi(SPACE + word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
@@ -74,7 +87,7 @@ class Codec:
             self.automaton.add_word(piece, (len(piece), id_, score))
         self.automaton.make_automaton()
         self.single = {p for p, _, _ in pieces.matched if len(p) == 1}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Words(self)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if pieces.words_apart else "(?s).+").findall
 
     def viterbi(self, text: str) -> tuple[int, ...]:
@@ -111,21 +124,16 @@ class Codec:
                 ids.append(self.pieces.unknown)
         return tuple(reversed(ids))
 
-    def word(self, text: str) -> tuple[int, ...]:
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.viterbi(text)
-            if len(text) <= 64:
-                self.known[text] = found
-        return found
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        words = self.words(SPACE + text.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(map(self.word, words)), np.int32)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if self.pieces.words_apart and not (text[0] == " " or text[-1] == " " or "  " in text or SPACE in text):
+            words = text.split(" ")  # single spaces: each word has one mark before it
+        else:
+            words = [w[1:] for w in self.words(SPACE + text.replace(" ", SPACE))]  # each begins with a mark
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.pieces.shown.__getitem__, ids)).decode("utf-8", "replace")
@@ -169,6 +177,8 @@ def decoded(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str
     """
 
     def run(codec: Codec, lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else codec.decode(x) for x in lists.to_pylist()], pa.string())
+        # One list of numbers at a time: those of a whole batch would be hundreds of MB as Python objects.
+        values, ends, valid = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+        return pa.array([codec.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, ends, ends[1:])], pa.string())
 
     return docs.withColumn(text_col, _udf(docs.sparkSession, pieces, "string", run)(F.col(ids_col)))
