@@ -1,10 +1,16 @@
 """Near-duplicates by Order MinHash: several minimum occurrence-labelled k-mers, kept in text order.
 
-A text is its lower-cased words; its k-mers are runs of five words, each labelled with how often it occurred before in
-the text. Each of ``sketches`` hash orders picks the ``picks`` smallest labelled k-mers and hashes them in the order in
-which they stand, so two texts share a sketch the likelier the smaller their edit distance is. Texts that share a sketch
-are candidates; a banded alignment of their words decides: near-duplicates have an edit similarity
-1 - distance / longer length of 0.8 or more. Linked texts form classes, named by their smallest doc_id.
+A text is its lower-cased words; its k-mers are runs of three words, each labelled with how often it occurred before in
+the text. Each of many hash orders picks the smallest labelled k-mers and hashes them in the order in which they stand,
+so two texts share a sketch the likelier the smaller their edit distance is. Texts that share a sketch are candidates; a
+banded alignment of their words decides: near-duplicates have an edit similarity 1 - distance / longer length of 0.8 or
+more. Linked texts form classes, named by their smallest doc_id.
+
+How many sketches there are follows from the share ``miss`` of pairs that are lost just at that similarity. Texts of up
+to 100 words have sketches of one k-mer, as many as the miss asks for wherever the edits stand. Longer texts have
+sketches of two, so that unlike texts rarely meet, as many as the miss asks for with edits at random places; edits spread
+so evenly that they spare the fewest k-mers are lost more often (about 3 % just at 0.8). Texts of up to 14 words are met
+without any loss: their marks are what is left of them without each set of up to as many words as edits are allowed.
 
 Hot groups: equal texts become one text before anything else. A bucket's members are first aligned with its smallest
 member only, so a group of near copies costs one row for each member. Buckets that then still hold several classes
@@ -15,7 +21,10 @@ four likeliest pairs, then 32 times as many, until they are one class or have no
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,24 +35,80 @@ from pyspark.sql import functions as F
 from skyledger.llm import blocks, textnum
 from skyledger.llm.common import components, written
 
-WORDS = 5
+WORDS = 3
 SIMILARITY = 0.8
-SKETCHES = 24
-PICKS = 3
+#: Share of pairs just at the similarity that share no sketch.
+MISS = 5e-4
+#: K-mers of a sketch of longer texts.
+PICKS = 2
+#: Words up to which a pair is met by sketches of one k-mer.
+SHORT = 100
+#: Marks up to which a text is met by what is left of it.
+MOST_LEFT = 128
 #: Diagonals of the band that is tried before a wider one.
 NARROW = 24
 #: Bins of a text's word counts.
 BINS = 256
 
 
-def sketch(hashes: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS, words: int = WORDS, seed: int = 1) -> np.ndarray:
-    """The sketches of one text, given its words' hashes, as signed longs; none for a text without words."""
+def _edits(n: int, similarity: float) -> int:
+    """Edits allowed to a pair whose longer text has ``n`` words."""
+    return int(n * (1 - similarity) + 1e-9)
+
+
+@functools.cache
+def plan(similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> tuple[int, int, int]:
+    """(words up to which texts are met by what is left of them, sketches of one k-mer, sketches of ``PICKS``)."""
+
+    def sketches(kept: float, picks: int) -> int:
+        """For texts that keep such a share of their k-mers: of all k-mers of two texts both have kept / (2 - kept)."""
+        return math.ceil(math.log(miss) / math.log(1 - min((kept / (2 - kept)) ** picks, 1 - miss)))
+
+    tiny = 0
+    while tiny < SHORT and sum(math.comb(tiny + 1, k) for k in range(_edits(tiny + 1, similarity) + 1)) <= MOST_LEFT:
+        tiny += 1
+    # An edit destroys at most ``words`` k-mers.
+    kept = min((1 - words * _edits(n, similarity) / max(1, n - words + 1) for n in range(tiny + 1, SHORT + 1)), default=1)
+    random = similarity**words
+    return tiny, sketches(kept if kept > 0 else random, 1), sketches(random, PICKS)
+
+
+@functools.cache
+def _left(n: int, gone: int) -> np.ndarray:
+    """The places that are left of ``n``, for each choice of ``gone`` of them."""
+    return np.array(list(itertools.combinations(range(n), n - gone)), np.int64)
+
+
+def marks(hashes: np.ndarray, similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> np.ndarray:
+    """The marks of one text, given its words' hashes, as signed longs: near-duplicates share one. None without words."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    tiny, ones, several = plan(similarity, miss, words)
+    out = []
+    if n <= tiny:
+        for gone in range(_edits(n, similarity) + 1):
+            left = hashes[_left(n, gone)]
+            value = np.full(len(left), 0x2545F4914F6CDD1D, np.uint64)
+            for k in range(n - gone):
+                value = textnum.mixed(value * np.uint64(3) + left[:, k])
+            out.append(np.unique(value.view(np.int64)))
+    # A pair is met by the marks for its longer text's length; its shorter text has ``similarity`` times that at least.
+    if similarity * (tiny + 1) <= n + 1e-9 and n <= SHORT:
+        out.append(sketch(hashes, ones, 1, words))
+    if n + 1e-9 >= similarity * (max(tiny, SHORT) + 1):
+        out.append(sketch(hashes, several, PICKS, words, 2))
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
+
+
+def sketch(hashes: np.ndarray, sketches: int, picks: int, words: int = WORDS, seed: int = 1) -> np.ndarray:
+    """Sketches of one text, given its words' hashes, as signed longs; none for a text without words."""
     grams = textnum.windows(hashes, words)
     if not len(grams):
         return np.zeros(0, np.int64)
     labelled = textnum.mixed(grams + textnum.occurrence(grams).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
     keys = np.random.default_rng(seed).integers(1, 1 << 63, (2, sketches, 1), dtype=np.int64).astype(np.uint64)
-    out = np.arange(sketches, dtype=np.uint64)
+    out = np.arange(sketches, dtype=np.uint64) + np.uint64(seed << 32)
     step = max(1, 2_000_000 // len(labelled))  # orders held at once: bounded for very long texts
     for lo in range(0, sketches, step):
         order = (labelled[None, :] ^ keys[0, lo : lo + step]) * (keys[1, lo : lo + step] | np.uint64(1))
@@ -146,20 +211,20 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> boo
     return most > NARROW and wide_distance(x, y, most) is not None
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCHES, picks: int = PICKS, words: int = WORDS) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> DataFrame:
     """(id, text_key, node, n_words, bins, marks) of every row. node: md5 of the words' hashes, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                nodes, marks, sizes, bins = [], [], [], []
+                nodes, met, sizes, bins = [], [], [], []
                 for hashes in textnum.word_hashes_of(part.column(2).to_pylist()):
                     nodes.append(hashlib.md5(hashes.tobytes()).digest() if len(hashes) else None)
-                    marks.append(sketch(hashes, sketches, picks, words))
+                    met.append(marks(hashes, similarity, miss, words))
                     sizes.append(len(hashes))
                     bins.append(counted(hashes))
-                columns = [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
+                columns = [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), pa.array(met, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "node", "n_words", "bins", "marks"])
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, node binary, n_words int, bins binary, marks array<bigint>")
@@ -250,22 +315,22 @@ def _across(open_: DataFrame, texts: DataFrame, similarity: float, most: int) ->
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-            sketches: int = SKETCHES, picks: int = PICKS, words: int = WORDS) -> DataFrame:
+            miss: float = MISS, words: int = WORDS) -> DataFrame:
     """One row for each row of ``docs``: id, text_key (xxhash64 of the text), class_id (smallest id of its class).
 
     Texts that are null, empty or without words belong to no group: each is a class of its own, named by its own id.
-    Texts of fewer than five words have one k-mer, all their words. Texts of the same words, whatever their case and
+    Texts of the same words, whatever their case and
     punctuation, are one text. Rows with a null id take part; a class of null ids only has a null class_id. Rows that
     share an id but not the text are told apart by text_key; rows equal in both get the same class. Other columns are
     not read. An empty table gives no rows.
     """
-    rows = written(sketched(docs, id_col, text_col, sketches, picks, words), "sketches")
+    rows = written(sketched(docs, id_col, text_col, similarity, miss, words), "sketches")
     distinct = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("marks").alias("marks")
     )
     distinct = written(distinct.select("node", "first.id", "first.text_key", "n_words", "bins", "marks"), "texts")
-    members = distinct.select("node", F.explode("marks").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).where("size > 1")
+    members = distinct.select("node", "n_words", F.explode("marks").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n_words")).alias("rep")).where("size > 1")
     members = written(members.join(written(sizes, "buckets"), "bucket"), "members")
     # Only texts that share a bucket are read again, each by one of its rows.
     wanted = members.select("node").distinct().join(distinct.select("node", "id", "text_key"), "node")
@@ -274,7 +339,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = found.groupBy("node").agg(F.first("text").alias("text"))
     texts = written(found.join(distinct.select("node", "n_words", "bins"), "node"), "candidates")
 
-    pairs = members.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    # Texts whose lengths alone differ by more than the edits allowed are not read.
+    longer = F.greatest("n_words", "rep.n_words")
+    alike = F.abs(F.col("n_words") - F.col("rep.n_words")) <= longer * (1 - similarity) + 1e-9
+    pairs = members.where((F.col("node") != F.col("rep.node")) & alike).select(F.col("rep.node").alias("a"), F.col("node").alias("b"))
     links = written(_verified(pairs, texts, similarity), "links")
     labels, most = components(links), 4
     while True:

@@ -74,6 +74,30 @@ def test_near_duplicates_by_brute_force(spark):
     assert minhash.classes(df.where("false")).isEmpty()
 
 
+def test_near_duplicates_are_met_at_every_similarity_and_length():
+    for n in (5, 6, 8, 9, 10, 11, 12, 14, 15, 16, 18, 20, 25, 40, 80, 81, 100, 101, 120, 124, 200, 400):
+        for similarity in (0.8, 0.85, 0.88, 0.9, 0.92):
+            edits, missed = int(n * (1 - similarity) + 1e-9), 0
+            for turn in range(40):
+                a = words(n)
+                b = list(a)
+                for k, p in enumerate(rng.sample(range(n), edits)):
+                    b[p] = f"new{k}"
+                if turn % 4 == 0:  # words left out instead
+                    gone = set(rng.sample(range(n), edits))
+                    b = [w for k, w in enumerate(a) if k not in gone]
+                x, y = textnum.word_hashes(" ".join(a)), textnum.word_hashes(" ".join(b))
+                assert minhash.similar(x, y)
+                missed += not np.isin(minhash.marks(x), minhash.marks(y)).any()
+            assert missed <= (n > 100), (n, similarity, missed)
+
+
+def test_one_word_changed_in_a_short_text(spark):
+    rows = [(10 * n + k, " ".join([*t[: n // 2], *(["changed"] if k else [t[n // 2]]), *t[n // 2 + 1 :]])) for n in range(5, 16) for t in [words(n)] for k in (0, 1)]
+    got = {r.id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_a_mixed_bucket_is_compared_in_full(spark):
     shared = words(70)  # texts of which a passage is nearly all, so that they share sketches
     rows = [(k, " ".join(shared + words(40))) for k in range(40)] + [(k + 100, " ".join(shared[:-1] + ["x"] + words(3))) for k in range(5)]
