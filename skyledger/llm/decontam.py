@@ -5,12 +5,14 @@ Words are canonicalised: numbers become <number>, units after a number <unit>, a
 Windows of eight such tokens of every document are hash-joined with those of the
 benchmark, so a question whose numbers, names or units were changed still meets its item. A match counts if its slots
 agree: over the matched stretch of document and item, equal values of one side stand for equal values of the other
-(a one-to-one renaming). A document is contaminated by an item if one stretch of consecutive matching windows
-covers at least 13 tokens, or the whole item if that is shorter; stretches must hold five literal words or more.
+(a one-to-one renaming). A stretch of consecutive matching windows starts anew at a slot that contradicts an earlier
+one, and parts that are the same on both sides always count. A document is contaminated by an item if such a stretch covers at least 13 tokens,
+or the whole item if that is shorter, and holds five words or more that are literal or equal on both sides.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,31 +173,48 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     along = met.groupBy("id", "item_id", "shift", "item_tokens").agg(
         F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
-    stretch = F.aggregate(
-        "places",
-        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("first"), F.lit(-1).alias("best"), F.lit(0).alias("best_first")),
-        lambda s, p: _longer(s, p),
-    )
-    along = along.withColumn("s", stretch)
-    length = F.least(F.col("s.best") + F.lit(size), F.col("item_tokens"))
-    begin = F.col("s.best_first") + F.col("shift")
-    inside = F.filter("pairs", lambda x: (x["at"] >= begin) & (x["at"] < begin + length))
-    along = along.select("id", "item_id", "item_tokens", length.alias("tokens"), F.array_distinct(F.transform(inside, lambda x: F.struct(x["here"], x["there"]))).alias("names"), F.size(inside).alias("n_slots"))
-    one_to_one = (F.size(F.array_distinct(F.transform("names", lambda x: x["here"]))) == F.size("names")) & (
-        F.size(F.array_distinct(F.transform("names", lambda x: x["there"]))) == F.size("names")
-    )
-    good = along.where(one_to_one & (F.col("tokens") >= F.least(F.lit(min_tokens), F.col("item_tokens"))) & (F.col("tokens") - F.col("n_slots") >= MIN_LITERALS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [
+                longest([k + shift for k in places], [(x["at"], x["here"], x["there"]) for x in pairs], size, n, min(min_tokens, n))
+                for shift, n, places, pairs in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(best, pa.int32()), batch.column(3)], ["id", "item_id", "tokens", "item_tokens"]
+            )
+
+    good = along.mapInArrow(run, "id long, item_id long, tokens int, item_tokens int").where("tokens > 0")
     return good.groupBy("id", "item_id").agg(F.max("tokens").alias("tokens"), F.max("item_tokens").alias("n_tokens"))
 
 
-def _longer(s, p):
-    """The fold over sorted places: the run that ends at p, and the longest so far."""
-    first = F.when(p == s["last"] + 1, s["first"]).otherwise(p)
-    better = p - first > s["best"]
-    return F.struct(
-        p.alias("last"), first.alias("first"), F.when(better, p - first).otherwise(s["best"]).alias("best"),
-        F.when(better, first).otherwise(s["best_first"]).alias("best_first"),
-    )
+def longest(places: list[int], pairs: list[tuple[int, int, int]], size: int, item_tokens: int, least: int) -> int:
+    """Tokens of the longest stretch whose slots agree, 0 if none has ``least`` tokens and ``MIN_LITERALS`` words.
+
+    places: sorted places where windows of one diagonal match; pairs: (place, value here, value there) of slots. Each
+    run of places is a stretch, which starts anew at a slot that contradicts an earlier one of the stretch. Parts
+    between slots of unlike values are the same on both sides, so they count too.
+    """
+    best, pairs = 0, sorted(pairs)
+    at = [x for x, _, _ in pairs]
+    ends = [n for n, p in enumerate(places) if n + 1 == len(places) or places[n + 1] != p + 1]
+    for first, last in zip([0, *(n + 1 for n in ends)], ends):
+        begin, end = places[first], min(places[last] + size, places[first] + item_tokens)
+        same, renamed = begin, 0
+        there_of: dict[int, int] = {}
+        here_of: dict[int, int] = {}
+        stretches = []
+        for x, here, there in pairs[bisect_left(at, begin) : bisect_left(at, end)]:
+            if there_of.get(here, there) != there or here_of.get(there, here) != here:
+                stretches.append((x - begin, renamed))
+                begin, renamed, there_of, here_of = x, 0, {}, {}
+            there_of[here], here_of[there] = there, here
+            if here != there:
+                stretches.append((x - same, 0))
+                same, renamed = x + 1, renamed + 1
+        stretches += [(end - begin, renamed), (end - same, 0)]
+        best = max(best, *(n for n, r in stretches if n >= least and n - r >= MIN_LITERALS), 0)
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -155,3 +155,23 @@ def test_benchmark_by_templates(spark):
     texts = spark.createDataFrame([(1, "give 8 of 9 parts and then 8 of 9 parts again to the other side of town"), (2, "give 8 of 9 parts and then 7 of 9 parts again to the other side of town")], "doc_id long, text string")
     assert {r.id: r.contaminated for r in decontam.contaminated(texts, slots).collect()} == {1: True, 2: False}
     assert decontam.contaminated(d.where("false"), b).isEmpty() and decontam.contaminated(d, b.where("false")).where("contaminated").isEmpty()
+
+
+def test_slots_that_contradict_cut_a_stretch(spark):
+    item = words(15) + ["12"] + words(12) + ["12"] + words(11)
+    changed = [*item[:28], "15", *item[29:]]
+    other = "a box of 3 red pens and 4 blue pens stood there on a table near the open window of the old school house by the river"
+    items = spark.createDataFrame([(1, " ".join(item)), (2, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(changed)), (2, other.replace("3", "5").replace("4", "5"))], "doc_id long, text string")
+    got = {r.id: (list(r.item_ids), r.max_tokens) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {1: ([1], 28), 2: ([2], 20)}
+
+
+def test_longest_stretches():
+    run = list(range(33))  # 40 tokens in windows of eight
+    assert decontam.longest(run, [(5, 1, 1), (20, 2, 1)], 8, 40, 13) == 20
+    assert decontam.longest(run, [(5, 1, 1), (9, 2, 1), (14, 1, 1), (20, 2, 1)], 8, 40, 13) == 20
+    assert decontam.longest(run, [(5, 1, 1), (9, 2, 1), (14, 3, 1), (20, 3, 2), (25, 3, 1)], 8, 40, 13) == 15
+    assert decontam.longest(run, [(5, 3, 4), (20, 3, 4)], 8, 40, 13) == 40
+    assert decontam.longest([*range(9), *range(20, 33)], [(1, 3, 4), (22, 3, 5), (24, 3, 5)], 8, 40, 13) == 20
+    assert decontam.longest([*range(20), 25], [(2, 3, 3), (9, 3, 4), (16, 3, 5), (22, 3, 6)], 8, 40, 13) == 0
