@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows with typed slots.
 
 Words are canonicalised: numbers become <number>, units after a number <unit>, and capitalised words inside a sentence
-<name>; other words are lower-cased. Names are also read as plain words, so that a text without capitals matches too.
+<name>; other words are lower-cased. Names are also read as plain words, so that a text without capitals matches too,
+and in a further reading capitalised words that begin a sentence are <name> as well, function words excepted.
 Windows of eight such tokens of every document are hash-joined with those of the
 benchmark, so a question whose numbers, names or units were changed still meets its item. A match counts if its slots
 agree: over the matched stretch of document and item, equal values of one side stand for equal values of the other
@@ -35,16 +36,26 @@ UNITS = (
     "ml l litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months "
     "year years cent cents dollar dollars euro euros percent degree degrees"
 ).split()
+# Words that begin sentences and are no names.
+FUNCTION_WORDS = (
+    "a an the this that these those there here it its he she they we you i his her their our your my who whom whose what which "
+    "when where why how if then so as at by in on of for from to into onto over under with without within about after before "
+    "since until till while during between among through across against and or but nor yet because although though unless "
+    "whether is are was were be been am do does did has have had can could will would shall should may might must let not no "
+    "each every all any some both either neither one two three four five six seven eight nine ten many much more most few "
+    "several such same other another only also just now suppose given find determine calculate compute show prove assume"
+).split()
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (1, 2, 3))
 _UNIT_HASHES = np.sort(np.array([textnum.word_hashes(u)[0] for u in UNITS], np.uint64))
+_FUNCTION_HASHES = np.array([textnum.word_hashes(w)[0] for w in FUNCTION_WORDS], np.uint64)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 59, 63]] = True
 
 
-def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, values, where each text's tokens begin and at last the end) of some texts.
+def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, values, where each text's tokens begin and at last the end, tokens with names that begin sentences) of some texts.
 
     A token is a placeholder or its word's hash; its value is the hash of the word that stands there.
     """
@@ -63,7 +74,7 @@ def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = textnum.span_hashes(low, starts, ends)
     tokens = values.copy()
     if not len(starts):
-        return tokens, values, first
+        return tokens, values, first, tokens
     numeric = digit[starts]
     tokens[numeric] = NUMBER
     after = np.flatnonzero(numeric[:-1]) + 1
@@ -71,28 +82,30 @@ def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens[after[_UNIT_HASHES[at] == values[after]]] = UNIT
     # A capital letter inside a sentence: no full stop, colon, question mark or line end since the word before.
     # Words all in capitals are no names.
-    capital = np.flatnonzero((data[starts[1:]] - 65 < 26) & (data[np.minimum(starts[1:] + 1, len(data) - 1)] - 65 >= 26)) + 1
+    capital = np.flatnonzero((data[starts] - 65 < 26) & (data[np.minimum(starts + 1, len(data) - 1)] - 65 >= 26))
     stops = np.flatnonzero(_STOP[data])
-    same = np.searchsorted(stops, starts[capital]) == np.searchsorted(stops, ends[capital - 1])
+    same = (capital > 0) & (np.searchsorted(stops, starts[capital]) == np.searchsorted(stops, ends[capital - 1]))
     tokens[capital[same]] = NAME
-    return tokens, values, first
+    opened = tokens.copy()
+    opening = capital[~same]
+    opened[opening[~np.isin(values[opening], _FUNCTION_HASHES)]] = NAME
+    return tokens, values, first, opened
 
 
 def _rows(ids: list, texts: list, size: int, wanted: np.ndarray | None) -> Iterator[dict]:
-    """Windows of texts: id, hash, place, number of tokens, slots and the values there."""
+    """Windows of texts: id, hash, place, number of tokens, slots, the values there and whether names begin sentences."""
     at = 0
     for group in textnum.groups(texts):
-        typed, values, first = canonical(group)
-        name = typed == NAME
-        for tokens in (typed, np.where(name, values, typed)):
-            again = tokens is not typed
-            if again and not name.any():
-                break  # without names both readings are the same
-            for k, p, window in _found(tokens, first, size, wanted, name if again else None):
+        typed, values, first, opened = canonical(group)
+        for tokens in (typed, np.where(typed == NAME, values, typed), opened):
+            other = None if tokens is typed else tokens != typed
+            if other is not None and not other.any():
+                continue  # both readings are the same
+            for k, p, window in _found(tokens, first, size, wanted, other):
                 begin, end = int(first[k]), int(first[k + 1])
                 slots = np.flatnonzero(tokens[p : min(p + size, end)] <= UNIT) + p
                 yield {"id": ids[at + k], "window": window, "place": p - begin, "n_tokens": end - begin,
-                       "slots": (slots - begin).tolist(), "values": values[slots].view(np.int64).tolist()}
+                       "slots": (slots - begin).tolist(), "values": values[slots].view(np.int64).tolist(), "opened": tokens is opened}
         at += len(group)
 
 
@@ -122,9 +135,9 @@ def _found(tokens: np.ndarray, first: np.ndarray, size: int, wanted: np.ndarray
 
 _KIND = pa.schema(
     [("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int32()),
-     ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.int64()))]
+     ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.int64())), ("opened", pa.bool_())]
 )
-_SQL = "id long, window long, place int, n_tokens int, slots array<int>, values array<bigint>"
+_SQL = "id long, window long, place int, n_tokens int, slots array<int>, values array<bigint>, opened boolean"
 
 
 def windows(texts: DataFrame, id_col: str, text_col: str, wanted: np.ndarray | None = None, size: int = WINDOW) -> DataFrame:
@@ -163,14 +176,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         wanted = np.sort(np.array(hashes.toPandas()["window"].to_numpy(), np.int64))
     of_docs = windows(docs, id_col, text_col, wanted, size)
     item = items.select("window", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("n_tokens").alias("item_tokens"),
-                        F.col("values").alias("item_values"), F.col("slots").alias("item_slots"))
+                        F.col("values").alias("item_values"), F.col("slots").alias("item_slots"), F.col("opened").alias("item_opened"))
     met = of_docs.join(item, "window")
     # Windows of one diagonal that follow each other are a stretch; each row's stretch starts where none precedes it.
+    # Stretches are sought with and without the windows in which names begin sentences, whose slots may contradict others.
+    either = F.col("opened") | F.col("item_opened")
+    met = met.withColumn("with_opened", F.explode(F.when(either, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     met = met.select(
-        "id", "item_id", "place", "item_place", "item_tokens", (F.col("place") - F.col("item_place")).alias("shift"),
+        "with_opened", "id", "item_id", "place", "item_place", "item_tokens", (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip(F.col("slots").alias("at"), F.col("values").alias("here"), F.col("item_values").alias("there")).alias("pairs"),
     )
-    along = met.groupBy("id", "item_id", "shift", "item_tokens").agg(
+    along = met.groupBy("id", "item_id", "shift", "item_tokens", "with_opened").agg(
         F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
 
@@ -178,7 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             best = [
                 longest([k + shift for k in places], [(x["at"], x["here"], x["there"]) for x in pairs], size, n, min(min_tokens, n))
-                for shift, n, places, pairs in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+                for shift, n, places, pairs in zip(*(batch.column(k).to_pylist() for k in (2, 3, 5, 6)))
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(best, pa.int32()), batch.column(3)], ["id", "item_id", "tokens", "item_tokens"]

@@ -175,3 +175,13 @@ def test_longest_stretches():
     assert decontam.longest(run, [(5, 3, 4), (20, 3, 4)], 8, 40, 13) == 40
     assert decontam.longest([*range(9), *range(20, 33)], [(1, 3, 4), (22, 3, 5), (24, 3, 5)], 8, 40, 13) == 20
     assert decontam.longest([*range(20), 25], [(2, 3, 3), (9, 3, 4), (16, 3, 5), (22, 3, 6)], 8, 40, 13) == 0
+
+
+def test_names_that_begin_sentences_are_slots(spark):
+    items = [(1, "Mary buys 12 pens. Tom buys 5 pens. Mary gives Tom 3 pens. How many pens does Mary have?"), (2, "Mary walks slowly down to the old harbour and buys a red boat"), (3, "mary and tom walk slowly down to the old harbour and sell a blue boat")]
+    docs = [(1, "Anna buys 31 pens. Bob buys 7 pens. Anna gives Bob 4 pens. How many pens does Anna have?"), (2, "Once more. Zoe walks slowly down to the old harbour and buys a red boat. The end."), (3, items[2][1].upper()),
+            (4, items[0][1].lower()), (5, "Anna buys 31 pens. Bob buys 7 pens. Bob gives Anna 4 pens. How many pens does Zoe have?")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for sent in (decontam.MAX_SENT, 0):
+        got = {r.id: list(r.item_ids) for r in decontam.contaminated(d, b, max_sent=sent).collect()}
+        assert got == {1: [1], 2: [2], 3: [3], 4: [1], 5: []}
