@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
+#: Weight of a block of ``across``.
+WIDE = 4096
 
 
 def dealt(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -22,6 +24,30 @@ def dealt(members: DataFrame, block: int = BLOCK) -> DataFrame:
     ).drop("_mine", "_other", "size")
 
 
+def across(members: DataFrame, block: int = WIDE) -> DataFrame:
+    """Rows (bucket, node, label, i, j, side) for the pairs of blocks that can hold rows of unlike labels.
+
+    members: (bucket, node, label, weight). A bucket's weight gives its number of blocks. The rows of its heaviest label
+    have blocks of their own, which are not paired with each other; a bucket of one block's weight is one block.
+    """
+    of_label = members.groupBy("bucket", "label").agg(F.sum("weight").alias("weight"))
+    of_bucket = of_label.groupBy("bucket").agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "label")).alias("top"))
+    count = lambda weight: F.ceil(weight / block).cast("int")
+    single = F.col("all") <= block
+    shape = of_bucket.select(
+        "bucket", F.when(single, F.lit(None)).otherwise(F.col("top.label")).alias("top"), F.when(single, 0).otherwise(count(F.col("top.weight"))).alias("tops"),
+        F.when(single, 1).otherwise(count(F.col("all") - F.col("top.weight"))).alias("others"),
+    )
+    rows = members.join(shape, "bucket").withColumn("is_top", F.coalesce(F.col("label") == F.col("top"), F.lit(False)))
+    draw = F.xxhash64("node", F.lit(17))
+    rows = rows.withColumn("mine", F.when(F.col("is_top"), F.pmod(draw, "tops")).otherwise(F.col("tops") + F.pmod(draw, F.greatest("others", F.lit(1)))).cast("int"))
+    partners = F.when(F.col("is_top"), F.sequence("tops", F.col("tops") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
+    rows = rows.withColumn("other", F.explode(partners))
+    return rows.select(
+        "bucket", "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side")
+    )
+
+
 def arranged(rows: DataFrame) -> DataFrame:
     """Dealt rows with those of a pair of blocks together, for ``each``."""
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

@@ -14,9 +14,10 @@ without any loss: their marks are what is left of them without each set of up to
 
 Hot groups: equal texts become one text before anything else. A bucket's members are first aligned with its smallest
 member only, so a group of near copies costs one row for each member. Buckets that then still hold several classes
-mostly come of passages that unlike texts share. Their members are compared across classes, in blocks, by counts of
-words that bound the distance from below, and what the bound can't tell apart is aligned: of any two classes first the
-four likeliest pairs, then 32 times as many, until they are one class or have no pair left. So no pair is given up.
+mostly come of passages that unlike texts share. Their members are compared across classes, in blocks, each pair in one
+bucket only: counts of words bound the distance from below, and what the bound can't tell apart is aligned in the block
+itself, which joins classes as it goes. What leaves a block is a link for each join, never a pair that was looked at, and
+no pair that shares a bucket is given up.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ MOST_LEFT = 128
 NARROW = 24
 #: Bins of a text's word counts.
 BINS = 256
+#: Words by which a row counts as one more in the size of a block.
+WORDS_OF_WEIGHT = 512
 
 
 def _edits(n: int, similarity: float) -> int:
@@ -235,38 +238,43 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(node, hashes) of (node, text): the words' hashes, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                hashes = [h.tobytes() for h in textnum.word_hashes_of(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, hashes binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. texts: (node, text, ...)."""
+    """The pairs (a, b) whose texts are similar. texts: (node, hashes, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                x, y = (textnum.word_hashes_of(part.column(k).to_pylist()) for k in (2, 3))
+                x, y = ([np.frombuffer(h, np.uint64) for h in part.column(k).to_pylist()] for k in (2, 3))
                 keep = pa.array([similar(*pair, similarity) for pair in zip(x, y)], pa.bool_())
                 yield part.select(["a", "b"]).filter(keep)
 
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # Both sides of each join are written tables, so that a representative of very many members can be split.
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
     )
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _more(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and their components with those of ``found``."""
-    found = written(found, "links")
-    if found.isEmpty():
-        return links, labels
-    links = written(links.union(found), "links")
-    return links, components(links)
-
-
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets of three or more that still hold different classes, with their class."""
-    named = members.where("size > 2").select("bucket", "node", "size").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    named = named.withColumn("label", F.coalesce("component", "node")).drop("component")
+    """(bucket, node, label, weight) of the buckets of three or more that still hold different classes."""
+    named = members.where("size > 2").select("bucket", "node", "n_words").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    weight = F.lit(1) + F.floor(F.col("n_words") / WORDS_OF_WEIGHT)
+    named = named.select("bucket", "node", F.coalesce("component", "node").alias("label"), weight.cast("long").alias("weight"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return written(named.join(several.select("bucket"), "bucket"), "open")
 
@@ -276,42 +284,87 @@ def counted(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def _across(open_: DataFrame, texts: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Pairs (a, b, more) of unlike classes in a bucket that may be similar; more: their classes have further pairs.
-
-    Every edit changes the words' bin counts by two at most, so half the difference of two texts' counts is a lower
-    bound of their distance. It leaves very few pairs of texts that only share a passage. Of each two classes that meet
-    in a pair of blocks, the ``most`` pairs of the lowest bound are returned.
+class _Block:
+    """The rows of one pair of blocks of a bucket: which pairs are to be compared here, and their bounds."""
+
+    def __init__(self, t: pa.Table, similarity: float) -> None:
+        self.similarity, self.bucket = similarity, t.column("bucket")[0].as_py()
+        self.bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        self.words = t.column("n_words").to_numpy().astype(np.int64)
+        _, self.label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)
+        met = t.column("marks").combine_chunks()
+        values, row = met.flatten().to_numpy(), np.repeat(np.arange(len(met)), np.diff(met.offsets.to_numpy()))
+        before = values < self.bucket
+        values, row = values[before], row[before]
+        order = np.argsort(values, kind="stable")
+        values, row = values[order], row[order]
+        edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+        # Of each row, the lists of rows that share one of its smaller marks.
+        self.rows, self.edge = row, np.append(edge, len(values))
+        nth = np.repeat(np.arange(len(edge)), np.diff(self.edge))
+        shared = np.diff(self.edge)[nth] > 1
+        by_row = np.argsort(row[shared], kind="stable")
+        self.lists, self.first = nth[shared][by_row], np.searchsorted(row[shared][by_row], np.arange(len(met) + 1))
+
+    def pairs(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``y`` that may be similar to ``x`` and meet it in no smaller bucket, likeliest first, and their bounds."""
+        y = y[self.label[y] != self.label[x]]
+        most = np.maximum(self.words[y], self.words[x]) * (1 - self.similarity) + 1e-9
+        near = np.abs(self.words[y] - self.words[x]) <= most
+        y, most = y[near], most[near]
+        bound = np.abs(self.bins[y] - self.bins[x]).sum(axis=1, dtype=np.int64) // 2
+        fits = bound <= most
+        y, bound = y[fits], bound[fits]
+        if len(y) and self.first[x] < self.first[x + 1]:
+            elsewhere = np.zeros(len(self.words), bool)
+            for k in self.lists[self.first[x] : self.first[x + 1]].tolist():
+                elsewhere[self.rows[self.edge[k] : self.edge[k + 1]]] = True
+            y, bound = y[~elsewhere[y]], bound[~elsewhere[y]]
+        order = np.argsort(bound, kind="stable")
+        return y[order], bound[order]
+
+
+def _across(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between unlike classes of a bucket: enough of them to join whatever is similar, one a text at most.
+
+    A pair is compared in the smallest bucket that both texts are in. Every edit changes the words' bin counts by two at
+    most, so half the difference of two texts' counts is a lower bound of their distance. Rows that no pair of a block
+    needs are left out before the words come. A block keeps the classes that it has joined, so texts that are of one
+    class by then are not aligned.
     """
 
-    def kernel(t: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
-        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        words = t.column("n_words").to_numpy().astype(np.int64)
-        _, label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)
-        found = []
+    def needed(t: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+        block, hit = _Block(t, similarity), np.zeros(t.num_rows, bool)
+        for x in a.tolist():
+            y, _ = block.pairs(x, b[b > x] if a is b else b)
+            hit[y] = True
+            hit[x] |= len(y) > 0
+        if not hit.any():
+            return None
+        return t.select(["bucket", "i", "j", "side", "node", "label"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
+
+    def aligned(t: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+        block, found = _Block(t, similarity), []
+        hashes = [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()]
         for x in a.tolist():
-            y = b[b > x] if a is b else b
-            y = y[label[y] != label[x]]
-            longer = np.maximum(words[y], words[x])
-            bound = np.maximum(np.abs(bins[y] - bins[x]).sum(axis=1) // 2, np.abs(words[y] - words[x]))
-            fits = bound <= longer * (1 - similarity) + 1e-9
-            found.append(np.stack([np.full(fits.sum(), x), y[fits], bound[fits]]))
-        pairs = np.concatenate(found, axis=1)
-        if not pairs.shape[1]:
+            y, _ = block.pairs(x, b[b > x] if a is b else b)
+            while len(y):
+                one = int(y[0])
+                if similar(hashes[x], hashes[one], similarity):
+                    found.append((x, one))
+                    block.label[block.label == block.label[one]] = block.label[x]
+                y = y[1:]
+                y = y[block.label[y] != block.label[x]]
+        if not found:
             return None
-        low, high = np.sort(label[pairs[:2]], axis=0)
-        order = np.lexsort((pairs[2], high, low))
-        pairs, classes = pairs[:, order], (low * len(label) + high)[order]
-        nth = textnum.occurrence(classes)
-        kept = nth < most
-        more = np.isin(classes, classes[~kept])
-        nodes = t.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [nodes.take(pa.array(pairs[0][kept])), nodes.take(pa.array(pairs[1][kept])), pa.array(more[kept])], ["a", "b", "more"]
-        )
+        left, right = (t.column("node").combine_chunks().take(pa.array(side)) for side in zip(*found))
+        return pa.RecordBatch.from_arrays([left, right], ["a", "b"])
 
-    rows = written(blocks.dealt(open_), "dealt").join(texts.select("node", "n_words", "bins"), "node")
-    return blocks.arranged(rows).mapInArrow(lambda batches: blocks.each(batches, kernel), "a binary, b binary, more boolean")
+    rows = written(blocks.across(open_), "dealt").join(texts.select("node", "n_words", "bins", "marks"), "node")
+    kind = "bucket long, i int, j int, side int, node binary, label binary"
+    rows = written(blocks.arranged(rows).mapInArrow(lambda batches: blocks.each(batches, needed), kind), "needed")
+    rows = rows.join(texts.select("node", "n_words", "bins", "marks", "hashes"), "node")
+    return blocks.arranged(rows).mapInArrow(lambda batches: blocks.each(batches, aligned), "a binary, b binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -336,21 +389,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wanted = members.select("node").distinct().join(distinct.select("node", "id", "text_key"), "node")
     wanted = wanted.select("node", F.coalesce("id", F.lit(-1)).alias("key"), "text_key")
     found = _keyed(docs, id_col, text_col).withColumn("key", F.coalesce("id", F.lit(-1))).join(wanted, ["key", "text_key"])
-    found = found.groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(found.join(distinct.select("node", "n_words", "bins"), "node"), "candidates")
+    found = _hashed(found.groupBy("node").agg(F.first("text").alias("text")))
+    texts = written(found.join(distinct.select("node", "n_words", "bins", "marks"), "node"), "candidates")
 
     # Texts whose lengths alone differ by more than the edits allowed are not read.
     longer = F.greatest("n_words", "rep.n_words")
     alike = F.abs(F.col("n_words") - F.col("rep.n_words")) <= longer * (1 - similarity) + 1e-9
     pairs = members.where((F.col("node") != F.col("rep.node")) & alike).select(F.col("rep.node").alias("a"), F.col("node").alias("b"))
     links = written(_verified(pairs, texts, similarity), "links")
-    labels, most = components(links), 4
-    while True:
-        pairs = written(_across(_open(members, labels), texts, similarity, most), "across")
-        links, labels = _more(links, labels, _verified(pairs.select("a", "b"), texts, similarity))
-        if pairs.where("more").isEmpty():
-            break
-        most *= 32
+    more = written(_across(_open(members, components(links)), texts, similarity), "across")
+    labels = components(links.union(more))
     named = distinct.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "id", F.coalesce("component", "node").alias("label")
     )
