@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id) that one checked broadcast may hold: 2 million rows of a few dozen bytes stay under about 100 MB.
-BROADCAST_ROWS = 2_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Table ``name`` of ``sf_dir``; with ``columns``, only those (so that clashing extra columns never reach an operator)."""
@@ -37,6 +34,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(table: DataFrame) -> None:
+    """Removes a table of ``written`` that nothing reads any more, so that disk is free for the next ones."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> str | list[str]:
+    """For each name one like it that no column of ``df`` has, whatever its case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in have:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out[0] if len(out) == 1 else out
+
+
 def crc32_of(column: Column | str) -> Column:
     """Unsigned CRC-32 of a value's text in UTF-8; of no bytes for null."""
     return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary"))
@@ -47,11 +62,6 @@ def fold(doc_id: str, modulus: int) -> Column:
     return crc32_of(doc_id) % modulus
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. Meant for narrow tables already written."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (id, component), the component being its smallest id.
 

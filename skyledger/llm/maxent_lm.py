@@ -1,14 +1,22 @@
 """LM scoring by a hashed maximum-entropy model: n-gram and skip features, a class-factored softmax.
 
 Tokens are runs without ASCII white space, A-Z in lower case, and one end token for each text. Counts of all tokens of
-all training texts give the base (unigram) model and the vocabulary: the ``WORDS`` most frequent tokens in classes of
-equal frequency; all others fall in ``TAILS`` classes by their last two bytes. The model is
-
-    P(token) = P(class | previous token, class before that) * P(token | class, previous token),
-
-both factors log-linear in hashed features: bias, previous token (n-gram), class two places back (skip) and both. In a
-tail class a token's share is that of its count. The events of all training texts are counted once, exactly; each
-gradient step then runs over the distinct events in parallel and updates one shared vector of weights (Adagrad).
+all training texts give the base (unigram) model and the vocabulary: the most frequent tokens are words, in about as many
+classes as the root of their number (each of about the same sum of roots of counts, of words of like frequency and
+ending); all others fall in ``TAILS`` classes by their last two bytes. The model is
+
+    P(token) = P(class | previous token, token before that) * P(token | class, previous token),
+
+both factors log-linear. The class factor has a bias, the previous token (n-gram) and the token two places back (skip);
+the word factor has a bias and the previous token with the word, hashed into the weights of its class. Tokens of a
+context are hashed into buckets: half are for one frequent word each, half are for endings. In a tail class a token's
+share is that of its count.
+
+What the model holds grows with the training tokens N: words as 16 N^1/2, classes as its root, buckets of previous tokens
+as 3 N^1/3, weights as words times buckets (see ``Shape``); memory sets bounds far above. Events are counted over all
+training texts, exactly. The class factor is fitted by gradient steps over all events in parallel, the word factor by
+gradient steps in one task for each class, whose events are at most buckets times its words. A token is scored by looking
+up its few weights and two normalisers, in sparse numpy batches.
 """
 
 from __future__ import annotations
@@ -17,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +35,44 @@ from pyspark.sql import functions as F
 from skyledger.llm import textnum
 from skyledger.llm.common import written
 
-WORDS = 992
-PER_CLASS = 32
-TAILS = 16
-WEIGHTS = 1 << 18
+TAILS = 64
+SKIPS = 64
 STEPS = 12
+#: Part of a full step, and the prior's weight in counts.
+RATE = 0.5
 PRIOR = 1.0
-#: Tokens whose counts are sent to every task (about 100 bytes each there); the counts of all others are joined.
-FREQUENT = 150_000
+#: Bounds set by memory of a task: words (about 100 bytes each), buckets, weights (4 bytes each).
+MOST_WORDS = 1_000_000
+MOST_BUCKETS = 4096
+MOST_WEIGHTS = 1 << 24
 END = b""
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How large a model of so many training tokens is."""
+
+    words: int
+    buckets: int
+
+    @classmethod
+    def of(cls, total: int) -> Shape:
+        buckets = 1 << max(4, round(np.log2(max(1, total)) / 3 + 1.5))
+        return cls(min(MOST_WORDS, max(256, int(16 * total**0.5))), min(MOST_BUCKETS, buckets))
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Tokens of a text without the end token."""
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def tail(token: bytes) -> int:
-    return zlib.crc32(token[-2:]) % TAILS
+    return ending(token) % TAILS
+
+
+def ending(token: bytes) -> int:
+    """Hash of the last two bytes of a token."""
+    return zlib.crc32(token[-2:])
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -70,131 +99,137 @@ def counted(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Token ids and counts. Ids below ``n_words`` are words (class = id // PER_CLASS), then come the tail classes."""
+    """Words by class and the sizes of the model."""
 
-    ids: dict[bytes, int]  # of the frequent tokens: row of the two arrays
-    outcome: np.ndarray
-    log_count: np.ndarray
-    n_words: int
+    ids: dict[bytes, int]
+    contexts_of: np.ndarray  # of each word and at last of the start of a text: its bucket as previous and as skipped token
+    log_count: np.ndarray  # of each word, and of a count of 0 at last
+    firsts: np.ndarray  # first word of each class, and the number of words at last
+    buckets: int
     total: int
     distinct: int
     tail_log: np.ndarray
 
     @property
-    def n_classes(self) -> int:
-        return -(-self.n_words // PER_CLASS) + TAILS
+    def n_words(self) -> int:
+        return len(self.ids)
 
     @property
-    def n_outcomes(self) -> int:
-        return self.n_words + TAILS
+    def n_classes(self) -> int:
+        return len(self.firsts) - 1 + TAILS
 
     def classes(self, outcome: np.ndarray) -> np.ndarray:
-        return np.where(outcome < self.n_words, outcome // PER_CLASS, outcome - self.n_words + self.n_classes - TAILS)
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(frequent row or -1, outcome) of each token, the end token last, and the tokens that are not frequent."""
-        words = tokens(text)
-        words.append(END)
-        row = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, len(words))
+        """Class of each outcome: a word, then the tail classes, then the start of a text."""
+        word = np.searchsorted(self.firsts, outcome, side="right") - 1
+        return np.where(outcome < self.n_words, word, outcome - self.n_words + len(self.firsts) - 1)
+
+    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """(word or -1, outcome, buckets) of all tokens, where each text's tokens begin and at last the end, tokens that are no words."""
+        words = [[*tokens(t), END] for t in texts]
+        begins = np.cumsum([0, *map(len, words)])
+        get = self.ids.get
+        row = np.fromiter((get(w, -1) for w in chain.from_iterable(words)), np.int64, int(begins[-1]))
+        outcome, others, codes = row.copy(), [[] for _ in texts], self.contexts_of[row]
         rare = np.flatnonzero(row < 0)
-        outcome = self.outcome[row]
-        others = [words[k] for k in rare.tolist()]
-        outcome[rare] = [self.n_words + tail(w) for w in others]
-        return row, outcome, others
-
-    def contexts(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(previous outcome, class two places back) of each token; a start of text has the ids after the last."""
-        before = np.concatenate([[self.n_outcomes], outcome[:-1]])
-        skip = np.concatenate([[self.n_classes] * 2, self.classes(outcome[:-2])])[: len(outcome)]
-        return before, skip
-
-
-def lexicon(counts: DataFrame, frequent: int = FREQUENT) -> tuple[Lexicon, int]:
-    """The lexicon of (token, n) and the least count that makes a token frequent."""
+        text = np.searchsorted(begins, rare, side="right") - 1
+        for k, n in zip(rare.tolist(), text.tolist()):
+            word = words[n][k - begins[n]]
+            others[n].append(word)
+            end = ending(word)
+            outcome[k] = self.n_words + end % TAILS
+            codes[k] = _coded(end, self.buckets), _coded(end, SKIPS)
+        return row, outcome, codes, begins, others
+
+    def contexts(self, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket of the previous token, bucket of the token two places back) of each token."""
+        start = self.contexts_of[-1]
+        bucket, skip = np.full(len(codes), start[0]), np.full(len(codes), start[1])
+        bucket[1:], skip[2:] = codes[:-1, 0], codes[:-2, 1]
+        bucket[begins[:-1]], skip[begins[:-1]] = start
+        second = begins[:-1] + 1
+        skip[second[second < begins[1:]]] = start[1]
+        return bucket, skip
+
+    def weights_of(self, word_class: int) -> int:
+        """Hashed weights of a class's word factor: one for eight pairs of bucket and word, within the bound of all."""
+        m = int(self.firsts[word_class + 1] - self.firsts[word_class])
+        return max(1, min(self.buckets * m // 8, MOST_WEIGHTS * m // self.n_words))
+
+
+def _coded(end: int | np.ndarray, buckets: int) -> int | np.ndarray:
+    """Bucket of a token that has none of its own, given its ending."""
+    return buckets // 2 + end % (buckets // 2)
+
+
+def _place(bucket: np.ndarray, word: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Where in its class's weights the feature (bucket, word of the class) lies."""
+    value = textnum.mixed(bucket.astype(np.uint64) * np.uint64(1 << 32) + word.astype(np.uint64))
+    return (value % np.asarray(size, np.uint64)).astype(np.int64)
+
+
+def lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
+    """The lexicon of (token, n) and the least count that makes a token a word."""
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(totals["n"] or 0), int(totals["v"])
+    shape = Shape.of(total)
     # The least count is taken from a histogram, so that no task sorts the vocabulary.
     level = F.floor(F.log2("n") * 8).cast("int")
     least, have = 1, 0
     levels = {r["level"]: r["k"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()}
     for at in sorted(levels, reverse=True):
         have += levels[at]
-        if have > frequent:
+        if have > shape.words:
             least = int(2 ** ((at + 1) / 8)) + 1
             break
-    top = counts.where((F.col("n") >= least) | (F.col("token") == F.lit(END))).toPandas()
-    words = [bytes(t) for t in top["token"]]
-    n = top["n"].to_numpy(np.int64)
-    order = sorted(range(len(words)), key=lambda k: (words[k] != END, -n[k], words[k]))
-    words, n = [words[k] for k in order], n[order]
-    n_words = min(WORDS, len(words))
-    outcome = np.array([k if k < n_words else n_words + tail(w) for k, w in enumerate(words)], np.int64)
+    is_word = (F.col("n") >= least) | (F.col("token") == F.lit(END))
+    top = counts.where(is_word).toPandas()
+    words, n = [bytes(t) for t in top["token"]], top["n"].to_numpy(np.int64)
+    ranked = sorted(range(len(words)), key=lambda k: (words[k] != END, -n[k], words[k]))
+    rank = np.empty(len(words), np.int64)
+    rank[ranked] = np.arange(len(words))
+    # Like frequency: the same rank up to 256, then the same power of two. Classes are stretches of this order.
+    order = sorted(ranked, key=lambda k: (rank[k] if rank[k] < 256 else 256 + int(rank[k]).bit_length(), words[k][-2:]))
+    words, n, rank = [words[k] for k in order], n[order], rank[order]
+    mass = np.cumsum(np.sqrt(n))
+    classes = max(1, round(len(n) ** 0.5))
+    class_of = np.minimum((mass - np.sqrt(n)) / mass[-1:] * classes, classes - 1).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+    firsts = np.append(np.flatnonzero(np.diff(class_of, prepend=-1)), len(n))
+    ends = np.array([ending(w) for w in words], np.int64)
+    contexts_of = np.array([np.where(rank < size // 2 - 1, rank, _coded(ends, size)) for size in (shape.buckets, SKIPS)], np.int64).T.reshape(-1, 2)
+    contexts_of = np.concatenate([contexts_of, [[shape.buckets // 2 - 1, SKIPS // 2 - 1]]])
     kind = F.crc32(F.expr("substring(token, -2, 2)")) % TAILS
-    inside = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words[:n_words]] or [(bytearray(b"\0"),)], "token binary")
-    rest = counts.join(F.broadcast(inside), "token", "left_anti").groupBy(kind.alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    rest = counts.where(~is_word).groupBy(kind.alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
     tail_log = np.full(TAILS, np.log10(0.1))
     for r in rest.collect():
         tail_log[int(r["tail"])] = np.log10(r["n"] + 0.1 * (r["v"] + 1))
     log_count = np.log10(np.append(n, 0) + 0.1)
-    return Lexicon({w: k for k, w in enumerate(words)}, np.append(outcome, 0), log_count, n_words, total, distinct, tail_log), least
-
-
-def _at(kind: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Place of a hashed feature: its kind, its context and its outcome."""
-    value = textnum.mixed(left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64) + np.uint64(kind << 60))
-    return (value & np.uint64(WEIGHTS - 1)).astype(np.int64)
-
-
-def _class_places(lex: Lexicon, before: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
-    """Weights of the class factor: for each kind of feature, contexts x classes."""
-    y = np.arange(lex.n_classes)[None, :]
-    both = before * (lex.n_classes + 1) + skip
-    return [_at(1, np.zeros_like(before)[:, None], y), _at(2, before[:, None], y), _at(3, skip[:, None], y), _at(4, both[:, None], y)]
-
-
-def _word_places(lex: Lexicon, before: np.ndarray) -> list[np.ndarray]:
-    y = np.arange(lex.n_words)[None, :]
-    return [_at(5, np.zeros_like(before)[:, None], y), _at(6, before[:, None], y)]
-
-
-def _class_logs(lex: Lexicon, weights: np.ndarray, before: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    places = _class_places(lex, before, skip)
-    z = sum(weights[p] for p in places)
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), places
-
-
-def _word_logs(lex: Lexicon, weights: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Natural logarithms of P(word | its class, previous), contexts x words."""
-    places = _word_places(lex, before)
-    z = sum(weights[p] for p in places)
-    firsts = np.arange(0, lex.n_words, PER_CLASS)
-    top = np.maximum.reduceat(z, firsts, axis=1)
-    z = z - np.repeat(top, np.diff(np.append(firsts, lex.n_words)), axis=1)
-    total = np.add.reduceat(np.exp(z), firsts, axis=1)
-    return z - np.repeat(np.log(total), np.diff(np.append(firsts, lex.n_words)), axis=1), places
+    return Lexicon({w: k for k, w in enumerate(words)}, contexts_of, log_count, firsts, shape.buckets, total, distinct, tail_log), least
 
 
 def events(texts: DataFrame, lex: Lexicon) -> DataFrame:
-    """(before, skip, outcome, n) of all tokens of the column ``text``."""
+    """(key, part, n) of all tokens of the column ``text``, each counted in both factors.
+
+    Word factor: key = word * buckets + bucket, part = class. Class factor: key = -1 - ((bucket * SKIPS + skip) * classes
+    + class), part = bucket.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, held, size = shared.value, [], 0
-        wide, deep = lex.n_classes + 1, lex.n_outcomes
 
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            pair, y = np.divmod(key, deep)
-            before, skip = np.divmod(pair, wide)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (before, skip, y)] + [pa.array(n.astype(np.int64))], ["before", "skip", "outcome", "n"])
+            part = np.where(key < 0, (-1 - key) // (SKIPS * lex.n_classes), lex.classes(np.maximum(key, 0) // lex.buckets))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "part", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                outcome = lex.read(text)[1]
-                before, skip = lex.contexts(outcome)
-                held.append((before * wide + skip) * deep + outcome)
+            for group in textnum.groups(batch.column(0).to_pylist(), 2_000_000):
+                _, outcome, codes, begins, _ = lex.read(group)
+                bucket, skip = lex.contexts(codes, begins)
+                word = outcome < lex.n_words
+                held.append(outcome[word] * lex.buckets + bucket[word])
+                held.append(-1 - ((bucket * SKIPS + skip) * lex.n_classes + lex.classes(outcome)))
                 size += len(outcome)
                 if size > 2_000_000:
                     yield out()
@@ -202,104 +237,178 @@ def events(texts: DataFrame, lex: Lexicon) -> DataFrame:
         if held:
             yield out()
 
-    kinds = "before int, skip int, outcome int, n long"
-    found = texts.select(F.col("text").cast("string")).mapInArrow(run, kinds)
-    return found.groupBy("before", "skip", "outcome").agg(F.sum("n").alias("n"))
+    found = texts.select(F.col("text").cast("string")).mapInArrow(run, "key long, part int, n long")
+    return found.groupBy("key", "part").agg(F.sum("n").alias("n"))
+
+
+def _moved(weights: np.ndarray, observed_less_expected: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Weights after one step along the gradient, each scaled by its own curvature's bound."""
+    return weights + np.clip(RATE * (observed_less_expected - PRIOR * weights) / (expected + PRIOR), -1, 1)
 
 
-def trained(found: DataFrame, lex: Lexicon, steps: int = STEPS, parts: int = 8) -> np.ndarray:
-    """Weights after ``steps`` gradient steps over all events. Contexts lie together in ``parts`` parts."""
+def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax of each row, logarithm of each row's sum of exponentials)."""
+    top = z.max(axis=1, keepdims=True)
+    p = np.exp(z - top)
+    total = p.sum(axis=1, keepdims=True)
+    return p / total, (np.log(total) + top)[:, 0]
+
+
+def word_factors(found: DataFrame, lex: Lexicon, steps: int = STEPS) -> DataFrame:
+    """(part, bias, weights, norms): of each class, its words' biases, hashed weights and a normaliser for each bucket."""
+    shared = found.sparkSession.sparkContext.broadcast(lex)
+
+    def fit(table: pa.Table) -> pa.Table:
+        lex, part = shared.value, table.column("part")[0].as_py()
+        first, last = int(lex.firsts[part]), int(lex.firsts[part + 1])
+        word, bucket = np.divmod(table.column("key").to_numpy(), lex.buckets)
+        seen = np.bincount(bucket * (last - first) + word - first, table.column("n").to_numpy(), lex.buckets * (last - first))
+        seen = seen.reshape(lex.buckets, last - first)
+        size = lex.weights_of(part)
+        place = _place(np.arange(lex.buckets)[:, None], np.arange(last - first)[None, :], size)
+        bias, weights, rows = np.log(seen.sum(axis=0) + 0.1), np.zeros(size), seen.sum(axis=1, keepdims=True)
+        for _ in range(steps if last - first > 1 else 0):
+            expected = _soft(bias + weights[place])[0] * rows
+            change = seen - expected
+            bias = _moved(bias, change.sum(axis=0), expected.sum(axis=0))
+            weights = _moved(weights, np.bincount(place.ravel(), change.ravel(), size), np.bincount(place.ravel(), expected.ravel(), size))
+        bias, weights = bias.astype(np.float32), weights.astype(np.float32)
+        norms = _soft((bias + weights[place]).astype(np.float64))[1]
+        columns = [pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (bias, weights, norms))]
+        return pa.table(columns, names=["part", "bias", "weights", "norms"])
+
+    return found.where("key >= 0").groupBy("part").applyInArrow(fit, "part int, bias binary, weights binary, norms binary")
+
+
+def class_factor(found: DataFrame, lex: Lexicon, steps: int = STEPS) -> np.ndarray:
+    """Weights of the class factor: a row for each bucket, for each hashed skip, and the biases."""
     spark = found.sparkSession
-    found = written(found.repartition(parts, "before"), "events")
-    weights, squares = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
-    if not lex.n_words:
-        return weights
-    shared_lex = spark.sparkContext.broadcast(lex)
-    for _ in range(steps):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lex, w, grad, seen = shared_lex.value, shared.value, np.zeros(WEIGHTS), False
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                seen = True
-                before, skip, y, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
-                context, at = np.unique(before * (lex.n_classes + 1) + skip, return_inverse=True)
-                for lo in range(0, len(context), 4096):
-                    part = np.flatnonzero((at >= lo) & (at < lo + 4096))
-                    own = context[lo : lo + 4096]
-                    logs, places = _class_logs(lex, w, *np.divmod(own, lex.n_classes + 1))
-                    d = np.zeros_like(logs)
-                    np.add.at(d, (at[part] - lo, lex.classes(y[part])), n[part])
-                    d -= np.exp(logs) * d.sum(axis=1, keepdims=True)
-                    for p in places:
-                        grad += np.bincount(np.broadcast_to(p, d.shape).ravel(), d.ravel(), WEIGHTS)
-                word = y < lex.n_words
-                own, at = np.unique(before[word], return_inverse=True)
-                if len(own):
-                    logs, places = _word_logs(lex, w, own)
-                    d = np.zeros_like(logs)
-                    np.add.at(d, (at, y[word]), n[word])
-                    firsts = np.arange(0, lex.n_words, PER_CLASS)
-                    totals = np.repeat(np.add.reduceat(d, firsts, axis=1), np.diff(np.append(firsts, lex.n_words)), axis=1)
-                    d -= np.exp(logs) * totals
-                    for p in places:
-                        grad += np.bincount(np.broadcast_to(p, d.shape).ravel(), d.ravel(), WEIGHTS)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([grad.tobytes()], pa.binary())], ["grad"])
-
-        grad = np.zeros(WEIGHTS)
-        # Few tasks, so few gradients (2 MB each) reach the driver.
-        for row in found.coalesce(parts).mapInArrow(run, "grad binary").collect():
-            grad += np.frombuffer(bytes(row["grad"]))
-        grad -= PRIOR * weights
-        squares += grad * grad
-        weights = weights + grad / np.sqrt(squares + 1e-12)
+    rows = found.where("key < 0").select("key", "part", "n")
+    parts = max(8, spark.sparkContext.defaultParallelism)
+    rows = written(rows.repartition(parts, "part"), "class-events")
+    weights = np.zeros((lex.buckets + SKIPS + 1, lex.n_classes))
+
+    def stepped(weights: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast((weights, lex.buckets, lex.n_classes))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, buckets, width = shared.value
+            change, expected, touched = np.zeros_like(weights), np.zeros_like(weights), np.zeros(len(weights), bool)
+            table = [b for b in batches if b.num_rows]
+            if not table:
+                return
+            key = -1 - np.concatenate([b.column(0).to_numpy() for b in table])
+            n = np.concatenate([b.column(2).to_numpy() for b in table]).astype(np.float64)
+            context, at = np.unique(key // width, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            edge = np.searchsorted(at[order], np.arange(0, len(context) + 1024, 1024))
+            for lo, s, e in zip(range(0, len(context), 1024), edge, edge[1:]):
+                bucket, skip = np.divmod(context[lo : lo + 1024], SKIPS)
+                own = order[s:e]
+                seen = np.bincount((at[own] - lo) * width + key[own] % width, n[own], len(bucket) * width).reshape(-1, width)
+                if first:
+                    guess = np.zeros_like(seen)
+                else:
+                    guess = _soft(weights[bucket] + weights[buckets + skip] + weights[-1])[0] * seen.sum(axis=1, keepdims=True)
+                kinds, which = np.unique(bucket, return_inverse=True)
+                for places, of in ((kinds, which), (buckets + np.arange(SKIPS), skip), (np.array([len(weights) - 1]), np.zeros(len(skip), np.int64))):
+                    one = np.zeros((len(places), len(of)))
+                    one[of, np.arange(len(of))] = 1
+                    change[places] += one @ (seen - guess)
+                    expected[places] += one @ guess
+                    touched[places] = True
+            at = np.flatnonzero(touched)  # a bucket's events are in one task, so few rows are sent
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array([x[k].tobytes() for k in at], pa.binary()) for x in (change, expected))], ["at", "change", "expected"])
+
+        change, expected = np.zeros_like(weights), np.zeros_like(weights)
+        for row in rows.mapInArrow(run, "at long, change binary, expected binary").toLocalIterator():
+            change[row["at"]] += np.frombuffer(row["change"])
+            expected[row["at"]] += np.frombuffer(row["expected"])
         shared.destroy()
+        return change, expected
+
+    seen, _ = stepped(weights, True)
+    weights[-1] = np.log(seen[-1] + 0.1)
+    for _ in range(steps):
+        weights = _moved(weights, *stepped(weights, False))
     return weights
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame, lex: Lexicon, least: int, weights: np.ndarray) -> DataFrame:
+@dataclass(frozen=True)
+class Model:
+    """Weights and normalisers of both factors, natural logarithms."""
+
+    lex: Lexicon
+    classes: np.ndarray
+    class_norms: np.ndarray  # buckets x skips
+    bias: np.ndarray
+    weights: np.ndarray
+    first_weight: np.ndarray  # of each class
+    word_norms: np.ndarray  # classes of words x buckets
+
+    def class_logs(self, bucket: np.ndarray, skip: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        w = self.classes
+        return w[bucket, kind] + w[self.lex.buckets + skip, kind] + w[-1, kind] - self.class_norms[bucket, skip]
+
+    def word_logs(self, bucket: np.ndarray, word: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        first = self.first_weight[kind]
+        place = first + _place(bucket, word - self.lex.firsts[kind], self.first_weight[kind + 1] - first)
+        return self.bias[word] + self.weights[place] - self.word_norms[kind, bucket]
+
+    def scores(self, row: np.ndarray, outcome: np.ndarray, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of log10 counts of its words, log10 probability less the rare tokens' counts) of each text."""
+        lex = self.lex
+        bucket, skip = lex.contexts(codes, begins)
+        kind = lex.classes(outcome)
+        logs = self.class_logs(bucket, skip, kind)
+        word = outcome < lex.n_words
+        logs[word] += self.word_logs(bucket[word], outcome[word], kind[word])
+        logs /= np.log(10)
+        logs[~word] -= lex.tail_log[outcome[~word] - lex.n_words]
+        counts = np.where(row < 0, 0.0, lex.log_count[row])
+        return np.add.reduceat(counts, begins[:-1]), np.add.reduceat(logs, begins[:-1])
+
+
+def trained(found: DataFrame, lex: Lexicon, steps: int = STEPS) -> Model:
+    """The model of the events ``found`` of a lexicon that has words."""
+    found = written(found, "events")
+    weights = class_factor(found, lex, steps)
+    norms = np.empty((lex.buckets, SKIPS))
+    for k in range(lex.buckets):
+        norms[k] = _soft(weights[k] + weights[lex.buckets : lex.buckets + SKIPS] + weights[-1])[1]
+    n = len(lex.firsts) - 1
+    first_weight = np.concatenate([[0], np.cumsum([lex.weights_of(k) for k in range(n)])])
+    bias, hashed, word_norms = np.zeros(lex.n_words, np.float32), np.zeros(int(first_weight[-1]), np.float32), np.zeros((n, lex.buckets))
+    for row in written(word_factors(found, lex, steps), "word-factors").toLocalIterator():
+        k = row["part"]
+        bias[lex.firsts[k] : lex.firsts[k + 1]] = np.frombuffer(row["bias"], np.float32)
+        hashed[first_weight[k] : first_weight[k + 1]] = np.frombuffer(row["weights"], np.float32)
+        word_norms[k] = np.frombuffer(row["norms"])
+    return Model(lex, weights.astype(np.float32), norms, bias, hashed, first_weight, word_norms)
+
+
+def scored(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame, lex: Lexicon, least: int, model: Model | None) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of each row of ``docs``, logarithms to base 10.
 
     Null and empty texts have the end token only. Tokens that no training text has count 0. Without training texts
-    both scores are 0. Repeated rows and null ids give rows of their own; other columns are not read.
+    both scores are 0. Repeated rows and null ids give rows of their own; other columns are not read. An empty table
+    gives no rows.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((lex, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((lex, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, weights = shared.value
-        tables: list[np.ndarray] = []
-        if lex.n_words:
-            before, skip = np.divmod(np.arange((lex.n_outcomes + 1) * (lex.n_classes + 1)), lex.n_classes + 1)
-            logs = [_class_logs(lex, weights, before[k : k + 4096], skip[k : k + 4096])[0].astype(np.float32) for k in range(0, len(before), 4096)]
-            tables = [np.concatenate(logs) / np.float32(np.log(10)), (_word_logs(lex, weights, np.arange(lex.n_outcomes + 1))[0] / np.log(10)).astype(np.float32)]
+        lex, model = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows, rare = [], []
-                for text in part.column(1).to_pylist():
-                    row, outcome, others = lex.read(text)
-                    common = row >= 0
-                    logs = float(lex.log_count[row[common]].sum())
-                    model = 0.0
-                    if tables:
-                        before, skip = lex.contexts(outcome)
-                        word = outcome < lex.n_words
-                        model = float(tables[0][before * (lex.n_classes + 1) + skip, lex.classes(outcome)].sum(dtype=np.float64))
-                        model += float(tables[1][before[word], outcome[word]].sum(dtype=np.float64))
-                        model -= float(lex.tail_log[outcome[~word] - lex.n_words].sum())
-                        model += float(lex.log_count[row[common & ~word]].sum())
-                    rows.append((len(row), int(common.sum()), logs, model))
-                    rare.append(others)
-                columns = list(zip(*rows))
+            at = 0
+            for group in textnum.groups(batch.column(1).to_pylist(), 1_000_000):
+                row, outcome, codes, begins, rare = lex.read(group)
+                common, logs = model.scores(row, outcome, codes, begins) if model else (np.zeros(len(group)),) * 2
+                known = np.add.reduceat((row >= 0).astype(np.int64), begins[:-1]) if len(group) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-                     pa.array(columns[3], pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
+                    [batch.column(0).slice(at, len(group)), pa.array(np.diff(begins)), pa.array(known), pa.array(common), pa.array(logs), pa.array(rare, pa.list_(pa.binary()))],
                     ["id", "n_tokens", "n_common", "common_log", "model_log", "rare"],
                 )
+                at += len(group)
 
     kinds = "id long, n_tokens long, n_common long, common_log double, model_log double, rare array<binary>"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -312,6 +421,8 @@ def scored(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame, lex:
     floor = float(np.log10(lex.total + 0.1 * (lex.distinct + 1)))
     logs = F.coalesce("rare_log", F.lit(0.0))
     base = F.col("common_log") + logs - F.col("n_tokens") * F.lit(floor)
+    if not lex.n_words:  # nothing learned: every token counts 0 of 0
+        base = F.lit(0.0)
     return rows.join(known, "row", "left").select(
         "id", "n_tokens", (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), base.alias("base_score"),
         (F.col("model_log") + logs if lex.n_words else base).alias("score"),
@@ -323,5 +434,5 @@ def learned_and_scored(train: DataFrame, docs: DataFrame, id_col: str = "doc_id"
     texts = train.select(F.col(text_col).alias("text"))
     counts = written(counted(texts), "counts")
     lex, least = lexicon(counts)
-    weights = trained(events(texts, lex), lex)
-    return scored(docs, id_col, text_col, counts, lex, least, weights), lex.total
+    model = trained(events(texts, lex), lex) if lex.n_words else None
+    return scored(docs, id_col, text_col, counts, lex, least, model), lex.total

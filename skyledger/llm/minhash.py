@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm import blocks, textnum
-from skyledger.llm.common import components, written
+from skyledger.llm.common import components, discarded, fresh, written
 
 WORDS = 3
 SIMILARITY = 0.8
@@ -239,16 +239,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
-    """(node, hashes) of (node, text): the words' hashes, eight bytes each."""
+    """``texts`` with the words' hashes, eight bytes each, in place of its last column, the text."""
+    names = texts.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                hashes = [h.tobytes() for h in textnum.word_hashes_of(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
+                hashes = [h.tobytes() for h in textnum.word_hashes_of(part.column(len(names)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hashes, pa.binary())], [*names, "hashes"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, hashes binary")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(run, f"{kinds}, hashes binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -382,15 +384,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("marks").alias("marks")
     )
     distinct = written(distinct.select("node", "first.id", "first.text_key", "n_words", "bins", "marks"), "texts")
+    sketches, rows = rows, written(rows.select("id", "text_key", "node"), "rows")
+    discarded(sketches)
     members = distinct.select("node", "n_words", F.explode("marks").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n_words")).alias("rep")).where("size > 1")
     members = written(members.join(written(sizes, "buckets"), "bucket"), "members")
     # Only texts that share a bucket are read again, each by one of its rows.
-    wanted = members.select("node").distinct().join(distinct.select("node", "id", "text_key"), "node")
-    wanted = wanted.select("node", F.coalesce("id", F.lit(-1)).alias("key"), "text_key")
-    found = _keyed(docs, id_col, text_col).withColumn("key", F.coalesce("id", F.lit(-1))).join(wanted, ["key", "text_key"])
-    found = _hashed(found.groupBy("node").agg(F.first("text").alias("text")))
-    texts = written(found.join(distinct.select("node", "n_words", "bins", "marks"), "node"), "candidates")
+    # Of rows that repeat one is taken within the join's own partitioning, so texts are shuffled once.
+    wanted = members.select("node").distinct().join(distinct, "node").withColumn("key", F.coalesce("id", F.lit(-1))).drop("id")
+    found = _keyed(docs, id_col, text_col).select(F.coalesce("id", F.lit(-1)).alias("key"), "text_key", "text").join(wanted, ["key", "text_key"])
+    found = found.groupBy("key", "text_key").agg(*(F.first(c).alias(c) for c in ("node", "n_words", "bins", "marks", "text"))).drop("key", "text_key")
+    texts = written(_hashed(found), "candidates")
 
     # Texts whose lengths alone differ by more than the edits allowed are not read.
     longer = F.greatest("n_words", "rep.n_words")
@@ -413,9 +417,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each class, that of its smallest id, all columns as they were."""
     of_rows = classes(docs, id_col, text_col, **how).where("id <=> class_id")
     kept = written(of_rows.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("times")), "kept")
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    marked = docs.withColumn("_key", key).alias("d")
-    out = marked.join(kept.alias("k"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.id")) & (F.col("d._key") == F.col("k.text_key")), "left_semi")
+    name = fresh(docs, "key")
+    marked = docs.withColumn(name, F.xxhash64(F.col(text_col).cast("string"))).alias("d")
+    out = marked.join(kept.alias("k"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.id")) & (F.col(f"d.{name}") == F.col("k.text_key")), "left_semi")
     if not kept.where("times > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_key"])
-    return out.drop("_key")
+        out = out.dropDuplicates([id_col, name])
+    return out.drop(name)

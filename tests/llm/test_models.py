@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skyledger.llm import langid, maxent_lm, quality, sp_codec
@@ -74,3 +75,51 @@ def test_language_model_of_edge_rows(spark):
     assert len(got) == len(EDGE) and total == sum(r.n_tokens for r in got) and all(r.score <= 0 for r in got)
     found, total = maxent_lm.learned_and_scored(df.where("false"), df)
     assert total == 0 and all(r.n_known == 0 and r.base_score == r.score == 0 for r in found.collect())
+
+
+def test_language_model_scores_by_a_plain_loop(spark):
+    """Both factors sum to one, and a text's score is the product of its tokens' shares."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("text")).limit(60)
+    counts = maxent_lm.counted(docs)
+    lex, least = maxent_lm.lexicon(counts)
+    model = maxent_lm.trained(maxent_lm.events(docs, lex), lex, 3)
+    every = np.arange(lex.n_classes)
+    for bucket, skip in ((0, 0), (3, 40), (lex.buckets - 1, 63)):
+        logs = model.class_logs(np.full(len(every), bucket), np.full(len(every), skip), every)
+        assert math.isclose(float(np.exp(logs.astype(float)).sum()), 1, abs_tol=1e-4)
+    for kind in range(0, lex.n_classes - maxent_lm.TAILS, 5):
+        words = np.arange(lex.firsts[kind], lex.firsts[kind + 1])
+        logs = model.word_logs(np.full(len(words), 5), words, np.full(len(words), kind))
+        assert math.isclose(float(np.exp(logs.astype(float)).sum()), 1, abs_tol=1e-4)
+    n = {bytes(r.token): r.n for r in counts.collect()}
+    text = docs.first().text + " neverseen Neverseen"
+    want, kept = 0.0, [*maxent_lm.tokens(text), maxent_lm.END]
+    start = lex.contexts_of[-1]
+
+    def buckets(word):
+        return lex.contexts_of[lex.ids[word]] if word in lex.ids else [s // 2 + zlib.crc32(word[-2:]) % (s // 2) for s in (lex.buckets, maxent_lm.SKIPS)]
+
+    tails = {}
+    for w, c in n.items():
+        if w not in lex.ids:
+            tails.setdefault(zlib.crc32(w[-2:]) % maxent_lm.TAILS, []).append(c)
+    for k, word in enumerate(kept):
+        bucket = buckets(kept[k - 1])[0] if k else start[0]
+        skip = buckets(kept[k - 2])[1] if k > 1 else start[1]
+        row = model.classes[bucket].astype(float) + model.classes[lex.buckets + skip] + model.classes[-1]
+        if word in lex.ids:
+            kind = int(np.searchsorted(lex.firsts, lex.ids[word], side="right")) - 1
+        else:
+            tail = zlib.crc32(word[-2:]) % maxent_lm.TAILS
+            kind = len(lex.firsts) - 1 + tail
+            own = tails.get(tail, [])
+            want += math.log10((n.get(word, 0) + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+        want += math.log10(math.exp(row[kind]) / np.exp(row).sum())
+        if word in lex.ids:
+            members = range(lex.firsts[kind], lex.firsts[kind + 1])
+            z = {y: float(model.bias[y] + model.weights[model.first_weight[kind] + maxent_lm._place(np.array([bucket]), np.array([y - lex.firsts[kind]]), lex.weights_of(kind))[0]]) for y in members}
+            want += math.log10(math.exp(z[lex.ids[word]]) / sum(map(math.exp, z.values())))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = maxent_lm.scored(df, "doc_id", "text", counts, lex, least, model).first()
+    assert math.isclose(got.score, want, rel_tol=1e-4) and got.n_tokens == len(kept) and got.n_known == len(kept) - 2
+    assert maxent_lm.scored(df.where("false"), "doc_id", "text", counts, lex, least, model).isEmpty()
