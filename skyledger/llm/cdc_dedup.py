@@ -5,7 +5,8 @@ inside a run of over 64 bytes without white space, where a character begins), an
 smallest within four such places on either side. So chunks have at least five words, nine on average, and an insertion
 moves only the boundaries beside it. Chunks are deduplicated by a 64-bit digest: of the documents that hold a chunk, that of the
 smallest id keeps it, once. Runs of duplicate chunks of at least ``min_words`` words are cut; shorter ones stay, so
-that stock phrases and chance repeats change nothing. A passage of over 50 words that another document holds loses
+that stock phrases and chance repeats change nothing; in runs of over 64 bytes without white space (scripts without
+spaces, encoded data) every six bytes count as a word. A passage of over 50 words that another document holds loses
 about five words at either end to unlike boundaries and leaves such a run.
 """
 
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm import textnum
-from skyledger.llm.common import written
+from skyledger.llm.common import fresh, written
 
 RADIUS = 4
 MIN_WORDS = 20
 LONG_RUN = 64
+BYTES_OF_WORD = 6
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -111,13 +113,23 @@ def duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return places.groupBy("id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
+def words_before(data: np.ndarray) -> np.ndarray:
+    """How many words begin before each byte and at last the end; long runs have one for every six bytes."""
+    starts, ends = textnum.spans(data, ~_SPACE[data])
+    begins = np.zeros(len(data), np.int64)
+    begins[starts] = 1
+    for a, b in zip(*(x[ends - starts > LONG_RUN] for x in (starts, ends))):
+        begins[a:b:BYTES_OF_WORD] = 1
+    return np.concatenate([[0], np.cumsum(begins)])
+
+
 def cut(text: str, places: list[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]], int]:
     """(text without its long runs of the chunks at ``places``, their byte spans, their words)."""
     data = textnum.as_bytes(text)
     edges = np.append(boundaries(data), len(data))
     dup = np.zeros(len(edges) - 1, bool)
     dup[[p for p in places if p < len(dup)]] = True
-    words = np.concatenate([[0], np.cumsum(np.diff((~_SPACE[data]).view(np.int8), prepend=np.int8(0)) == 1)])
+    words = words_before(data)
     first, last = textnum.spans(data, dup)
     spans = [(int(edges[a]), int(edges[b])) for a, b in zip(first, last) if words[edges[b]] - words[edges[a]] >= min_words]
     kept, at = [], 0
@@ -128,12 +140,13 @@ def cut(text: str, places: list[int], min_words: int = MIN_WORDS) -> tuple[str,
     return b"".join(kept).decode("utf-8", "replace"), spans, int(sum(words[b] - words[a] for a, b in spans))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text_col`` cut and a column ``cdc``: struct of spans (byte start and stop in the old text), words.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, out: str = "cdc") -> DataFrame:
+    """``docs`` with ``text_col`` cut and a column ``out``: struct of spans (byte start and stop in the old text), words.
 
     Rows of one id are one document: passages that they share stay. Null ids come last and count as one document. A
-    null text stays null and an empty one empty; a text all of whose chunks stand elsewhere becomes empty. cdc is
-    replaced if the table has such a column; other columns stay as they are.
+    null text stays null and an empty one empty; a text all of whose chunks stand elsewhere becomes empty. Very long
+    texts are cut whole. ``out`` is replaced if the table has such a column; other columns stay as they are, whatever
+    their names. An empty table gives no rows.
     """
     kind = "struct<text:string,spans:array<struct<start:int,stop:int>>,words:int>"
 
@@ -149,12 +162,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.array(rows, pa.struct([("text", pa.string()), ("spans", pa.list_(span)), ("words", pa.int32())]))
 
     cut_udf = F.arrow_udf(run, kind).asNondeterministic()
+    id_, key, places, new = fresh(docs, "id", "key", "places", "cut")
     found = written(duplicates(docs, id_col, text_col), "places")
-    found = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("places").alias("_places"))
+    found = found.select(F.col("id").alias(id_), F.col("text_key").alias(key), F.col("places").alias(places))
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_key": F.xxhash64(text)})
-    joined = keyed.join(found, ["_id", "_key"], "left")
-    joined = joined.withColumn("_cut", cut_udf(F.when(F.col("_places").isNotNull(), text), F.col("_places")))
+    keyed = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), key: F.xxhash64(text)})
+    joined = keyed.join(found, [id_, key], "left")
+    joined = joined.withColumn(new, cut_udf(F.when(F.col(places).isNotNull(), text), F.col(places)))
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    cdc = F.struct(F.coalesce("_cut.spans", none).alias("spans"), F.coalesce("_cut.words", F.lit(0)).alias("words"))
-    return joined.withColumns({"cdc": cdc, text_col: F.coalesce(F.col("_cut.text"), text)}).drop("_id", "_key", "_places", "_cut")
+    spans = F.struct(F.coalesce(f"{new}.spans", none).alias("spans"), F.coalesce(f"{new}.words", F.lit(0)).alias("words"))
+    return joined.withColumns({out: spans, text_col: F.coalesce(F.col(f"{new}.text"), text)}).drop(id_, key, places, new)

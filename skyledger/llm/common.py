@@ -54,7 +54,8 @@ def fresh(df: DataFrame, *names: str) -> str | list[str]:
 
 def crc32_of(column: Column | str) -> Column:
     """Unsigned CRC-32 of a value's text in UTF-8; of no bytes for null."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary"))
+    text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def fold(doc_id: str, modulus: int) -> Column:

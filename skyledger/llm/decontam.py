@@ -3,12 +3,14 @@
 Words are canonicalised: numbers become <number>, units after a number <unit>, and capitalised words inside a sentence
 <name>; other words are lower-cased. Names are also read as plain words, so that a text without capitals matches too,
 and in a further reading capitalised words that begin a sentence are <name> as well, function words excepted.
-Windows of eight such tokens of every document are hash-joined with those of the
-benchmark, so a question whose numbers, names or units were changed still meets its item. A match counts if its slots
+Windows of 13 such tokens of every document are hash-joined with those of the
+benchmark, so a question whose numbers, names or units were changed still meets its item. An item of fewer tokens is one
+window, and documents have windows of each such length. A match counts if its slots
 agree: over the matched stretch of document and item, equal values of one side stand for equal values of the other
 (a one-to-one renaming). A stretch of consecutive matching windows starts anew at a slot that contradicts an earlier
 one, and parts that are the same on both sides always count. A document is contaminated by an item if such a stretch covers at least 13 tokens,
-or the whole item if that is shorter, and holds five words or more that are literal or equal on both sides.
+or the whole item if that is shorter, and holds five words or more that are literal or equal on both sides. An item of
+fewer than five tokens is met only by a document that is nothing else.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm import textnum
-from skyledger.llm.common import written
+from skyledger.llm.common import fresh, written
 
-WINDOW = 8
 MIN_TOKENS = 13
 MIN_LITERALS = 5
 #: Benchmark windows whose hashes are sent to every task (8 bytes each); with more, all windows are joined instead.
@@ -69,7 +70,8 @@ def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     # Points and commas between digits belong to the number.
     mark = np.zeros(len(data), bool)
     mark[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & digit[:-2] & digit[2:]
-    starts, ends = textnum.spans(data, textnum.WORD_BYTE[data] | mark)
+    inside, begin_word = textnum.ink(data)
+    starts, ends = textnum.spans(data, inside | mark, begin_word)
     first = np.searchsorted(starts, begins)
     values = textnum.span_hashes(low, starts, ends)
     tokens = values.copy()
@@ -92,8 +94,17 @@ def canonical(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return tokens, values, first, opened
 
 
-def _rows(ids: list, texts: list, size: int, wanted: np.ndarray | None) -> Iterator[dict]:
-    """Windows of texts: id, hash, place, number of tokens, slots, the values there and whether names begin sentences."""
+def _hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` tokens, by differences of their running polynomial sum."""
+    n = len(sums) - size
+    return textnum.mixed((sums[size:] - sums[:-size]) * textnum._power(n, inverse=True) + np.uint64(size)).view(np.int64) if n > 0 else np.zeros(0, np.int64)
+
+
+def _rows(keys: list[tuple], texts: list, size: int, lengths: list[int] | None, wanted: np.ndarray | None) -> Iterator[dict]:
+    """Windows of texts: their keys, hash, place, number of tokens, slots, the values there and whether names begin sentences.
+
+    Without ``lengths`` a text of fewer than ``size`` tokens is one window; with them, every text has windows of these too.
+    """
     at = 0
     for group in textnum.groups(texts):
         typed, values, first, opened = canonical(group)
@@ -101,55 +112,54 @@ def _rows(ids: list, texts: list, size: int, wanted: np.ndarray | None) -> Itera
             other = None if tokens is typed else tokens != typed
             if other is not None and not other.any():
                 continue  # both readings are the same
-            for k, p, window in _found(tokens, first, size, wanted, other):
+            for k, p, window, n in _found(tokens, first, size, lengths, wanted, other):
                 begin, end = int(first[k]), int(first[k + 1])
-                slots = np.flatnonzero(tokens[p : min(p + size, end)] <= UNIT) + p
-                yield {"id": ids[at + k], "window": window, "place": p - begin, "n_tokens": end - begin,
+                slots = np.flatnonzero(tokens[p : p + n] <= UNIT) + p
+                id_, text_key = keys[at + k]
+                yield {"id": id_, "text_key": text_key, "window": window, "place": p - begin, "n_tokens": end - begin,
                        "slots": (slots - begin).tolist(), "values": values[slots].view(np.int64).tolist(), "opened": tokens is opened}
         at += len(group)
 
 
-def _found(tokens: np.ndarray, first: np.ndarray, size: int, wanted: np.ndarray | None, within: np.ndarray | None) -> list[tuple[int, int, int]]:
-    """(text, place among all tokens, hash) of the windows that are wanted; with ``within`` only those with such a token."""
+def _found(tokens: np.ndarray, first: np.ndarray, size: int, lengths: list[int] | None, wanted: np.ndarray | None, within: np.ndarray | None) -> list[tuple[int, int, int, int]]:
+    """(text, place among all tokens, hash, length) of the windows that are wanted; with ``within`` only those with such a token."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textnum.mixed(tokens + np.uint64(1)) * textnum._power(len(tokens)))])
+    seen = None if within is None else np.concatenate([[0], np.cumsum(within)])
+    long = np.diff(first)
     found = []
-    for k in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist():
-        window = textnum.windows(tokens[first[k] : first[k + 1]], size).view(np.int64)
-        if (within is None or within[first[k] : first[k + 1]].any()) and (wanted is None or np.isin(window, wanted).any()):
-            found.append((k, int(first[k]), int(window[0])))
-    if len(tokens) >= size:
-        all_ = textnum.windows(tokens, size).view(np.int64)
+    for n in [size, *(range(1, size) if lengths is None else lengths)]:
+        hashes = _hashes(sums, n)
         if wanted is None:
-            hit = np.arange(len(all_))
-        elif len(wanted):
-            hit = np.flatnonzero(wanted[np.searchsorted(wanted, all_).clip(max=len(wanted) - 1)] == all_)
+            hit = np.arange(len(hashes))
         else:
-            hit = np.zeros(0, np.int64)
-        if within is not None:
-            seen = np.concatenate([[0], np.cumsum(within)])
-            hit = hit[seen[hit + size] > seen[hit]]
+            hit = np.flatnonzero(wanted[np.searchsorted(wanted, hashes).clip(max=len(wanted) - 1)] == hashes) if len(wanted) else np.zeros(0, np.int64)
+        if seen is not None:
+            hit = hit[seen[hit + n] > seen[hit]]
         text = np.searchsorted(first, hit, side="right") - 1
-        inside = hit + size <= first[text + 1]  # windows over two texts are none
-        found += zip(text[inside].tolist(), hit[inside].tolist(), all_[hit[inside]].tolist())
+        good = hit + n <= first[text + 1]  # windows over two texts are none
+        if n < size and (lengths is None or n < MIN_LITERALS):
+            good &= long[text] == n
+        found += zip(text[good].tolist(), hit[good].tolist(), hashes[hit[good]].tolist(), [n] * int(good.sum()))
     return found
 
 
 _KIND = pa.schema(
-    [("id", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int32()),
+    [("id", pa.int64()), ("text_key", pa.int64()), ("window", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int32()),
      ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.int64())), ("opened", pa.bool_())]
 )
-_SQL = "id long, window long, place int, n_tokens int, slots array<int>, values array<bigint>, opened boolean"
+_SQL = "id long, text_key long, window long, place int, n_tokens int, slots array<int>, values array<bigint>, opened boolean"
 
 
-def windows(texts: DataFrame, id_col: str, text_col: str, wanted: np.ndarray | None = None, size: int = WINDOW) -> DataFrame:
-    """Windows of every text; with ``wanted`` (sorted hashes) only those among them."""
+def windows(texts: DataFrame, id_col: str, text_col: str, size: int, lengths: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """Windows of every text (see ``_rows``); with ``wanted`` (sorted hashes) only those among them."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = []
-                for row in _rows(part.column(0).to_pylist(), part.column(1).to_pylist(), size, shared.value):
+                rows, keys = [], list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                for row in _rows(keys, part.column(2).to_pylist(), size, lengths, shared.value):
                     rows.append(row)
                     if len(rows) == 50_000:  # a very long text is sent on in pieces
                         yield pa.RecordBatch.from_pylist(rows, schema=_KIND)
@@ -157,25 +167,32 @@ def windows(texts: DataFrame, id_col: str, text_col: str, wanted: np.ndarray | N
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_KIND)
 
-    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SQL)
+    return _keyed(texts, id_col, text_col).mapInArrow(run, _SQL)
+
+
+def _keyed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return texts.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-            item_text: str = "text", size: int = WINDOW, min_tokens: int = MIN_TOKENS, max_sent: int = MAX_SENT) -> DataFrame:
-    """(id, item_id, tokens, n_tokens): each item found in each document, with the tokens of the longest stretch.
+            item_text: str = "text", min_tokens: int = MIN_TOKENS, max_sent: int = MAX_SENT) -> DataFrame:
+    """(id, text_key, item_id, tokens, n_tokens): each item found in each document, with the tokens of the longest stretch.
 
-    Items shorter than a window are one window, all their tokens; such an item matches only a document window of as
-    many tokens, so it needs a document that is just as short. Texts that are null, empty or without words match
-    nothing, as do items of fewer than ``MIN_LITERALS`` literal words. Rows that repeat give one row; a document with a
-    null id is found under its null id. Other columns are not read.
+    A document is its id and its text (text_key is the text's xxhash64): rows that share an id but not the text are told
+    apart, rows that share both are one. A null id is an id of its own. Texts that are null, empty or without words match
+    nothing; items without an id are left out. Repeated items count once. Other columns are not read. Very long texts
+    are read whole. Without documents or items there are no rows.
     """
-    items = written(windows(benchmark, item_col, item_text, None, size).where("id is not null").dropDuplicates(["id", "window", "place"]), "items")
+    size = min_tokens
+    items = written(windows(benchmark, item_col, item_text, size).where("id is not null").dropDuplicates(["id", "text_key", "window", "place"]), "items")
+    lengths = sorted(r["n_tokens"] for r in items.where(F.col("n_tokens") < size).select("n_tokens").distinct().collect())  # fewer than 13
     wanted = None
     hashes = items.select("window").distinct()
     if hashes.limit(max_sent + 1).count() <= max_sent:
         wanted = np.sort(np.array(hashes.toPandas()["window"].to_numpy(), np.int64))
-    of_docs = windows(docs, id_col, text_col, wanted, size)
-    item = items.select("window", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("n_tokens").alias("item_tokens"),
+    of_docs = windows(docs, id_col, text_col, size, lengths, wanted)
+    item = items.select("window", F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("place").alias("item_place"), F.col("n_tokens").alias("item_tokens"),
                         F.col("values").alias("item_values"), F.col("slots").alias("item_slots"), F.col("opened").alias("item_opened"))
     met = of_docs.join(item, "window")
     # Windows of one diagonal that follow each other are a stretch; each row's stretch starts where none precedes it.
@@ -183,29 +200,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     either = F.col("opened") | F.col("item_opened")
     met = met.withColumn("with_opened", F.explode(F.when(either, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     met = met.select(
-        "with_opened", "id", "item_id", "place", "item_place", "item_tokens", (F.col("place") - F.col("item_place")).alias("shift"),
+        "with_opened", "id", "text_key", "item_id", "item_key", "place", "item_place", "item_tokens", (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip(F.col("slots").alias("at"), F.col("values").alias("here"), F.col("item_values").alias("there")).alias("pairs"),
     )
-    along = met.groupBy("id", "item_id", "shift", "item_tokens", "with_opened").agg(
+    along = met.groupBy("id", "text_key", "item_id", "item_key", "shift", "item_tokens", "with_opened").agg(
         F.sort_array(F.collect_set("item_place")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
+    along = along.select("id", "text_key", "item_id", "shift", "item_tokens", "places", "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = [
                 longest([k + shift for k in places], [(x["at"], x["here"], x["there"]) for x in pairs], size, n, min(min_tokens, n))
-                for shift, n, places, pairs in zip(*(batch.column(k).to_pylist() for k in (2, 3, 5, 6)))
+                for shift, n, places, pairs in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)))
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(best, pa.int32()), batch.column(3)], ["id", "item_id", "tokens", "item_tokens"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, pa.int32()), batch.column(4)], ["id", "text_key", "item_id", "tokens", "item_tokens"])
 
-    good = along.mapInArrow(run, "id long, item_id long, tokens int, item_tokens int").where("tokens > 0")
-    return good.groupBy("id", "item_id").agg(F.max("tokens").alias("tokens"), F.max("item_tokens").alias("n_tokens"))
+    good = along.mapInArrow(run, "id long, text_key long, item_id long, tokens int, item_tokens int").where("tokens > 0")
+    return good.groupBy("id", "text_key", "item_id").agg(F.max("tokens").alias("tokens"), F.max("item_tokens").alias("n_tokens"))
 
 
 def longest(places: list[int], pairs: list[tuple[int, int, int]], size: int, item_tokens: int, least: int) -> int:
-    """Tokens of the longest stretch whose slots agree, 0 if none has ``least`` tokens and ``MIN_LITERALS`` words.
+    """Tokens of the longest stretch whose slots agree, 0 if none has ``least`` tokens and ``MIN_LITERALS`` words (or the item's, if fewer).
 
     places: sorted places where windows of one diagonal match; pairs: (place, value here, value there) of slots. Each
     run of places is a stretch, which starts anew at a slot that contradicts an earlier one of the stretch. Parts
@@ -229,25 +245,26 @@ def longest(places: list[int], pairs: list[tuple[int, int, int]], size: int, ite
                 stretches.append((x - same, 0))
                 same, renamed = x + 1, renamed + 1
         stretches += [(end - begin, renamed), (end - same, 0)]
-        best = max(best, *(n for n, r in stretches if n >= least and n - r >= MIN_LITERALS), 0)
+        best = max(best, *(n for n, r in stretches if n >= least and n - r >= min(MIN_LITERALS, item_tokens)), 0)
     return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row for each row of ``docs``: id, contaminated, item_ids (sorted), max_tokens of a stretch (0 if none)."""
-    found = matches(docs, benchmark, id_col, text_col, **how).groupBy("id").agg(
+    """One row for each row of ``docs``: id, contaminated, item_ids (sorted), max_tokens of a stretch (0 if none). See ``matches``."""
+    found = matches(docs, benchmark, id_col, text_col, **how).groupBy("id", "text_key").agg(
         F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("tokens").alias("max_tokens")
     )
-    found = written(found, "contaminated").withColumnRenamed("id", "_id")
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    joined = ids.join(found, F.col("id").eqNullSafe(F.col("_id")), "left")
+    found, rows = written(found, "contaminated").alias("f"), _keyed(docs, id_col, text_col).drop("text").alias("d")
+    joined = rows.join(found, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.text_key") == F.col("f.text_key")), "left")
     return joined.select(
-        "id", F.col("max_tokens").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+        F.col("d.id").alias("id"), F.col("max_tokens").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
         F.coalesce("max_tokens", F.lit(0)).alias("max_tokens"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns as they were."""
-    found = written(matches(docs, benchmark, id_col, text_col, **how).select(F.col("id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; all columns as they were, whatever their names. See ``matches``."""
+    id_, key = fresh(docs, "id", "key")
+    found = matches(docs, benchmark, id_col, text_col, **how).select(F.col("id").alias(id_), F.col("text_key").alias(key)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(key))
+    return docs.join(written(found, "contaminated"), same, "left_anti")

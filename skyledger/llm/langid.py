@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.llm import textnum
-from skyledger.llm.common import crc32_of
+from skyledger.llm.common import crc32_of, fresh
 
 RANKS = 300
 MAX_N = 4
@@ -169,7 +169,8 @@ def identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang
     """``docs`` with the predicted language and its score (columns of those names are replaced).
 
     A text that is null, empty or without letters is ``und`` with score 0, as is every text if no language was learned.
-    Ties go to the language first in alphabetical order. Each text is read whole.
+    Ties go to the language first in alphabetical order. Each text is read whole, however long. Repeated rows stay; the
+    other columns stay as they are, whatever their names. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -178,5 +179,6 @@ def identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang", "score"])
 
     predict = F.arrow_udf(run, "struct<lang:string,score:double>").asNondeterministic()
-    out = docs.withColumn("_found", predict(F.col(text_col).cast("string")))
-    return out.withColumns({lang: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
+    found = fresh(docs, "found")
+    out = docs.withColumn(found, predict(F.col(text_col).cast("string")))
+    return out.withColumns({lang: F.col(f"{found}.lang"), score: F.col(f"{found}.score")}).drop(found)

@@ -12,6 +12,7 @@ from skyledger.llm.common import fold, table
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cuts: null texts stay null, empty ones empty; rows of one id are one document; repeated rows stay."""
     found = cdc_dedup.deduplicated(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     cut = F.aggregate("cdc.spans", F.lit(0), lambda s, x: s + x["stop"] - x["start"])
     return found.select(
@@ -21,6 +22,7 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under law ``rows``; null and empty texts have size 8; repeated rows have slots of their own."""
     placed = sharding.documents_sharded(table(spark, sf_dir, "documents", ["doc_id", "text"]), 24)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -28,6 +30,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; ``und`` for texts that are null, empty or without letters; repeated rows stay."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     profiles = langid.learned(docs.where(fold("doc_id", 4) != 2), "text", "lang", F.col("doc_id"))
     found = langid.identified(docs.select("doc_id", "text"), profiles)
@@ -35,6 +38,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and whether they decode to its text; null texts have null ids, empty ones none; repeated rows stay."""
     pieces = sp_codec.read_model(spark)
     found = sp_codec.decoded(sp_codec.encoded(table(spark, sf_dir, "documents", ["doc_id", "text"]), pieces), pieces)
     return found.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
@@ -50,21 +54,25 @@ VIRTUAL_PATH = """concat_ws('/', cast(doc_id div 1000 as string),
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, its own or inherited; texts that are null or empty have none of their own; repeated rows stay."""
     files = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("path", F.expr(VIRTUAL_PATH))
     return licenses.scanned(files, "path", "text", "doc_id").withColumnRenamed("id", "doc_id")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the items found in it; texts that are null, empty or without words hold none; repeated rows stay."""
     found = decontam.contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return found.withColumnRenamed("id", "doc_id")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its class; texts that are null, empty or without words are classes of their own; repeated rows share one."""
     found = minhash.classes(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, whatever its text; labels that are null are not learned; repeated rows stay."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = table(spark, sf_dir, "labels", ["doc_id", "quality"]).where("quality is not null")
     model = quality.fitted(docs.join(labels, "doc_id").where(fold("doc_id", 4) != 2), "text", "quality", F.col("doc_id"))
@@ -73,6 +81,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component; vectors that are null, zero or not finite and those without a label have none."""
     found = embed_dedup.links(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
     return found.select(
         F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
@@ -80,6 +89,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document; a null or empty text is one end token; repeated rows stay."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     found, total = maxent_lm.learned_and_scored(docs.where(fold("doc_id", 10) != 0), docs)
     return found.select(

@@ -9,9 +9,12 @@ _MASK = (1 << 64) - 1
 _R_INV = pow(_R, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
-#: ASCII bytes that belong to words: digits and letters; every byte of a character beyond ASCII counts too.
+#: Bytes that belong to words: digits and letters; bytes of characters beyond ASCII count too, but for ``ink``'s exceptions.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+# Unicode ranges (first, last).
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+PUNCTUATION = [(0x0080, 0x00A9), (0x00AB, 0x00B4), (0x00B6, 0x00B9), (0x00BB, 0x00BF), (0x2000, 0x206F), (0x3000, 0x303F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
 
 
 def _power(n: int, inverse: bool = False) -> np.ndarray:
@@ -36,11 +39,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spans(data: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of ``inside`` (by default: of word bytes)."""
-    inside = WORD_BYTE[data] if inside is None else inside
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    return edge[::2], edge[1::2]
+def _within(codes: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    return np.any([(codes >= low) & (codes <= high) for low, high in ranges], axis=0)
+
+
+def ink(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(which bytes belong to words, where a word begins though the byte before belongs to one).
+
+    Punctuation beyond ASCII belongs to none, and each character of a script without spaces is a word.
+    """
+    inside = WORD_BYTE[data]
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE0))  # the first bytes of all characters in question
+    if not len(lead):
+        return inside, None
+    size = np.where(data[lead] < 0xE0, 2, np.where(data[lead] < 0xF0, 3, 4))
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F
+    mark, alone = _within(code, PUNCTUATION), _within(code, UNSPACED)
+    for k in range(4):
+        inside[(lead + k)[mark & (size > k)]] = False
+    begins = np.zeros(len(data) + 1, bool)
+    begins[lead[alone]] = True
+    begins[(lead + size)[alone].clip(max=len(data))] = True
+    return inside, begins[:-1]
+
+
+def spans(data: np.ndarray, inside: np.ndarray | None = None, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside`` (by default: of words), which also end where the next ``begins``."""
+    if inside is None:
+        inside, begins = ink(data)
+    if begins is None:
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        return edge[::2], edge[1::2]
+    before, here = np.append(False, inside), np.append(inside, False)
+    cut = np.append(begins, False)
+    return np.flatnonzero(here & (~before | cut)), np.flatnonzero(before & (~here | cut))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -56,7 +91,10 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased words of a text: runs of letters and digits, punctuation between them dropped."""
+    """Hashes of the lower-cased words of a text: runs of letters and digits, punctuation between them dropped.
+
+    Each character of a script without spaces is a word.
+    """
     data = as_bytes((text or "").lower())
     return span_hashes(data, *spans(data)) if len(data) else np.zeros(0, np.uint64)
 

@@ -185,3 +185,109 @@ def test_names_that_begin_sentences_are_slots(spark):
     for sent in (decontam.MAX_SENT, 0):
         got = {r.id: list(r.item_ids) for r in decontam.contaminated(d, b, max_sent=sent).collect()}
         assert got == {1: [1], 2: [2], 3: [3], 4: [1], 5: []}
+
+
+def test_documents_are_told_apart_by_id_and_text(spark):
+    item = " ".join(words(20))
+    docs = [(None, item, 1), (None, "a clean text", 2), (7, "so " + item, 3), (7, "another clean text", 4), (8, "clean again", 5), (8, "clean again", 6)]
+    d = spark.createDataFrame([(i, t, k, "x", "y", "z") for i, t, k in docs], "doc_id long, text string, k int, _id string, _key string, id string")
+    b = spark.createDataFrame([(1, item), (None, "a clean text"), (2, None), (1, item)], "item_id long, text string")
+    got = decontam.contaminated(d, b).collect()
+    assert sorted((str(r.id), r.contaminated) for r in got) == [("7", False), ("7", True), ("8", False), ("8", False), ("None", False), ("None", True)]
+    left = decontam.decontaminated(d, b)
+    assert left.columns == d.columns and sorted(r.k for r in left.collect()) == [2, 4, 5, 6] and all((r._id, r._key, r.id) == ("x", "y", "z") for r in left.collect())
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "what colour is the clear sky"), (2, "name 3 big red dogs"), (3, "yes or no"), (4, "今天的天气非常好我们去公园散步吧")]
+    docs = [(1, "He asked: What colour is the clear sky? Nobody knew."), (2, "please name 4 big red dogs now"), (3, "say yes or no to it"), (4, "Yes or no?"), (5, "他说今天的天气非常好我们去公园散步吧。"), (6, "今天的天气不好"), (7, "please name 3 big red dogs now")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for sent in (decontam.MAX_SENT, 0):
+        assert {r.id: list(r.item_ids) for r in decontam.contaminated(d, b, max_sent=sent).collect()} == {1: [1], 2: [], 3: [], 4: [3], 5: [4], 6: [], 7: [2]}
+
+
+def test_benchmark_by_brute_force(spark):
+    """Every placement of every item beside every document, in plain Python, for texts of literal words."""
+    few = [f"v{k}" for k in range(4)]
+    pick = lambda n: [rng.choice(few) if rng.random() < 0.3 else rng.choice(WORDS) for _ in range(n)]
+    items = [pick(rng.randint(5, 30)) for _ in range(25)]
+    docs = []
+    for k in range(60):
+        item = items[k % 25]
+        a = rng.randint(0, max(0, len(item) - 10))
+        docs.append(pick(rng.randint(0, 20)) + item[a : a + rng.randint(5, 30)] + pick(rng.randint(0, 20)))
+    got = decontam.contaminated(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string"))
+    want = {}
+    for d, text in enumerate(docs):
+        found = []
+        for i, item in enumerate(items):
+            best = 0
+            for shift in range(-len(item), len(text)):
+                run = 0
+                for k, w in enumerate(item):
+                    run = run + 1 if 0 <= k + shift < len(text) and text[k + shift] == w else 0
+                    best = max(best, run)
+            if best >= min(13, len(item)):
+                found.append(i)
+        want[d] = found
+    assert {r.id: list(r.item_ids) for r in got.collect()} == want and any(want.values())
+
+
+def test_words_beyond_ascii():
+    count = lambda t: len(textnum.word_hashes(t))
+    assert [count(t) for t in ("¿? ...", "l’été — «oui»", "文字です。", "x文y", "ไทย", "naïve æther", "𠀀𠀁", "한국 말")] == [0, 3, 4, 3, 3, 2, 2, 2]
+    assert textnum.word_hashes("文字")[0] == textnum.word_hashes("a文")[1] and [len(h) for h in textnum.word_hashes_of(["文", "", "a b"])] == [1, 0, 2]
+
+
+def test_chunks_by_brute_force(spark):
+    def plain(data):
+        """Starts of chunks by a byte-by-byte gear loop."""
+        h, at = 0, []
+        for k, byte in enumerate(data):
+            at.append(h)  # the hash over the bytes before this one
+            h = ((h << 1) + int(cdc_dedup.GEAR[byte])) & 0xFFFFFFFF
+        starts = [k for k in range(1, len(data)) if data[k] not in b" \n" and data[k - 1] in b" \n"]
+        value = [int(textnum.mixed(np.array([sum(int(cdc_dedup.GEAR[data[k - 1 - j]]) << j for j in range(min(16, k))) & 0xFFFFFFFF], np.uint64))[0]) for k in starts]
+        assert all(at[k] & 0xFFFF == sum(int(cdc_dedup.GEAR[data[k - 1 - j]]) << j for j in range(min(16, k))) & 0xFFFF for k in starts)
+        return [0] + [s for n, s in enumerate(starts) if all(value[n] < v for v in value[max(0, n - 4) : n]) and all(value[n] <= v for v in value[n + 1 : n + 5])]
+
+    shared = [words(60) for _ in range(4)]
+    rows = [(k // 2 if k % 5 else None, " ".join(words(30) + shared[k % 4] + words(25))) for k in range(14)] + [(3, "a b"), (3, "a b"), (50, " ".join(shared[0] + shared[0]))]
+    for _, text in rows:
+        assert cdc_dedup.boundaries(text.encode() and np.frombuffer(text.encode(), np.uint8)).tolist() == plain(text.encode())
+    # The kept chunks by a dictionary: of each digest the smallest id, null last; within a text its first place.
+    keeper, want = {}, {}
+    key = lambda i: 2**63 - 1 if i is None else i
+    for i, text in rows:
+        for chunk in cdc_dedup.chunked(text)[2].tolist():
+            keeper[chunk] = min(keeper.get(chunk, 2**63), key(i))
+    for i, text in rows:
+        seen = set()
+        for place, chunk in enumerate(cdc_dedup.chunked(text)[2].tolist()):
+            if chunk in seen or keeper[chunk] < key(i):
+                want.setdefault((key(i), text), set()).add(place)
+            seen.add(chunk)
+    df = spark.createDataFrame([(i, t, "p", "q", "r") for i, t in rows], "doc_id long, text string, _places string, _key string, _id string")
+    new = {(i, t): cdc_dedup.cut(t, sorted(want[key(i), t]))[0] if (key(i), t) in want else t for i, t in rows}
+    got = cdc_dedup.deduplicated(df)
+    assert got.columns == [*df.columns, "cdc"]
+    assert sorted((str(r.doc_id), r.text, r._places, r._key, r._id) for r in got.collect()) == sorted((str(i), new[i, t], "p", "q", "r") for i, t in rows)
+
+
+def test_repeats_in_scripts_without_spaces(spark):
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    pick = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage, blob = pick(150), "".join(rng.choice("abcdefghijklmnop") for _ in range(600))
+    near = pick(120)
+    rows = [(1, pick(80) + passage + pick(80)), (2, pick(70) + passage + pick(60)), (3, "data " + blob), (4, "more data " + blob), (5, near), (6, near[:50] + "文" + near[51:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in cdc_dedup.deduplicated(df).collect()}
+    assert [got[k].cdc.words > 0 for k in (1, 2, 3, 4)] == [False, True, False, True] and len(got[2].text) < 180 and len(got[4].text) < 200
+    assert {r.id: r.class_id for r in minhash.classes(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 3 if minhash.similar(*textnum.word_hashes_of([rows[2][1], rows[3][1]])) else 4, 5: 5, 6: 5}
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    text = " ".join(words(30))
+    df = spark.createDataFrame([(2, text, "a", "b"), (1, text, "c", "d"), (None, text, "e", "f"), (3, None, "g", "h")], "doc_id long, text string, _key string, id string")
+    left = minhash.one_of_each(df)
+    assert left.columns == df.columns and sorted((r.doc_id, r._key, r.id) for r in left.collect()) == [(1, "c", "d"), (3, "g", "h")]
