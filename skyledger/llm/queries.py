@@ -110,14 +110,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_language_model": op10_language_model,
 }
-_SPLIT = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: regexp_replace(w, '^\\.+|\\.+$', '', 'g')), lambda w: w <> '')"
+_SPLIT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(lower({0}), '\\.\\.+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: regexp_replace(w, '^\\.|\\.$', '', 'g')), lambda w: w <> '')"
+_PARAGRAPHS = r"\r?\n[^\p{L}\p{N}\n]*\r?\n"
+_PARTS = rf"list_distinct(list_concat(string_split_regex(text, '\r?\n'), string_split_regex(text, '[.!?]+[ \t\r\n]+|{_PARAGRAPHS}'), string_split_regex(text, '{_PARAGRAPHS}'), [text]))"
 _NOTICES = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(licenses.TEMPLATES))
 _LICENCES_SQL = f"""with shape as (select template, license, term, count(*) as tf from (select template, license, unnest({_SPLIT.format('notice')}) as term from (values {_NOTICES}) v(template, license, notice)) t group by all),
 files as (select doc_id, text, (doc_id // 1000) || '/' || case when doc_id % 1000 = 0 then 'LICENSE' when doc_id % 100 = 0 then (doc_id // 100) || '/LICENSE' when doc_id % 10 = 0 then (doc_id // 100) || '/' || (doc_id // 10) || '/LICENSE' else (doc_id // 100) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' end as path from documents),
 n as (select count(*) as n from files), df as (select term, count(*) as df from (select distinct doc_id, unnest({_SPLIT.format('text')}) as term from files) t where term in (select term from shape) group by 1),
 idf as (select term, ln((1 + n) / cast(1 + coalesce(df, 0) as double)) + 1 as idf from (select distinct term from shape) s left join df using (term), n),
 weights as (select template, license, term, tf * idf as weight, sqrt(sum(tf * idf * tf * idf) over (partition by template)) as length from shape join idf using (term)),
-lines as (select doc_id, unnest(string_split_regex(text, '\\r?\\n')) as line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) as k from files),
+parts as (select doc_id, {_PARTS} as parts from files), lines as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as k from parts),
 terms as (select doc_id, k, term, count(*) as tf from (select doc_id, k, unnest({_SPLIT.format('line')}) as term from lines) t group by all),
 vectors as (select doc_id, k, term, w, sqrt(sum(w * w) over (partition by doc_id, k)) as norm from (select doc_id, k, term, tf * coalesce(idf, ln(1 + n) + 1) as w from terms left join idf using (term), n) t),
 cosines as (select doc_id, k, template, license, round(sum(w * weight) / max(norm) / max(length), 6) as cosine from vectors join weights using (term) group by all having sum(w * weight) / max(norm) / max(length) >= 8e-1 - 1e-12),

@@ -1,5 +1,6 @@
 """Sharding and licence scans against brute force; edge rows."""
 
+import textwrap
 import zlib
 from collections import Counter
 
@@ -38,12 +39,14 @@ def brute_licence(text, files):
     import math
     import re
 
-    split = lambda s: [w for w in (re.sub(r"^\.+|\.+$", "", x) for x in re.split(r"[^\w.]+", s.lower())) if w]
+    split = lambda s: re.findall(r"[^\W_]+(?:\.[^\W_]+)*", s.lower())
     vocab = {t for _, n in licenses.TEMPLATES for t in split(n)}
     df = Counter(t for f in files for t in set(split(f or "")) & vocab)
     idf = lambda t: math.log((1 + len(files)) / (1 + df.get(t, 0))) + 1
     best = (0, None)
-    for line in (text or "").split("\n"):
+    text = text or ""
+    gap = r"\r?\n[^a-zA-Z0-9\n]*\r?\n"
+    for line in dict.fromkeys([*text.split("\n"), *re.split(gap, text), *re.split(r"[.!?]+\s+|" + gap, text), text]):
         a = {t: n * idf(t) for t, n in Counter(split(line)).items()}
         for lic, notice in licenses.TEMPLATES:
             b = {t: n * idf(t) for t, n in Counter(split(notice)).items()}
@@ -65,3 +68,21 @@ def test_licences_by_brute_force_and_inheritance(spark):
     assert (rows[3].license, rows[3].licence_dir) == ("GPL-3.0", "a/b/c")
     assert rows[4].how == rows[6].how == rows[7].how == "none"
     assert licenses.scanned(df.where("false")).isEmpty()
+
+
+def test_wrapped_notices_and_whole_files(spark):
+    text_of = {}
+    for lic, text in licenses.TEMPLATES:
+        text_of.setdefault(lic, []).append(text)
+    wrap = lambda t, mark: "\n".join(f"{mark} {x}" for x in textwrap.wrap(t, 60))
+    full = {lic: max(texts, key=len) for lic, texts in text_of.items()}
+    files = [("gpl.c", "/*\n" + wrap("My program, a tool for things.", " *") + "\n *\n" + wrap(text_of["GPL-3.0"][2], " *") + "\n *\n * more\n */\nint main;"), ("bsd.py", "# Copyright 2020 A. Person\n#\n" + wrap(text_of["BSD-3-Clause"][0], "#") + "\n\nimport os"),
+             ("m/LICENSE", "MIT License\n\nCopyright (c) 2024 Someone\n\n" + "\n\n".join(textwrap.fill(x, 70) for x in (full["MIT"],))), ("b2/LICENSE", textwrap.fill(full["BSD-2-Clause"], 70)), ("b3/LICENSE", textwrap.fill(full["BSD-3-Clause"], 70)),
+             ("inside.txt", "The tool does this and more. Released under the MIT License. See docs for all the rest of it."), ("right.txt", "Copyright (c) 2024 Acme Inc. All rights reserved."), ("isc.txt", textwrap.fill(text_of["ISC"][1], 50)),
+             ("long.txt", "word and more. " * 30_000 + "\n\nReleased under the MIT License.\n"), ("none.txt", "the licence of a driver is a card"), ("none.txt", "the licence of a driver is a card")]
+    df = spark.createDataFrame([(k, p, t, 1) for k, (p, t) in enumerate(files)], "id long, path string, text string, _part int")
+    got = {r.id: r.license for r in licenses.scanned(df).collect()}
+    want = ["GPL-3.0", "BSD-3-Clause", "MIT", "BSD-2-Clause", "BSD-3-Clause", "MIT", "proprietary", "ISC", "MIT", None, None]
+    assert [got[k] for k in range(len(files))] == want
+    texts = [t for _, t in files]
+    assert [brute_licence(t, texts) for t in texts] == want and licenses.scanned(df).count() == len(files)
