@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import bounded, log_share, mean_of, number, palermo_signal, probability_signal, staged, text
+from skyledger.operators.gold import SENTRY
 from skyledger.operators.score import DRIVERS
 
+# Fields whose absence limits a score.
 LIMITING = ["diameter", "h", "moid", "min_close_approach_dist", "max_close_approach_v_rel", "condition_code", "arc_length", "n_obs_used", "rms"]
 PROTECTIVE = {"orbital_risk_component": "orbital_distance", "sentry_risk_component": "limited_sentry_signal", "physical_risk_component": "physical_size_signal"}
 
 
 def explained(df: DataFrame) -> DataFrame:
-    """``df`` with drivers (at least 0.45, else the greatest; four at most), protective factors, limitations and a sentence."""
+    """``df`` with drivers (at least 0.45, else the greatest; four at most), protective factors, limitations and a sentence.
+
+    A column that isn't there counts as missing in every row.
+    """
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None)
     parts = F.array(*[F.struct((-F.col(c)).alias("order"), F.lit(k).alias("place"), F.lit(name).alias("factor"), F.round(c, 6).alias("value")) for k, (c, name) in enumerate(DRIVERS.items())])
     df = df.withColumn("_ranked", F.array_sort(F.filter(parts, lambda p: p["order"].isNotNull())))
     df = df.withColumn("_strong", F.filter("_ranked", lambda p: p["order"] <= -0.45))
     df = df.withColumn("_drivers", F.when(F.size("_strong") > 0, F.slice("_strong", 1, 4)).otherwise(F.slice("_ranked", 1, 1)))
     low = [F.when(F.col(c) <= 0.20, name) for c, name in PROTECTIVE.items()] + [F.when(F.col("feature_completeness_ratio") >= 0.75, "feature_completeness")]
-    df = df.withColumn("_missing", F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in LIMITING]), lambda x: x.isNotNull()))
-    limits = [F.when(F.size("_missing") >= 4, F.concat(F.lit("limited data coverage; missing fields include "), F.array_join(F.slice("_missing", 1, 5), ", "))),
-              F.when(F.col("feature_completeness_ratio") < 0.60, "feature completeness is below 60 percent"),
-              F.when(number("arc_length") < 30, "short observation arc may increase follow-up uncertainty"),
-              F.when(number("n_obs_used") < 20, "low observation count may make the priority less stable")]
+    df = df.withColumn("_missing", F.filter(F.array(*[F.when(have(c).isNull(), c) for c in LIMITING]), lambda x: x.isNotNull()))
+    limits = [F.when(F.size("_missing") >= 4, F.concat(F.lit("without "), F.array_join(F.slice("_missing", 1, 5), ", "))),
+              F.when(F.col("feature_completeness_ratio") < 0.60, "completeness under 0.60"),
+              F.when(number(have("arc_length")) < 30, "arc under 30 days"),
+              F.when(number(have("n_obs_used")) < 20, "fewer than 20 observations"),
+              F.lit(None if any(c in df.columns for c in SENTRY) else "no monitoring fields").cast("string")]
     present = lambda xs: F.slice(F.filter(F.array(*xs), lambda x: x.isNotNull()), 1, 4)
     out = df.withColumns({"drivers": F.transform("_drivers", lambda p: p["factor"]), "driver_values": F.transform("_drivers", lambda p: p["value"]),
                           "protective": present(low), "limitations": present(limits)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.columns import bounded
 
+# Columns of each relation with their types, and the columns that completeness counts.
 APPROACH = {"min_close_approach_dist": "double", "min_close_approach_dist_min": "double", "max_close_approach_v_rel": "double",
             "next_close_approach_datetime": "string", "close_approach_count": "long"}
 SENTRY = {"sentry_ip": "double", "sentry_ps_cum": "double", "sentry_ps_max": "double", "sentry_ts_max": "double", "sentry_n_imp": "int"}

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Slices of a score's range for running sums.
+SLICES = 4096
+
+
 def confusion(df: DataFrame, by: list[str], label: str = "label", predicted: str = "predicted") -> DataFrame:
     """Counts, accuracy, precision, recall, F1 (0 where undefined) and false-negative rate (null without positives)."""
     y, p = F.col(label) == 1, F.col(predicted) == 1
@@ -24,10 +28,18 @@ def ranked(df: DataFrame, by: list[str], label: str = "label", score: str = "sco
     """
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     steps = rows.groupBy(*by, F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("b"))
-    down = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down)})
+    # Running sums within slices of the score, then the sums of the slices above: no task holds all scores of a model.
+    ends = steps.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    slice_ = F.coalesce(F.floor(F.try_divide(F.col("s").cast("double") - F.col("lo"), F.col("hi").cast("double") - F.col("lo")) * SLICES), F.lit(0))
+    steps = steps.join(ends, by).withColumn("slice", slice_).drop("lo", "hi")
+    above = W.partitionBy(*by).orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy(*by, "slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    sums = sums.select(*by, "slice", *[F.coalesce(F.sum(x).over(above), F.lit(0.0)).alias(f"{x}_above") for x in ("sp", "sn")])
+    down = W.partitionBy(*by, "slice").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    steps = steps.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down)}).join(sums, [*by, "slice"])
+    steps = steps.withColumns({"cp": F.col("cp") + F.col("sp_above"), "cn": F.col("cn") + F.col("sn_above")})
     negatives_below = F.col("all_n") - F.col("all_p") - (F.col("cn") - F.col("cp"))
-    steps = steps.withColumns({"all_p": F.sum("p").over(W.partitionBy(*by)), "all_n": F.sum("n").over(W.partitionBy(*by))})
+    steps = steps.join(steps.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")), by)
     out = steps.groupBy(*by).agg(
         (F.sum(F.col("p") * (negatives_below + (F.col("n") - F.col("p")) / 2.0)) / F.nullif(F.max("all_p") * (F.max("all_n") - F.max("all_p")), F.lit(0.0))).alias("roc_auc"),
         (F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.nullif(F.max("all_p"), F.lit(0.0))).alias("average_precision"), (F.sum("b") / F.sum("n")).alias("brier"),
@@ -50,6 +62,13 @@ def stratified(df: DataFrame, label: str, key: str, test_share: float = 0.25, se
     Labels with one row only are all ``train``.
     """
     order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    w = W.partitionBy(label)
-    out = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(order, key))})
-    return out.withColumn("split", F.when((F.col("_n") > 1) & (F.col("_r") <= F.round(F.col("_n") * test_share)), "test").otherwise("train")).drop("_n", "_r")
+    out = df.withColumns({"_o": order, "_b": F.substring(order, 1, 3)})
+    # Ranks within each of the 4096 first three digits, plus the rows of the digits before: at most 4096 sums a label.
+    sizes = out.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_k")).agg(F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(W.partitionBy("_l").orderBy("_k").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("_l", "_k", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(W.partitionBy("_l")).alias("_n"))
+    out = out.withColumn("_r", F.row_number().over(W.partitionBy(label, "_b").orderBy("_o", key)))
+    out = out.join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_k")))
+    place = F.col("_r") + F.col("_before")
+    split = F.when((F.col("_n") > 1) & (place <= F.round(F.col("_n") * test_share)), "test").otherwise("train")
+    return out.withColumn("split", split).select(*df.columns, "split")

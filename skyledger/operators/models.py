@@ -36,9 +36,14 @@ def predictions(df: DataFrame, model: str, features: list[str], key: str = "obje
     counts = frame.where("split = 'train'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
     weights = counts.crossJoin(F.broadcast(total)).select("label", (F.col("all") / (F.col("k") * F.col("n"))).alias("weight"))
-    frame = frame.join(F.broadcast(weights), "label").persist()
+    frame = frame.join(F.broadcast(weights), "label")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator(model, len(features))])
-    out = pipe.fit(frame.where("split = 'train'")).transform(frame)
+    train = frame.where("split = 'train'").persist()
+    try:
+        fitted = pipe.fit(train)
+    finally:
+        train.unpersist()
+    out = fitted.transform(frame)
     score = vector_to_array("probability")[1]
     return out.select(key, "label", "split", F.lit(model).alias("model"), score.alias("score"), F.col("prediction").cast("int").alias("predicted"), confidence(score).alias("confidence"))
 

@@ -36,7 +36,7 @@ def elements(df: DataFrame) -> DataFrame:
 
 def clones(df: DataFrame, n_clones: int, seed: int = 42, key: str = "object_key") -> DataFrame:
     """Clone -1 is the object itself; the others have noise by the object's uncertainty, hashed from key, element and clone."""
-    out = df.withColumn("clone", F.explode(F.sequence(F.lit(-1), F.lit(n_clones - 1))))
+    out = df.repartition(F.col(key)).withColumn("clone", F.explode(F.sequence(F.lit(-1), F.lit(n_clones - 1))))
     out = out.withColumns({f"_z_{c}": F.when(F.col("clone") >= 0, normal(F.col(key), F.lit(c), F.col("clone"), F.lit(seed))).otherwise(0.0) for c in ELEMENTS} | {"_s": 0.5 + 4.0 * F.col("orbital_uncertainty")})
     a, n = F.greatest(F.col("a"), F.lit(0.05)), F.greatest(F.col("n"), F.lit(1e-6))
     moved = {"a": a + F.greatest(F.lit(0.0005), a * 0.0025 * F.col("_s")) * F.col("_z_a"), "e": F.col("e") + 0.0015 * F.col("_s") * F.col("_z_e"),

@@ -113,9 +113,9 @@ m as (select *, case when len(list_filter(ranked, lambda x: x.o <= -45e-2)) > 0
 select object_key, array_to_string(list_transform(dr, lambda x: x.f), ',') as drivers,
  array_to_string(list_filter([case when orbital_risk_component <= 2e-1 then 'orbital_distance' end, case when sentry_risk_component <= 2e-1 then 'limited_sentry_signal' end,
   case when physical_risk_component <= 2e-1 then 'physical_size_signal' end, case when feature_completeness_ratio >= 75e-2 then 'feature_completeness' end], lambda x: x is not null), ',') as protective,
- array_to_string(list_filter([case when len(miss) >= 4 then 'limited data coverage; missing fields include ' || array_to_string(miss[1:5], ', ') end,
-  case when feature_completeness_ratio < 6e-1 then 'feature completeness is below 60 percent' end, case when arc_length < 30 then 'short observation arc may increase follow-up uncertainty' end,
-  case when n_obs_used < 20 then 'low observation count may make the priority less stable' end], lambda x: x is not null), '|') as limitations from m""")
+ array_to_string(list_filter([case when len(miss) >= 4 then 'without ' || array_to_string(miss[1:5], ', ') end,
+  case when feature_completeness_ratio < 6e-1 then 'completeness under 0.60' end, case when arc_length < 30 then 'arc under 30 days' end,
+  case when n_obs_used < 20 then 'fewer than 20 observations' end], lambda x: x is not null), '|') as limitations from m""")
 def explanations(spark, d):
     out = explain.explained(scores(spark, d))
     return out.select("object_key", F.array_join("drivers", ",").alias("drivers"), F.array_join("protective", ",").alias("protective"), F.array_join("limitations", "|").alias("limitations"))
@@ -226,19 +226,19 @@ def normal_sql(key: str, name: str, index: str, seed: str) -> str:
     return f"sqrt(-2 * ln(greatest({u}, 1e-12))) * cos(2 * pi() * {v})"
 
 
-def top(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return rank.rank(scores(spark, sf_dir), n)
+#: Days between the places of an orbit that are looked at.
+ORBIT_STEP = 30
 
 
 @query()
 def score_simulation(spark, d):
-    out = simulate.simulated(scores(spark, d), 200, 42, 50)
+    out = simulate.simulated(scores(spark, d), limit=None)
     return out.select("object_key", "n_simulations", "base_category", *[F.round(x, 4).alias(x) for x in ("mean_score", "std_score", "p05_score", "median_score", "p95_score", "category_shift_probability")], "p95_category", "stability")
 
 
 @query()
 def simulation_rollup(spark, d):
-    return simulate.rollup(simulate.simulated(scores(spark, d), 50, 42, 50)).select("n_objects", F.round("mean_of_means", 4).alias("mean_of_means"), F.round("max_p95", 4).alias("max_p95"))
+    return simulate.rollup(simulate.simulated(scores(spark, d), limit=None)).select("n_objects", F.round("mean_of_means", 4).alias("mean_of_means"), F.round("max_p95", 4).alias("max_p95"))
 
 
 @query(f"with {OBJECTS_SQL}, k as (select sim from range(20) r(sim)) select spkid as object_key, cast(sim as int) as simulation_index, round(h + 3e-1 * ({normal_sql('spkid', 'h', 'sim', '7')}), 4) as h, round(case when moid > 0 then greatest(moid * exp(25e-2 * ({normal_sql('spkid', 'moid', 'sim', '7')})), 0) else greatest(moid + 25e-2 * ({normal_sql('spkid', 'moid', 'sim', '7')}), 0) end, 4) as moid from objects, k")
@@ -249,7 +249,7 @@ def perturbed_scenarios(spark, d):
 
 @query()
 def sensitivity(spark, d):
-    return simulate.sensitivity(top(spark, d, 20), limit=5).select("object_key", "variable", F.round("absolute_effect", 4).alias("absolute_effect"), "direction", "place")
+    return simulate.sensitivity(scores(spark, d), limit=5).select("object_key", "variable", F.round("absolute_effect", 4).alias("absolute_effect"), "direction", "place")
 
 
 _UNC = "35e-2 * least(cast(condition_code as double), 9) / 9 + 25e-2 * least(rms, 2) / 2 + 2e-1 / (1 + arc_length / 365) + 2e-1 / (1 + n_obs_used / 250e0)"
@@ -288,18 +288,18 @@ def orbital_baseline(spark, d):
 
 @query()
 def orbital_scenarios(spark, d):
-    out = orbit.scenarios(top(spark, d, 10), 20, 360, 10)
+    out = orbit.scenarios(scores(spark, d), step=ORBIT_STEP)
     return out.select("object_key", *[F.round(x, 4).alias(x) for x in ("baseline_distance", "mean_distance", "p05", "p50", "p95", "dispersion_index")], "scenario_category")
 
 
 @query()
 def orbital_trace(spark, d):
-    return orbit.trace(top(spark, d, 10), 20, 360, 30).select("object_key", "day", *[F.round(x, 4).alias(x) for x in ("p05", "p50", "p95")])
+    return orbit.trace(scores(spark, d), 300, 3650, ORBIT_STEP).select("object_key", "day", *[F.round(x, 4).alias(x) for x in ("p05", "p50", "p95")])
 
 
 @query()
 def orbital_summary(spark, d):
-    out = orbit.summary(orbit.scenarios(scores(spark, d), 5, 120, 30))
+    out = orbit.summary(orbit.scenarios(scores(spark, d), step=ORBIT_STEP))
     return out.select("scenario_category", "n", *[F.round(x, 4).alias(x) for x in ("mean_dispersion", "max_dispersion", "min_p05")])
 
 
@@ -435,7 +435,7 @@ def source_catalogue(spark, d):
 
 @query("select cast(event_id as varchar) as id, event_type as type, value from events")
 def header_rows_unpack(spark, d):
-    packed = table(spark, d, "events").groupBy(F.pmod("event_id", F.lit(50)).alias("g")).agg(F.collect_list(F.array(F.col("event_id").cast("string"), "event_type", F.col("value").cast("string"))).alias("rows"))
+    packed = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("g")).agg(F.collect_list(F.array(F.col("event_id").cast("string"), "event_type", F.col("value").cast("string"))).alias("rows"))
     packed = packed.select(F.struct(F.array(F.lit("id"), F.lit("type"), F.lit("value")).alias("fields"), F.col("rows").alias("data")).alias("data"))
     out = bronze.unpacked(packed)
     return out.select(F.try_element_at("record", F.lit("id")).alias("id"), F.try_element_at("record", F.lit("type")).alias("type"), F.try_element_at("record", F.lit("value")).try_cast("double").alias("value"))
@@ -485,11 +485,14 @@ def sink_append_latest(spark, d):
     return sinks.append_latest(spark, [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")], shared_folder(spark, "history"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query("select count(*) as row_count, 'written' as status from part union all select 0, 'skipped_empty'")
+@query("select count(*) as row_count, 'written' as status, count(*) as rows_after from part union all select 0, 'skipped_empty', count(*) from part")
 def sink_overwrite(spark, d):
-    p = table(spark, d, "part")
-    done = [sinks.write_table(df, shared_folder(spark, "table")) for df in (p, p.where("false"))]
-    return spark.createDataFrame([(x["row_count"], x["status"]) for x in done], "row_count long, status string")
+    p, path = table(spark, d, "part"), shared_folder(spark, "table")
+    done = []
+    for df in (p, p.where("false")):  # the second leaves the first one's table alone
+        at = sinks.write_table(df, path)
+        done.append((at["row_count"], at["status"], spark.read.schema(p.schema).parquet(path).count()))
+    return spark.createDataFrame(done, "row_count long, status string, rows_after long")
 
 
 @query("select event_id, epoch_us(ts) as ts_us from events")
@@ -512,7 +515,7 @@ def intake_dedupe(spark, d):
 @query("select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events group by 1, 2 having date_trunc('day', ts)::timestamp + interval 1 day <= (select max(ts) - interval 1 day from events)")
 def intake_windows(spark, d):
     root = shared_folder(spark, "intake")
-    table(spark, d, "events").select("event_type", "ts").coalesce(1).write.json(f"{root}/in")
+    table(spark, d, "events").select("event_type", "ts").write.json(f"{root}/in")
     intake.drained(intake.counts(intake.new_captures(spark, f"{root}/in", "event_type string, ts timestamp"), "ts", "event_type"), f"{root}/out", f"{root}/state")
     return spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{root}/out")
 
@@ -616,3 +619,6 @@ def label_propagation(spark, d):
     shared_folder(spark, "propagation")
     nodes = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, (F.col("label") == 0).cast("int")).alias("known"))
     return models.label_propagation(nodes, embedding_edges(spark, d), "vec_id", "known", 8).withColumn("score", F.round("score", 6))
+
+
+from skyledger import report_queries  # noqa: E402, F401  (registers its queries)

@@ -56,6 +56,11 @@ def at(df: DataFrame, path: str, kind: str) -> Column:
     return F.col(path).try_cast(kind)
 
 
+def element(df: DataFrame, listed: str, struct: str, name: str, kind: str) -> Column:
+    """A value from a list of (name, value), else from a field of a struct."""
+    return F.coalesce(named_value(F.col(listed), name, kind), at(df, f"{struct}.{name}", kind))
+
+
 def as_json(df: DataFrame, path: str) -> Column:
     return F.to_json(F.col(path)) if field_type(df, path) is not None else F.lit(None).cast("string")
 

@@ -1,20 +1,30 @@
-"""Table sinks: one job for data and row count, append history, top-n CSV and prediction bundles."""
+"""Table sinks: data and row count, append history, top-n CSV and prediction bundles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.rank import latest, rank
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> dict:
-    """Writes ``df``; returns path, mode, row_count and status (an empty overwrite leaves an empty table: skipped_empty)."""
-    seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode)
+    """Writes ``df``; returns path, mode, row_count and status. An empty ``df`` is skipped and leaves the old table alone."""
+    if df.isEmpty():
+        return {"path": path, "mode": mode, "row_count": 0, "status": "skipped_empty"}
+    before = _rows(df, path) if mode == "append" else 0
+    writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    n = seen.get["n"]
-    return {"path": path, "mode": mode, "row_count": n, "status": "written" if n else "skipped_empty"}
+    return {"path": path, "mode": mode, "row_count": _rows(df, path) - before, "status": "written"}
+
+
+def _rows(df: DataFrame, path: str) -> int:
+    """Rows of the table at ``path``, from its files' footers; 0 if there is none yet."""
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(path).count()
+    except AnalysisException:
+        return 0
 
 
 def append_latest(spark: SparkSession, frames: list[DataFrame], path: str, keys: list[str], by: list[str]) -> DataFrame:
@@ -31,6 +41,18 @@ def write_scored(df: DataFrame, path: str, limit: int = 50) -> None:
     rank(df, limit).select(*plain).coalesce(1).write.mode("overwrite").csv(f"{path}/top", header=True)
 
 
+def write_metrics(df: DataFrame, path: str, struct: str = "metrics") -> None:
+    """One CSV of results, the metrics struct flattened into columns."""
+    rest = [c for c in df.columns if c != struct]
+    df.select(*rest, f"{struct}.*").coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges, a table each."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
 def write_bundle(predictions: DataFrame, path: str) -> None:
     """Predictions by mode; subsets by confidence and error are read back with pruned partitions."""
     predictions.write.mode("overwrite").partitionBy("prediction_mode").parquet(path)
