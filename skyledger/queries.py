@@ -226,19 +226,19 @@ def normal_sql(key: str, name: str, index: str, seed: str) -> str:
     return f"sqrt(-2 * ln(greatest({u}, 1e-12))) * cos(2 * pi() * {v})"
 
 
-#: Days between the places of an orbit that are looked at.
-ORBIT_STEP = 30
+#: Runs and clones of each object and days between its places, fewer than the operators' defaults; all objects take part.
+RUNS, CLONES, ORBIT_STEP = 50, 20, 30
 
 
 @query()
 def score_simulation(spark, d):
-    out = simulate.simulated(scores(spark, d), limit=None)
+    out = simulate.simulated(scores(spark, d), RUNS, limit=None)
     return out.select("object_key", "n_simulations", "base_category", *[F.round(x, 4).alias(x) for x in ("mean_score", "std_score", "p05_score", "median_score", "p95_score", "category_shift_probability")], "p95_category", "stability")
 
 
 @query()
 def simulation_rollup(spark, d):
-    return simulate.rollup(simulate.simulated(scores(spark, d), limit=None)).select("n_objects", F.round("mean_of_means", 4).alias("mean_of_means"), F.round("max_p95", 4).alias("max_p95"))
+    return simulate.rollup(simulate.simulated(scores(spark, d), RUNS, limit=None)).select("n_objects", F.round("mean_of_means", 4).alias("mean_of_means"), F.round("max_p95", 4).alias("max_p95"))
 
 
 @query(f"with {OBJECTS_SQL}, k as (select sim from range(20) r(sim)) select spkid as object_key, cast(sim as int) as simulation_index, round(h + 3e-1 * ({normal_sql('spkid', 'h', 'sim', '7')}), 4) as h, round(case when moid > 0 then greatest(moid * exp(25e-2 * ({normal_sql('spkid', 'moid', 'sim', '7')})), 0) else greatest(moid + 25e-2 * ({normal_sql('spkid', 'moid', 'sim', '7')}), 0) end, 4) as moid from objects, k")
@@ -288,18 +288,18 @@ def orbital_baseline(spark, d):
 
 @query()
 def orbital_scenarios(spark, d):
-    out = orbit.scenarios(scores(spark, d), step=ORBIT_STEP)
+    out = orbit.scenarios(scores(spark, d), CLONES, 3650, ORBIT_STEP)
     return out.select("object_key", *[F.round(x, 4).alias(x) for x in ("baseline_distance", "mean_distance", "p05", "p50", "p95", "dispersion_index")], "scenario_category")
 
 
 @query()
 def orbital_trace(spark, d):
-    return orbit.trace(scores(spark, d), 300, 3650, ORBIT_STEP).select("object_key", "day", *[F.round(x, 4).alias(x) for x in ("p05", "p50", "p95")])
+    return orbit.trace(scores(spark, d), CLONES, 3650, ORBIT_STEP).select("object_key", "day", *[F.round(x, 4).alias(x) for x in ("p05", "p50", "p95")])
 
 
 @query()
 def orbital_summary(spark, d):
-    out = orbit.summary(orbit.scenarios(scores(spark, d), step=ORBIT_STEP))
+    out = orbit.summary(orbit.scenarios(scores(spark, d), CLONES, 3650, ORBIT_STEP))
     return out.select("scenario_category", "n", *[F.round(x, 4).alias(x) for x in ("mean_dispersion", "max_dispersion", "min_p05")])
 
 
