@@ -80,7 +80,8 @@ def hashed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, k:
                     cells = np.floor((x @ planes[dim][0] + planes[dim][1]) / WIDTH).astype(np.int64).view(np.uint64)
                     cells = cells.reshape(len(members), tables, k)
                     marks = [int.from_bytes(hashlib.md5(f"{labels[i]}\1{dim}".encode()).digest()[:8], "little") for i in members]
-                    value = np.array(marks, np.uint64)[:, None] + np.arange(tables, dtype=np.uint64)[None, :]
+                    # Mixed first: else cells of one table that differ by a constant from another's give the same bucket.
+                    value = textnum.mixed(np.array(marks, np.uint64)[:, None] + textnum.mixed(np.arange(1, tables + 1, dtype=np.uint64))[None, :])
                     for c in range(k):
                         value = textnum.mixed(value * np.uint64(3) + cells[:, :, c])
                     value = value.view(np.int64)
@@ -143,7 +144,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.first("keys").alias("keys")
     )
     nodes = written(nodes, "nodes")
-    members = nodes.select("node", F.explode("keys").alias("bucket"))
+    members = nodes.select("node", F.explode(F.array_distinct("keys")).alias("bucket"))
     sizes = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     dealt = written(blocks.dealt(members.join(sizes, "bucket")), "dealt").join(nodes.select("node", "copies", "vector", "keys"), "node")
     found = written(_compared(dealt, cosine), "found")
