@@ -162,4 +162,12 @@ w0 as (select *, greatest(1, ceil(sqrt(n))::bigint) as a, (n + greatest(1, ceil(
 select doc_id, size::bigint as size, text_crc32, 'rows' as law, (x % 24)::int as shard, x // 24 as slot, null::int as grown_shard from {last}"""
 
 
-ORACLES: dict[str, str] = {"op2_sharding": _sharding_sql(), "op5_licenses": _LICENCES_SQL}
+_VECTORS_SQL = f"""with recursive v as (select vec_id, label, len(x) as dim, x from (select vec_id, label, embedding::double[] as x from embeddings) t
+  where label is not null and len(x) > 0 and len(list_filter(x, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(x, lambda e: e <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.dim = b.dim and a.vec_id <> b.vec_id where list_cosine_similarity(a.x, b.x) >= {embed_dedup.COSINE}),
+reached as (select vec_id, vec_id as other from embeddings union select r.vec_id, l.b from reached r join links l on l.a = r.other),
+component as (select vec_id, min(other) as component_id from reached group by 1), degree as (select a as vec_id, count(*) as n_links from links group by 1)
+select e.vec_id, coalesce(n_links, 0) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join component using (vec_id) left join degree using (vec_id)"""
+
+
+ORACLES: dict[str, str] = {"op2_sharding": _sharding_sql(), "op5_licenses": _LICENCES_SQL, "op9_embeddings": _VECTORS_SQL}
