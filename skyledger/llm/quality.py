@@ -3,8 +3,9 @@
 Words and runs of punctuation are hashed to a fixed number of rows. Each row has a sparse random index vector; its
 context vector is the sum of the index vectors of its neighbours, two to either side, over the training sample. A
 document is the mean of its words' index and context vectors, the length of the first mean (which tells repetitive
-texts), how alike the index vectors of words one and two places apart are, and its logarithmic size. A network of one hidden layer is trained on a bounded sample of labelled rows, and its
-logit is divided by a temperature fitted on rows that it wasn't trained on.
+texts), how alike the index vectors of words one and two places apart are, and its logarithmic size. A network of one
+hidden layer is trained on a bounded sample of labelled rows, and its logit is divided by a temperature fitted on rows
+that it wasn't trained on.
 """
 
 from __future__ import annotations
@@ -175,14 +176,21 @@ def fitted(labelled: DataFrame, text_col: str, label_col: str, key: Column, trai
     mean, scale = x[~apart].mean(0), np.maximum(x[~apart].std(0), 1e-6)
     net = _network((x[~apart] - mean) / scale, y[~apart], seed)
     model = Model(context, index, mean, scale, *net, 1.0)
-    z, target = (model.logits(x[apart]), y[apart]) if apart.any() else (model.logits(x), y)
-    steps = np.exp(np.linspace(np.log(0.2), np.log(10), 80))
+    z, own = (model.logits(x[apart]), y[apart]) if apart.any() else (model.logits(x), y)
+    # Platt's targets, (n + 1) / (n + 2): a few rows that the network separates don't prove that it never errs.
+    ones, zeros = own.sum(), (1 - own).sum()
+    target = np.where(own == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    steps = np.exp(np.linspace(np.log(0.2), np.log(50), 120))
     losses = [np.mean(np.logaddexp(0, z / t) - target * z / t) for t in steps]
     return Model(context, index, mean, scale, *net, float(steps[int(np.argmin(losses))]))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with the calibrated probability of label 1 of each whole text, null and empty ones too (column replaced)."""
+    """``docs`` with the calibrated probability of label 1 of each whole text (a column of that name is replaced).
+
+    Null and empty texts get the score of a text without words. Equal texts have equal scores, repeated rows stay, other
+    columns stay as they are whatever their names, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
