@@ -25,6 +25,8 @@ RANKS = 300
 MAX_N = 4
 #: Expected number of documents of each language that profiles are made from; with fewer, all of them.
 TRAIN_DOCS = 2000
+#: A label column of more values than this names no languages; the driver and each task hold profiles of this many at most.
+MAX_LANGUAGES = 2000
 UND = "und"
 _letters: list[np.ndarray] = []
 
@@ -127,13 +129,17 @@ def learned(docs: DataFrame, text_col: str, lang_col: str, key: Column, ranks: i
     """Profiles from the labelled rows of ``docs`` (null labels are left out).
 
     About ``train_docs`` documents of each language are read, chosen by a hash of ``key``, so the sample is the same in
-    every run and is spread over the table. What reaches the driver is ``ranks`` n-grams of each language.
+    every run and is spread over the table. What reaches the driver is ``ranks`` n-grams of each language; more than
+    MAX_LANGUAGES different labels are a ValueError. Repeated rows count as often as they occur; no rows, no profiles.
     """
+    spark = docs.sparkSession
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), crc32_of(key).alias("key"))
     labelled = labelled.where("lang is not null and text is not null")
     sizes = docs.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("docs")).where("lang is not null")
-    # One row for each language: small by nature.
-    chosen = labelled.join(F.broadcast(sizes), "lang").where(F.crc32(F.concat_ws(":", F.lit("profile"), "key").cast("binary")) * F.col("docs") < F.lit(train_docs) * F.lit(2**32))
+    known = sizes.limit(MAX_LANGUAGES + 1).collect()
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"column {lang_col} has more than {MAX_LANGUAGES} different values")
+    chosen = labelled.join(F.broadcast(spark.createDataFrame(known, "lang string, docs long")), "lang").where(F.crc32(F.concat_ws(":", F.lit("profile"), "key").cast("binary")) * F.col("docs") < F.lit(train_docs) * F.lit(2**32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}

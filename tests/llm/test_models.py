@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from skyledger.llm import langid, maxent_lm, quality, sp_codec
+from skyledger.llm import langid, maxent_lm, quality, sp_codec, textnum
 from skyledger.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -28,6 +29,50 @@ def test_language(spark):
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in [(1, None), (2, ""), (3, "123 !!")]) and all(0 <= r.score <= 1 for r in got.values())
     none = langid.learned(docs.where("false"), "text", "lang", F.col("doc_id"))
     assert {r.lang_pred for r in langid.identified(edge(spark), none).collect()} == {"und"}
+    assert langid.identified(edge(spark).where("false"), profiles).isEmpty()
+
+
+def test_languages_by_a_plain_distance(spark):
+    """Profiles and distances of strings in dictionaries; ties of a count go by the n-gram's hash, as documented."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    hashes = {}
+
+    def hashed(gram):
+        if gram not in hashes:
+            value = 0
+            for c in gram:
+                value = (value * 0x100000001B3 + (0 if c == " " else ord(c)) + 1) % 2**64
+            hashes[gram] = int(textnum.mixed(np.array([(value + len(gram)) % 2**64], np.uint64))[0])
+        return hashes[gram]
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        padded = [f" {w} " for w in words]
+        found = Counter(c for w in words for c in w)
+        found.update(w[k : k + n] for w in padded for n in range(2, langid.MAX_N + 1) for k in range(len(w) - n + 1))
+        return found
+
+    total = {}
+    for d in docs:
+        if d.lang is not None and d.text is not None:
+            total.setdefault(d.lang, Counter()).update(grams(d.text))
+    places = {}
+    for lang, found in total.items():
+        order = sorted(found, key=lambda g: (-found[g], (hashed(g) + 2**63) % 2**64))[: langid.RANKS]
+        places[lang] = {g: k for k, g in enumerate(order)}
+    profiles = langid.learned(spark.createDataFrame(docs), "text", "lang", F.col("doc_id"))
+    texts = [d.text for d in docs[:150]] + ["Ein Haus", "a", "a b a b", "ÄÖ ü", "x1y2", "the " * 3000]
+    for text, (lang, score) in zip(texts, profiles.predict(texts)):
+        found = grams(text)
+        own = sorted(found, key=lambda g: (-found[g], hashed(g)))[: langid.RANKS]
+        cost = {x: sum(min(abs(p[g] - k), langid.RANKS) if g in p else langid.RANKS for k, g in enumerate(own)) for x, p in places.items()}
+        assert lang == min(sorted(cost), key=cost.get) and math.isclose(score, 1 - cost[lang] / langid.RANKS / len(own))
+
+
+def test_too_many_languages(spark):
+    many = spark.range(langid.MAX_LANGUAGES + 1).selectExpr("id as doc_id", "'word' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="different values"):
+        langid.learned(many, "text", "lang", F.col("doc_id"))
 
 
 def test_quality(spark):
@@ -36,6 +81,35 @@ def test_quality(spark):
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in rows) / len(rows) >= 0.9 and all(0 <= r.score <= 1 for r in rows)
     model = quality.fitted(docs.join(labels, "doc_id").where("false"), "text", "quality", F.col("doc_id"))
     assert {r.score for r in quality.scored(edge(spark), model).collect()} == {0.5}
+    assert quality.scored(edge(spark).where("false"), model).isEmpty()
+
+
+def test_quality_of_held_out_documents(spark):
+    """Ranks and probabilities of documents that weren't learned from; a plain forward pass gives the same scores."""
+    big = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet").where("quality in (0, 1)")
+    rows = QUERIES["op8_quality"](spark, big).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / len(good) / len(bad)
+    assert len(good) > 10 and len(bad) > 10 and auc >= 0.95
+    loss = -sum(math.log(max(r.score if r.quality == 1 else 1 - r.score, 1e-12)) for r in rows) / len(rows)
+    share = len(good) / len(rows)
+    assert loss < 0.7 * -(share * math.log(share) + (1 - share) * math.log(1 - share))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fitted(docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id"), "text", "quality", F.col("doc_id"))
+    texts = [r.text for r in docs.limit(40).collect()] + ["", None, "one", "!!", "a, a, a, a", "word " * 5000]
+    for text, score in zip(texts, model.scores(texts)):
+        words = list(quality.word_rows([text])[0])
+        x = np.zeros(quality.FEATURES)
+        if words:
+            mean = sum(model.index[w].astype(float) for w in words) / len(words)
+            alike = [[float(model.index[a] @ model.index[b]) for a, b in zip(words, words[gap:])] for gap in (2, 1)]
+            about = [sum(v) / max(1, len(v)) for v in alike]
+            x = np.concatenate([mean, sum(model.context[w].astype(float) for w in words) / len(words), about, [np.linalg.norm(mean), math.log1p(len(words))]])
+        hidden = [math.tanh(sum((x[i] - model.mean[i]) / model.scale[i] * model.w1[i, j] for i in range(len(x))) + model.b1[j]) for j in range(quality.HIDDEN)]
+        z = (sum(h * w for h, w in zip(hidden, model.w2)) + model.b2) / model.temperature
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), abs_tol=2e-3)
 
 
 def test_sentencepiece(spark):
