@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import cdc_dedup, decontam, embed_dedup, langid, licenses, maxent_lm, minhash, quality, sharding, sp_codec
+from skyledger.llm import cdc_dedup, centroids, decontam, embed_dedup, langid, licenses, maxent_lm, mih, minhash, quality, resampling, sharding, sp_codec
 from skyledger.llm.common import fold, table
 
 
@@ -98,6 +98,24 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 finite components; others, nulls too, have no row; repeated rows stay."""
+    found = centroids.clustered(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each whose vec_id is divisible by 50; unusable vectors take no part; repeated rows count once."""
+    vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return mih.nearest(vectors, vectors.where("vec_id % 50 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score and rank; null and empty texts have no features; repeated rows stay."""
+    found = resampling.drawn(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["text"]))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_sharding": op2_sharding,
@@ -109,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
     "op10_language_model": op10_language_model,
+    "op11_centroids": op11_centroids,
+    "op12_neighbours": op12_neighbours,
+    "op13_resampling": op13_resampling,
 }
 _SPLIT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(lower({0}), '\\.\\.+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: regexp_replace(w, '^\\.|\\.$', '', 'g')), lambda w: w <> '')"
 _PARAGRAPHS = r"\r?\n[^\p{L}\p{N}\n]*\r?\n"
@@ -170,4 +191,39 @@ component as (select vec_id, min(other) as component_id from reached group by 1)
 select e.vec_id, coalesce(n_links, 0) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join component using (vec_id) left join degree using (vec_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_sharding": _sharding_sql(), "op5_licenses": _LICENCES_SQL, "op9_embeddings": _VECTORS_SQL}
+def _centroids_sql() -> str:
+    """The rounds unrolled: assignments by distance, then floored means of each cluster."""
+    steps = []
+    for turn in range(centroids.ROUNDS + 1):
+        steps.append(f"""a{turn} as (select id, x, m.cluster, m.distance from (select id, x, min(struct_pack(distance := d, cluster := cluster)) as m from (select v.id, v.n, v.x, cluster,
+  list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint as d from v, c{turn} c) t group by n, id, x) t)""")
+        if turn < centroids.ROUNDS:
+            steps.append(f"""s{turn} as (select cluster, i, sum(e)::bigint as s, count(*) as n from (select cluster, unnest(x) as e, generate_subscripts(x, 1) as i from a{turn}) t group by all),
+m{turn} as (select cluster, list((s - ((s % n) + n) % n) // n order by i)::bigint[] as x from s{turn} group by cluster), c{turn + 1} as (select cluster, coalesce(m.x, c.x) as x from c{turn} c left join m{turn} m using (cluster))""")
+    last = centroids.ROUNDS
+    return f"""with v as (select vec_id as id, row_number() over () as n, list_transform(embedding, lambda e: floor({centroids.SCALE} * e::double)::bigint) as x from embeddings
+  where len(embedding) = {centroids.DIM} and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as (select (row_number() over (order by h, x) - 1)::int as cluster, x from (select sha256('1:' || coalesce(id::varchar, '')) as h, x from v order by h, x limit {centroids.CLUSTERS}) t), {", ".join(steps)}
+select a.id as vec_id, a.cluster, a.distance, (sum(a.distance) over (partition by a.cluster))::bigint as cluster_inertia, (sum(a.distance) over ())::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256 from a{last} a join c{last} c using (cluster)"""
+
+
+def _resampling_sql(percent: int = 25, least_words: int = 20, seed: int = 7) -> str:
+    """Features of every text, the CRC of each different one by nibbles, and integer sums of gains."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    spread = "select n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from {0}"
+    n = resampling.BUCKETS
+    return f"""with d as (select row_number() over () as n, doc_id, {words} as w from documents), b as (select row_number() over () as n, {words} as w from benchmark),
+fd as ({spread.format('d')}), fb as ({spread.format('b')}), f as (select f, string_split(hex(encode(f)), '') as h from (select f from fd union select f from fb) t),
+crc as (select f, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, len(h)), lambda i: (instr('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1)::bigint)), lambda c, y: xor(({_nibbles()}::bigint[])[(xor(c, y) & 15) + 1], c >> 4)), 4294967295::bigint) % {n} as bucket from f),
+s as (select bucket, count(*) as n from fd join crc using (f) group by 1), t as (select bucket, count(*) as n from fb join crc using (f) group by 1),
+gain as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from fd) + {n}) / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from fb) + {n}))))::bigint as gain from (select unnest(range(0, {n})) as bucket) k left join s using (bucket) left join t using (bucket)),
+sums as (select n, sum(gain)::bigint as s, count(*) as k from fd join crc using (f) join gain using (bucket) group by 1),
+scored as (select d.n, doc_id, len(w) as words, coalesce(k, 0) as n_features, case when k > 0 then (s - ((s % k) + k) % k) // k else 0 end as weight, ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join sums using (n)),
+noisy as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from scored),
+placed as (select *, row_number() over (partition by words >= {least_words} order by score desc, doc_id nulls last, n_features) as place, (select count(*) from noisy where words >= {least_words}) * {percent} // 100 as most from noisy)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when words >= {least_words} and place <= most then place end::bigint as rank from placed"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_sharding": _sharding_sql(), "op5_licenses": _LICENCES_SQL, "op9_embeddings": _VECTORS_SQL, "op11_centroids": _centroids_sql(), "op13_resampling": _resampling_sql(),
+}
