@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Leakage risk of a feature set, and classes of features.
-SET_RISK = {"full": "high", "definition_only": "high", "graph_node_features": "high", "no_definition_features": "low", "orbital_only": "low", "physical_only": "medium"}
-DIRECT, IDENTIFIERS = ["pha", "label", "target"], ["object_key", "des", "spkid", "full_name", "name"]
-PROXIES, DEFINITION = ["risk_score", "risk_score_0_100", "risk_category"], ["moid", "moid_ld", "h", "inverse_moid", "diameter", "log_diameter"]
-
+from skyledger.operators.features import set_risk
 
 def confidence(p: Column) -> Column:
     top = F.greatest(p, 1.0 - p)
@@ -36,22 +32,10 @@ def best_bucket(df: DataFrame, key: str = "object_key") -> DataFrame:
     return df.where("leakage_risk <> 'high'").groupBy(key).agg(F.max_by("confidence", order).alias("best_confidence"))
 
 
-def leakage_class(feature: Column) -> Column:
-    f = F.lower(feature)
-    return F.when(f.isin(DIRECT), "direct").when(f.isin(IDENTIFIERS), "identifier").when(f.isin(PROXIES), "strong_proxy").when(f.isin(DEFINITION), "definition").otherwise("safe")
-
-
-def set_risk(name: Column) -> Column:
-    out = F.lit("medium")
-    for k, v in SET_RISK.items():
-        out = F.when(name == k, v).otherwise(out)
-    return out
-
-
 def leakage_signals(metrics: DataFrame) -> DataFrame:
     """Best PR-AUC (else F1) of each feature set, side by side, and the three signals."""
-    best = metrics.groupBy().pivot("feature_set", ["full", "no_definition_features", "definition_only"]).agg(F.max(F.coalesce("pr_auc", "f1")))
-    full, rest, only = (F.col(c) for c in ("full", "no_definition_features", "definition_only"))
+    best = metrics.groupBy().pivot("feature_set", ["full_features", "no_definition_features", "definition_features_only"]).agg(F.max(F.coalesce("pr_auc", "f1")))
+    full, rest, only = (F.col(c) for c in ("full_features", "no_definition_features", "definition_features_only"))
     return best.withColumns({"full_gap": full - rest >= 0.20, "definition_strong": only >= 0.85, "definition_gap": only - rest >= 0.20})
 
 

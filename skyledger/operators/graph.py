@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyledger.plans.shared import materialised
+
 BLOCK = 1000
 
 
@@ -86,24 +88,37 @@ def degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, component): the smallest key that can be reached. Smallest labels spread along edges, then to labels' labels."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if configured is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints")
-    links = both_ways(edges.select("a", "b")).checkpoint()
-    labels = nodes.select(key, F.col(key).alias("component")).checkpoint()
-    while True:
-        spread = links.join(labels.withColumnRenamed(key, "dst"), "dst").groupBy(F.col("src").alias(key)).agg(F.min("component").alias("low"))
-        new = labels.join(spread, key, "left").select(key, F.least("component", "low").alias("component"))
-        jump = new.select(F.col(key).alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component", "left").select(key, F.coalesce("further", "component").alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "old"), key).where("component <> old").isEmpty()
-        labels = new
-        if changed:
-            return labels
+    """(key, component): the smallest key that can be reached.
+
+    Each round every node hooks to the neighbour (or itself) of the least priority, a hash that changes with the round,
+    so that chains of hooks stay short whatever the keys; two jumps shorten them further, and the edges are contracted to
+    where their ends got. Edges shrink by a constant share a round: the number of rounds grows with the logarithm of the
+    nodes, not with the length of paths. A round's table holds only the nodes that still have edges, with the least key
+    merged into each; at the end the rounds are followed backwards, each table joined once.
+    """
+    edges = materialised(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    rounds: list[tuple[DataFrame, DataFrame]] = []
+    while not edges.isEmpty():
+        mark = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("p"), F.col(c).alias("to"))
+        ends = edges.select("a", "b").union(edges.select("b", "a"))
+        hooks = ends.groupBy(F.col("a").alias("node")).agg(F.min(mark("b")).alias("m"))
+        hooks = materialised(hooks.select("node", F.least("m", mark("node"))["to"].alias("to")), "hooks")
+        for _ in range(2):
+            jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            hooks = materialised(hooks.join(jump, "to").select("node", F.col("further").alias("to")), "hooks")
+        known = hooks.withColumn("low", F.col("node")) if not rounds else hooks.join(rounds[-1][1], "node")
+        least = materialised(known.groupBy(F.col("to").alias("node")).agg(F.min("low").alias("low")), "least")
+        rounds.append((hooks, least))
+        to_a, to_b = (hooks.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b"))
+        moved = edges.join(to_a, "a").join(to_b, "b").where("to_a <> to_b")
+        edges = materialised(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+    found = None  # (node, component) of the nodes of a round; a target without edges in the next keeps the least of its own
+    for hooks, least in reversed(rounds):
+        ends = least.withColumnRenamed("low", "component") if found is None else least.join(found, "node", "left").select("node", F.coalesce("component", "low").alias("component"))
+        found = hooks.join(ends.withColumnRenamed("node", "to"), "to").select("node", "component")
+    if found is None:
+        return nodes.select(key, F.col(key).alias("component"))
+    return nodes.select(key).join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame, key: str, min_nodes: int = 10) -> DataFrame:

@@ -14,12 +14,6 @@ from skyledger.operators.graph import both_ways
 from skyledger.operators.metrics import stratified
 from skyledger.operators.quality import impute_scale
 
-FEATURE_SETS = {
-    "orbital_only": ["e", "a", "q", "i", "om", "w", "ma", "n"], "no_definition_features": ["e", "a", "q", "i", "arc_length", "n_obs_used", "rms"],
-    "definition_only": ["moid", "h"], "physical_only": ["h", "diameter"],
-}
-
-
 def estimator(name: str, width: int):
     return {
         "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=1e-4, standardization=False, weightCol="weight"),

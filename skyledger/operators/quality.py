@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import flag, number
+from skyledger.operators.quantiles import medians
+from skyledger.plans.shared import materialised
 
 
 def _long(df: DataFrame, rows: list[tuple[str, str, str]], kinds: list[str]) -> DataFrame:
@@ -95,11 +97,12 @@ def readiness(layers: dict[str, DataFrame]) -> DataFrame:
 def impute_scale(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """``key`` and the columns with medians for missing values, centred and divided by the population deviation (or 1).
 
-    Columns without any value are dropped. The statistics are one row.
+    Columns without any value are dropped. The statistics are one row, so they are part of the plan as literals.
     """
-    values = df.select(key, *[number(c).alias(c) for c in columns])
-    medians = values.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    filled = values.crossJoin(F.broadcast(medians)).select(key, *[F.coalesce(c, f"_m_{c}").alias(c) for c in columns])
-    stats = filled.agg(*[F.avg(c).alias(f"_a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    scaled = [((F.col(c) - F.col(f"_a_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))).alias(c) for c in columns]
-    return filled.crossJoin(F.broadcast(stats)).select(key, *scaled)
+    values = materialised(df.select(key, *[number(c).alias(c) for c in columns]), "numbers")
+    middle = {c: m for c, m in medians(values, columns).items() if m is not None}
+    filled = values.select(key, *[F.coalesce(c, F.lit(m)).alias(c) for c, m in middle.items()])
+    if not middle:
+        return filled
+    stats = filled.agg(*[F.avg(c).alias(f"a_{c}") for c in middle], *[F.stddev_pop(c).alias(f"s_{c}") for c in middle]).first()
+    return filled.select(key, *[((F.col(c) - stats[f"a_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in middle])

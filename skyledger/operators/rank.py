@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import flag
+from skyledger.operators.quantiles import medians
 from skyledger.operators.score import dominant_driver
+from skyledger.plans.shared import materialised
 
 ORDER = ["risk_score_0_100", "uncertainty_risk_component", "sentry_risk_component"]
 PROBES = ["object_key", "spkid", "des", "full_name", "name"]
@@ -70,11 +72,12 @@ def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Rows, least, mean, median and greatest score (null counts as 0) and the top object."""
-    s = F.coalesce("risk_score_0_100", F.lit(0.0))
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(s).alias("min_score"), F.avg(s).alias("mean_score"), F.median(s).alias("median_score"), F.max(s).alias("max_score"),
-        F.min(F.struct((-s).alias("s"), "object_key"))["object_key"].alias("top_object"),
+    """Rows, least, mean, median (exact) and greatest score (null counts as 0) and the top object."""
+    narrow = materialised(df.select("object_key", F.coalesce("risk_score_0_100", F.lit(0.0)).alias("s")), "ranked")
+    middle = medians(narrow, ["s"])["s"]
+    return narrow.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("s").alias("min_score"), F.avg("s").alias("mean_score"), F.lit(middle).cast("double").alias("median_score"), F.max("s").alias("max_score"),
+        F.min(F.struct((-F.col("s")).alias("s"), "object_key"))["object_key"].alias("top_object"),
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.operators.evidence import finding, set_risk
+from skyledger.operators.evidence import finding
+from skyledger.operators.features import set_risk
 from skyledger.operators.rank import rank
 from skyledger.operators.score import dominant_driver
 

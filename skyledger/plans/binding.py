@@ -39,6 +39,8 @@ def sentry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OBJECT_COLUMNS = ["des", "spkid", "full_name", "orbit_class_code", "pha", "h", "diameter", "e", "a", "q", "i", "om", "w", "ma", "moid", "condition_code", "arc_length", "n_obs_used", "rms", "per", "moid_ld", "n"]
+
 # The same relations in DuckDB's SQL.
 OBJECTS_SQL = """objects as (select *, 365.25e0 * power(a, 1.5e0) as per, 360e0 / (365.25e0 * power(a, 1.5e0)) as n, case when moid > 0 then moid * 389.174e0 end as moid_ld from (
 select cast(p_partkey as varchar) as des, '2' || lpad(cast(p_partkey as varchar), 7, '0') as spkid, p_name as full_name, p_type as orbit_class_code,

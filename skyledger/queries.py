@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import columns as c
 from skyledger.operators import explain, gold, quality, rank, score
 from skyledger.plans import binding as b
+from skyledger.plans.shared import shared_folder  # noqa: F401
 from skyledger.plans.binding import BAND_SQL, GOLD_SQL, OBJECTS_SQL, SCORE_SQL, SENTRY_SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,25 +388,11 @@ def topk_recall(spark, d):
 
 
 # Sources, sinks, streams, evidence.
-import tempfile  # noqa: E402
-import uuid  # noqa: E402
-
-from skyledger.operators import evidence  # noqa: E402
+from skyledger.operators import evidence, features  # noqa: E402
 from skyledger.sources import bronze, sinks  # noqa: E402
 from skyledger.streaming import intake  # noqa: E402
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or f"{tempfile.gettempdir()}/checkpoints")
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 _CUSTOMER = "object struct<spkid:string,fullname:string,phys_par:array<struct<name:string,value:string>>>"
 
 
@@ -520,13 +507,13 @@ def intake_windows(spark, d):
     return spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{root}/out")
 
 
-_MODELS = "with p as (select p_partkey, cast(p_size <= 15 as int) as label, p_partkey % 101 / 101e0 as s1, p_partkey % 37 / 37e0 as s2, p_partkey % 5 / 5e0 as s3 from part), m as (select p_partkey, label, 'm1' as model, s1 as score, 'full' as feature_set from p union all select p_partkey, label, 'm2', s2, 'orbital_only' from p union all select p_partkey, label, 'm3', s3, 'no_definition_features' from p), r as (select *, cast(score >= 5e-1 as int) as predicted, case when greatest(score, 1 - score) >= 85e-2 then 'high' when greatest(score, 1 - score) >= 65e-2 then 'medium' else 'low' end as confidence, case when feature_set = 'full' then 'high' else 'low' end as leakage_risk, case when p_partkey % 4 = 0 then 'eval' else 'full' end as prediction_mode from m)"
+_MODELS = "with p as (select p_partkey, cast(p_size <= 15 as int) as label, p_partkey % 101 / 101e0 as s1, p_partkey % 37 / 37e0 as s2, p_partkey % 5 / 5e0 as s3 from part), m as (select p_partkey, label, 'm1' as model, s1 as score, 'full_features' as feature_set from p union all select p_partkey, label, 'm2', s2, 'orbital_only' from p union all select p_partkey, label, 'm3', s3, 'no_definition_features' from p), r as (select *, cast(score >= 5e-1 as int) as predicted, case when greatest(score, 1 - score) >= 85e-2 then 'high' when greatest(score, 1 - score) >= 65e-2 then 'medium' else 'low' end as confidence, case when feature_set = 'full_features' then 'high' else 'low' end as leakage_risk, case when p_partkey % 4 = 0 then 'eval' else 'full' end as prediction_mode from m)"
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rule models over the objects."""
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") <= 15).cast("int").alias("label"), F.explode(F.expr("array(struct('m1' as model, p_partkey % 101 / 101D as score, 'full' as feature_set), struct('m2' as model, p_partkey % 37 / 37D as score, 'orbital_only' as feature_set), struct('m3' as model, p_partkey % 5 / 5D as score, 'no_definition_features' as feature_set))")).alias("m"))
-    p = p.select("p_partkey", "label", "m.*").withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "confidence": evidence.confidence(F.col("score")), "leakage_risk": evidence.set_risk(F.col("feature_set"))})
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") <= 15).cast("int").alias("label"), F.explode(F.expr("array(struct('m1' as model, p_partkey % 101 / 101D as score, 'full_features' as feature_set), struct('m2' as model, p_partkey % 37 / 37D as score, 'orbital_only' as feature_set), struct('m3' as model, p_partkey % 5 / 5D as score, 'no_definition_features' as feature_set))")).alias("m"))
+    p = p.select("p_partkey", "label", "m.*").withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "confidence": evidence.confidence(F.col("score")), "leakage_risk": features.set_risk(F.col("feature_set"))})
     return p.withColumn("prediction_mode", F.when(F.col("p_partkey") % 4 == 0, "eval").otherwise("full"))
 
 
@@ -570,12 +557,12 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(predictions(spark, sf_dir), ["model", "feature_set"]).select("model", "feature_set", F.round("f1", 6).alias("f1"), F.lit(None).cast("double").alias("pr_auc"))
 
 
-@query(f"{_MODELS}, {_F1} select 'overall' as scope, model, feature_set, f1 as value from (select * from q order by f1 desc, model limit 1) a union all select 'defensible', model, feature_set, f1 from (select * from q where feature_set <> 'full' order by f1 desc, model limit 1) b")
+@query(f"{_MODELS}, {_F1} select 'overall' as scope, model, feature_set, f1 as value from (select * from q order by f1 desc, model limit 1) a union all select 'defensible', model, feature_set, f1 from (select * from q where feature_set <> 'full_features' order by f1 desc, model limit 1) b")
 def best_models(spark, d):
     return evidence.best_models(model_metrics(spark, d))
 
 
-@query(f"{_MODELS}, {_F1}, w as (select max(f1) filter (feature_set = 'full') as \"full\", max(f1) filter (feature_set = 'no_definition_features') as no_definition_features, max(f1) filter (feature_set = 'definition_only') as definition_only from q) select *, \"full\" - no_definition_features >= 2e-1 as full_gap, definition_only >= 85e-2 as definition_strong, definition_only - no_definition_features >= 2e-1 as definition_gap from w")
+@query(f"{_MODELS}, {_F1}, w as (select max(f1) filter (feature_set = 'full_features') as full_features, max(f1) filter (feature_set = 'no_definition_features') as no_definition_features, max(f1) filter (feature_set = 'definition_features_only') as definition_features_only from q) select *, full_features - no_definition_features >= 2e-1 as full_gap, definition_features_only >= 85e-2 as definition_strong, definition_features_only - no_definition_features >= 2e-1 as definition_gap from w")
 def leakage_compare(spark, d):
     return evidence.leakage_signals(model_metrics(spark, d))
 
@@ -590,7 +577,7 @@ from skyledger.operators import models  # noqa: E402
 
 
 def _predicted(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    rows = b.objects(spark, sf_dir).select(F.col("spkid").alias("object_key"), F.col("pha").cast("int").alias("label"), *models.FEATURE_SETS["definition_only"], "e", "a")
+    rows = b.objects(spark, sf_dir).select(F.col("spkid").alias("object_key"), F.col("pha").cast("int").alias("label"), "moid", "h", "e", "a")
     return models.predictions(rows, model, ["moid", "h", "e", "a"])
 
 
@@ -621,4 +608,4 @@ def label_propagation(spark, d):
     return models.label_propagation(nodes, embedding_edges(spark, d), "vec_id", "known", 8).withColumn("score", F.round("score", 6))
 
 
-from skyledger import report_queries  # noqa: E402, F401  (registers its queries)
+from skyledger import model_queries, report_queries  # noqa: E402, F401  (they register their queries)

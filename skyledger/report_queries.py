@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from skyledger import queries as q
 from skyledger.functions import columns as c
-from skyledger.operators import discovery, evidence, explain, models, rank, reports
+from skyledger.operators import discovery, evidence, explain, features, rank, reports
 from skyledger.plans import binding as b
-from skyledger.plans.binding import GOLD_SQL, OBJECTS_SQL, SCORE_SQL, table
+from skyledger.plans.binding import GOLD_SQL, OBJECT_COLUMNS, OBJECTS_SQL, SCORE_SQL, table
 from skyledger.queries import query
 from skyledger.sources import bronze, sinks
 
@@ -95,7 +95,7 @@ def graph_findings(spark, d):
     return _graph_findings(spark, d)
 
 
-_LOW, _HIGH = ("', '".join(k for k, v in evidence.SET_RISK.items() if v == r) for r in ("low", "high"))
+_LOW, _HIGH = "orbital_only', 'no_definition_features", "', '".join(features.HIGH)
 _MODEL_ROWS = f"""select 'model' as finding_group, 'defensible: ' || model || '/' || feature_set as title, 'pr_auc or f1' as metric, f1 as value from (select * from q where feature_set in ('{_LOW}') order by f1 desc, model || '/' || feature_set desc limit 1) a
 union all select 'model', 'disagreements', 'count', (select count(*) from (select p_partkey from r group by 1 having count(distinct predicted) > 1 or count(*) filter (confidence = 'high' and label <> predicted) > 0) x)
 union all select 'model', 'leakage-sensitive: ' || model || '/' || feature_set, 'pr_auc or f1', f1 from (select * from q where feature_set in ('{_HIGH}') order by model, feature_set limit 5) h"""
@@ -115,14 +115,14 @@ def findings_summary(spark, d):
     return reports.assembled(_model_findings(spark, d).unionByName(_graph_findings(spark, d))).select("finding_group", "title", "value", "place", "total")
 
 
-_FAMILY = "case when feature_set = 'full' then 'graph' else 'tabular' end"
+_FAMILY = "case when feature_set = 'full_features' then 'graph' else 'tabular' end"
 _CARDS = f"""cards as (select model, feature_set, {_FAMILY} as model_family, f1, case when feature_set in ('{_LOW}') then 'low' when feature_set in ('{_HIGH}') then 'high' else 'medium' end as leakage_risk from q),
 coded as (select *, case when leakage_risk = 'low' then 'no_definition_variables' else 'baseline' end as strengths, case when model_family = 'graph' then 'depends_on_graph' when leakage_risk = 'low' then 'may_understate' else 'definition_inputs' end as weakness from cards)"""
 
 
 def _family_metrics(spark, d):
     null = F.lit(None).cast("double")
-    return q.model_metrics(spark, d).withColumns({"model_family": F.when(F.col("feature_set") == "full", "graph").otherwise("tabular"), "status": F.lit("success"), "roc_auc": null, "recall": null})
+    return q.model_metrics(spark, d).withColumns({"model_family": F.when(F.col("feature_set") == "full_features", "graph").otherwise("tabular"), "status": F.lit("success"), "roc_auc": null, "recall": null})
 
 
 @query(f"{q._MODELS}, {q._F1}, {_CARDS} select model, feature_set, leakage_risk, strengths, weakness from coded")
@@ -136,7 +136,7 @@ def metric_cards(spark, d):
     return reports.with_cards(metrics, reports.model_cards(metrics).where("model <> 'm1'")).select("model", "feature_set", "f1", "leakage_risk", "weakness")
 
 
-@query(f"{q._MODELS}, {q._F1}, best as (select max(f1) filter (feature_set = 'full') as g, max(f1) filter (feature_set <> 'full') as n from q) select g as graph_f1, n as baseline_f1, case when g > n then 'exceeded' else 'not_exceeded' end as verdict from best")
+@query(f"{q._MODELS}, {q._F1}, best as (select max(f1) filter (feature_set = 'full_features') as g, max(f1) filter (feature_set <> 'full_features') as n from q) select g as graph_f1, n as baseline_f1, case when g > n then 'exceeded' else 'not_exceeded' end as verdict from best")
 def graph_against_baselines(spark, d):
     return reports.graph_against_baselines(_family_metrics(spark, d))
 
@@ -146,10 +146,11 @@ def prediction_labels(spark, d):
     return reports.prediction_labels(q.predictions(spark, d), "p_partkey").select("p_partkey", "model", "designation", "evidence_role", "dataset_note")
 
 
-_SETS = {**models.FEATURE_SETS, "none": ["no_such_column"]}
+_SETS = {**features.SETS, "none": ["no_such_column"]}
+_SET_ROWS = ", ".join(f"('{k}', {sum(c in OBJECT_COLUMNS for c in v)}, '{','.join(c for c in v if c not in OBJECT_COLUMNS)}')" for k, v in _SETS.items())
 
 
-@query(f"with {OBJECTS_SQL}, n as (select count(pha) as n, count(*) filter (pha) as p from objects), s(feature_set, own, missing) as (values ('orbital_only', 1, ''), ('no_definition_features', 1, ''), ('definition_only', 1, ''), ('physical_only', 1, ''), ('none', 0, 'no_such_column')), m(model) as (values ('mlp'), ('random_forest')) "
+@query(f"with {OBJECTS_SQL}, n as (select count(pha) as n, count(*) filter (pha) as p from objects), s(feature_set, own, missing) as (values {_SET_ROWS}), m(model) as (values ('mlp'), ('random_forest')) "
        "select feature_set, model, n as n_rows, p as n_positive, missing, case when own = 0 then 'skipped_no_features' when n < 100 or p < 5 then 'insufficient_data' when n = p then 'single_class' else 'ready' end as status from s, m, n")
 def experiment_grid(spark, d):
     return reports.experiment_grid(b.objects(spark, d), _SETS, ["mlp", "random_forest"], "pha")
@@ -230,13 +231,6 @@ def clean_designation(spark, d):
     return table(spark, d, "events").withColumn("raw", raw).select("event_id", c.designation("raw").alias("value"))
 
 
-@query("select feature, class as leakage from (values ('pha', 'direct'), ('name', 'identifier'), ('risk_score', 'strong_proxy'), ('moid', 'definition'), ('e', 'safe')) v(feature, class), (select count(*) as n from part) p where n > 0")
-def leakage_classes(spark, d):
-    names = F.explode(F.array(*[F.lit(x) for x in ("pha", "name", "risk_score", "moid", "e")])).alias("feature")
-    some = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    return some.select(names).select("feature", evidence.leakage_class(F.col("feature")).alias("leakage"))
-
-
 @query(f"with {SCORE_SQL} select object_key from scores {q._RANK} limit 50")
 def sink_csv_top(spark, d):
     path = q.shared_folder(spark, "scored")
