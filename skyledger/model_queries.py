@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger import queries as q
-from skyledger.operators import experiments, features
-from skyledger.plans.binding import GOLD_SQL, SCORE_SQL
+from skyledger.operators import adjacency, experiments, features
+from skyledger.plans.binding import GOLD_SQL, SCORE_SQL, table
 from skyledger.queries import query
 
 #: Features that no relation of the binding has.
@@ -67,3 +67,26 @@ def full_predictions(spark, d):
     """Held-out and full predictions of the five evidence cells; scores differ between optimisers, so SQL has the rest."""
     run = experiments.run(q.scores(spark, d), experiments.EVIDENCE, modes=("eval", "full"), min_rows=experiments.MIN_EVIDENCE, min_positive=1)
     return run.predictions.select("object_key", "label", "model", "feature_set", "prediction_mode", "leakage_risk", "evidence_role", "training_strategy")
+
+
+@query(f"""with {q._KNN}, node as (select vec_id, row_number() over (order by vec_id) - 1 as node_id from embeddings), e as (select a.node_id as x, b.node_id as y from edges join node a on a.vec_id = edges.a join node b on b.vec_id = edges.b where edges.distance <= 115e-2),
+ends as (select x as src, y as dst from e union all select y, x from e), deg as (select node_id, count(dst) as degree, coalesce(list(dst order by dst) filter (dst is not null), []) as neighbours from node left join ends on src = node_id group by 1)
+select node_id, (coalesce(sum(degree) over (order by node_id rows between unbounded preceding and 1 preceding), 0))::bigint as offset, degree, 0 as part, array_to_string(neighbours, ',') as neighbours from deg""")
+def edge_index(spark, d):
+    nodes = adjacency.dense_ids(table(spark, d, "embeddings").select("vec_id"), "vec_id", "node_id")
+    index = adjacency.edge_index(nodes, q.embedding_edges(spark, d).where("distance <= 1.15"), "vec_id")
+    return index.withColumn("neighbours", F.array_join("neighbours", ","))
+
+
+_MATRIX = [c for c in adjacency.NODE_FEATURES if c not in (*_ABSENT, "risk_score_0_100")]
+
+
+@query(f"""with {SCORE_SQL}, z as (select row_number() over (order by object_key) - 1 as node_id, object_key, coalesce(pha::int, -1) as label, {', '.join(f"coalesce({c}::double, 0) as {c}" for c in _MATRIX)} from scores),
+m as (select *, count(*) over (partition by label) as of_label, row_number() over (partition by label order by md5(concat_ws(':', node_id::varchar, '42')), node_id) as place from z)
+select node_id, object_key, label, case when label < 0 then null when of_label = 1 or place <= round(of_label * 6e-1) then 'train' when place <= round(of_label * 8e-1) then 'val' else 'test' end as mask,
+round(({' + '.join(f"{i + 1} * coalesce(({c} - avg({c}) over ()) / nullif(stddev_pop({c}) over (), 0), 0)" for i, c in enumerate(_MATRIX))}), 4) as weighed, {len(_MATRIX)} as width from m""")
+def node_matrix(spark, d):
+    """``weighed`` is the sum of a row's features times their place, so that all of them are compared."""
+    matrix, names = adjacency.node_matrix(q.scores(spark, d), features=_MATRIX)
+    sums = F.aggregate(F.transform("features", lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+    return matrix.select("node_id", "object_key", "label", "mask", F.round(sums, 4).alias("weighed"), F.lit(len(names)).alias("width"))

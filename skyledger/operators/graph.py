@@ -1,57 +1,13 @@
-"""Similarity graphs: exact nearest neighbours and radius links in blocks, degrees, components, neighbourhood features."""
+"""Similarity graphs: links of nearest neighbours and within a radius, degrees, components, neighbourhood features."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyledger.operators.neighbours import nearest, within
 from skyledger.plans.shared import materialised
 
-BLOCK = 1000
-
-
-def _paired(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """Each row once for every block it is compared with: side 0 asks, side 1 answers."""
-    blocks = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    rows = rows.withColumns({"mine": F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    asks = rows.select(F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "k", "v")
-    return asks.unionByName(rows.select(F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "k", "v"))
-
-
-def _distances(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if not len(a) or not len(b):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
-    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-    d = np.empty((len(x), len(y)))
-    for r in range(len(x)):  # differences first: exact zeros for equal points
-        d[r] = np.sqrt(((y - x[r]) ** 2).sum(axis=1))
-    return a["k"].to_numpy(), b["k"].to_numpy(), d
-
-
-def neighbours(df: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(src, dst, distance, place): the k nearest others of each row, ties by key. Exact: every pair of blocks is one task
-    of bounded size that returns k rows for each of its own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _distances(pdf)
-        out = []
-        for r in range(len(a)):
-            order = np.lexsort((b, d[r]))
-            order = order[b[order] != a[r]][:k]
-            out.append(pd.DataFrame({"src": a[r], "dst": b[order], "distance": d[r][order]}))
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "distance": []})
-
-    found = _paired(df, key, vector, block).groupBy("i", "j").applyInPandas(run, "src long, dst long, distance double")
-    place = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
-
 
 def undirected(directed: DataFrame) -> DataFrame:
     """(a, b, distance, similarity) with a < b: each pair once, with its least distance."""
@@ -60,20 +16,11 @@ def undirected(directed: DataFrame) -> DataFrame:
 
 
 def knn_edges(df: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    return undirected(neighbours(df, key, vector, k))
-
-
-def radius_edges(df: DataFrame, key: str, vector: str, radius: float, block: int = BLOCK) -> DataFrame:
-    """Pairs at a distance of at most ``radius``, exact, in blocks."""
+    return undirected(nearest(df, key, vector, k).rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _distances(pdf)
-        if not len(a):
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        r, c = np.nonzero((d <= radius) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"src": a[r], "dst": b[c], "distance": d[r, c]})
 
-    return undirected(_paired(df, key, vector, block).groupBy("i", "j").applyInPandas(run, "src long, dst long, distance double"))
+def radius_edges(df: DataFrame, key: str, vector: str, radius: float) -> DataFrame:
+    return undirected(within(df, key, vector, radius).rows)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

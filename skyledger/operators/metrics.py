@@ -56,11 +56,13 @@ def top_k_recall(df: DataFrame, by: list[str], key: str, ks: tuple[int, ...] = (
     return best.groupBy(*by, "k").agg(F.sum(label).alias("hits")).join(total, by).select(*by, "k", F.try_divide(F.col("hits").cast("double"), F.col("all_p")).alias("recall"))
 
 
-def stratified(df: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42) -> DataFrame:
-    """``df`` with split: the first share of each class in the order of md5(key:seed) is ``test``.
+def stratified(df: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42, shares: tuple[tuple[str, float | None], ...] | None = None) -> DataFrame:
+    """``df`` with split: the first share of each class in the order of md5(key:seed) is ``test``, the rest ``train``.
 
-    Labels with one row only are all ``train``.
+    ``shares`` names other parts, in order, the last of them (share None) taking the rest. Labels with one row only are
+    all in the last part, or in ``train`` where there is one.
     """
+    shares = shares or (("test", test_share), ("train", None))
     order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     out = df.withColumns({"_o": order, "_b": F.substring(order, 1, 3)})
     # Ranks within each of the 4096 first three digits, plus the rows of the digits before: at most 4096 sums a label.
@@ -70,5 +72,10 @@ def stratified(df: DataFrame, label: str, key: str, test_share: float = 0.25, se
     out = out.withColumn("_r", F.row_number().over(W.partitionBy(label, "_b").orderBy("_o", key)))
     out = out.join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_k")))
     place = F.col("_r") + F.col("_before")
-    split = F.when((F.col("_n") > 1) & (place <= F.round(F.col("_n") * test_share)), "test").otherwise("train")
+    names = [name for name, _ in shares]
+    split, upto = F.when(F.col("_n") == 1, "train" if "train" in names else names[-1]), 0.0
+    for name, share in shares[:-1]:
+        upto += share
+        split = split.when(place <= F.round(F.col("_n") * upto), name)
+    split = split.otherwise(names[-1])
     return out.withColumn("split", split).select(*df.columns, "split")

@@ -13,6 +13,7 @@ from skyledger.operators.evidence import confidence
 from skyledger.operators.graph import both_ways
 from skyledger.operators.metrics import stratified
 from skyledger.operators.quality import impute_scale
+from skyledger.plans.shared import dropped, materialised
 
 def estimator(name: str, width: int):
     return {
@@ -42,12 +43,27 @@ def predictions(df: DataFrame, model: str, features: list[str], key: str = "obje
     return out.select(key, "label", "split", F.lit(model).alias("model"), score.alias("score"), F.col("prediction").cast("int").alias("predicted"), confidence(score).alias("confidence"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, label: str, steps: int = 20) -> DataFrame:
-    """(key, score): labels known in ``nodes`` (others null) spread along edges by similarity, known ones held fixed."""
-    links = both_ways(edges).select("src", "dst", "similarity").checkpoint()
+def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, label: str, steps: int = 1000, tolerance: float = 1e-3) -> DataFrame:
+    """(key, score): labels known in ``nodes`` (others null) spread along edges by similarity, known ones held fixed.
+
+    An unknown score starts at 0.5 and becomes the mean of its neighbours' by similarity, until no score moves by more
+    than ``tolerance`` or after ``steps`` rounds. A round computes only the frontier: unknown nodes beside one that moved
+    in the round before, which is one whose score is further than ``tolerance`` from where it last moved to. So no node
+    ever computes with a neighbour's score that is off by more. Nodes without edges keep 0.5. ``edges`` holds a pair once.
+    """
     known = nodes.select(key, F.col(label).cast("double").alias("fixed"))
-    state = known.select(key, F.coalesce("fixed", F.lit(0.5)).alias("score"))
+    free = known.where("fixed is null").select(key)
+    links = both_ways(edges).select("src", "dst", "similarity").join(free.withColumnRenamed(key, "src"), "src", "left_semi")
+    links = materialised(links, "links")  # (src, dst): only unknown nodes listen
+    state = materialised(known.select(key, F.coalesce("fixed", F.lit(0.5)).alias("score"), F.coalesce("fixed", F.lit(0.5)).alias("told"), F.lit(True).alias("moved")), "scores")
     for _ in range(steps):
-        near = links.join(state.withColumnRenamed(key, "dst"), "dst").groupBy(F.col("src").alias(key)).agg((F.sum(F.col("similarity") * F.col("score")) / F.sum("similarity")).alias("near"))
-        state = known.join(near, key, "left").select(key, F.coalesce("fixed", "near", F.lit(0.5)).alias("score")).checkpoint()
-    return state
+        told = links.join(state.where("moved").select(F.col(key).alias("dst")), "dst", "left_semi").select("src").distinct()
+        heard = links.join(told, "src", "left_semi").join(state.select(F.col(key).alias("dst"), "score"), "dst")
+        near = heard.groupBy(F.col("src").alias(key)).agg((F.sum(F.col("similarity") * F.col("score")) / F.sum("similarity")).alias("near"))
+        moved = F.coalesce(F.abs(F.col("near") - F.col("told")) > tolerance, F.lit(False))
+        after = state.join(near, key, "left").select(key, F.coalesce("near", "score").alias("score"), F.when(moved, F.col("near")).otherwise(F.col("told")).alias("told"), moved.alias("moved"))
+        before, state = state, materialised(after, "scores")
+        dropped(before)
+        if state.where("moved").isEmpty():
+            break
+    return state.select(key, "score")

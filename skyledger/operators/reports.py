@@ -12,6 +12,7 @@ from skyledger.operators.evidence import finding
 from skyledger.operators.features import set_risk
 from skyledger.operators.rank import rank
 from skyledger.operators.score import dominant_driver
+from skyledger.plans.shared import materialised
 
 # Columns attached to gold rows, columns that no graph may learn from, node features.
 SCORE_COLUMNS = ["risk_score", "risk_score_0_100", "risk_category", "dominant_driver"]
@@ -140,15 +141,16 @@ def metric_records(df: DataFrame, target: str = "pha") -> DataFrame:
     )
 
 
-def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
+def dense_ids(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2 ... in the order of ``key``. Ranges are numbered apart, then moved by the counts before.
 
-    The ranges are fixed by a checkpoint, so a task that runs again numbers the same rows.
+    The ranges are fixed by a table in the shared folder, so a task that runs again numbers the same rows.
     """
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()).checkpoint()
+    keys = [key] if isinstance(key, str) else key
+    ranged = materialised(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_range", F.spark_partition_id()), "ranges")
     before = F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # one row for each range
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy(key))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*keys))
     return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
 
 

@@ -572,6 +572,8 @@ def findings(spark, d):
     return evidence.findings(scores(spark, d))
 
 
+#: Rounds after which label propagation has settled, for SQL.
+LABEL_STEPS = 40
 # Models: no SQL; tests check that scores are probabilities and rank better than chance.
 from skyledger.operators import models  # noqa: E402
 
@@ -601,11 +603,14 @@ def mlp_predictions(spark, d):
     return _predicted(spark, d, "mlp")
 
 
-@query()
+@query(f"""with recursive {_KNN}, ends as (select a as src, b as dst, 1 / (1 + distance) as w from edges union all select b, a, 1 / (1 + distance) from edges),
+known as (select vec_id, case when vec_id % 3 <> 0 then (label = 0)::int::double end as fixed from embeddings), listen as (select src, list(dst order by dst) as near, list(w order by dst) as w from ends join known on vec_id = src where fixed is null group by 1),
+rounds as (select 0 as step, map_from_entries(list((vec_id, coalesce(fixed, 5e-1)))) as score from known
+ union all select step + 1, map_concat(score, (select map_from_entries(list((src, list_sum(list_transform(near, lambda x, i: w[i] * score[x])) / list_sum(w)))) from listen)) from rounds where step < {LABEL_STEPS})
+select vec_id, round(score[vec_id], 2) as score from rounds, known where step = {LABEL_STEPS}""")
 def label_propagation(spark, d):
-    shared_folder(spark, "propagation")
     nodes = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, (F.col("label") == 0).cast("int")).alias("known"))
-    return models.label_propagation(nodes, embedding_edges(spark, d), "vec_id", "known", 8).withColumn("score", F.round("score", 6))
+    return models.label_propagation(nodes, embedding_edges(spark, d), "vec_id", "known", tolerance=1e-6).withColumn("score", F.round("score", 2))
 
 
 from skyledger import model_queries, report_queries  # noqa: E402, F401  (they register their queries)

@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from skyledger.operators import experiments, features, graph, metrics, quality, quantiles
+from skyledger.operators import experiments, features, graph, metrics, models, neighbours, quality, quantiles
 
 
 def objects(spark, n=240):
@@ -110,3 +110,57 @@ def test_components_by_union_find(spark):
     assert {r.k: r.component for r in got} == {k: find(k) for k in range(900)}
     named = graph.components(spark.createDataFrame([("b",), ("c",), ("d",)], "k string"), spark.createDataFrame([("c", "b")], "a string, b string"), "k").collect()
     assert {r.k: r.component for r in named} == {"b": "b", "c": "b", "d": "d"}
+
+
+def plain_nearest(rows, k):
+    out = {}
+    for i, x in rows:
+        out[i] = sorted((sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5, j) for j, y in rows if j != i)[:k]
+    return out
+
+
+def clusters(n, seed, spread=0.05):
+    rng = random.Random(seed)
+    centres = [[rng.uniform(-10, 10) for _ in range(4)] for _ in range(12)]
+    return [(i, [c + rng.gauss(0, spread) for c in centres[i % 12]]) for i in range(n)]
+
+
+def test_nearest_by_brute_force(spark):
+    rows = clusters(300, 5) + [(1000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)] + [(2000 + i, [float(i), 0.0, 0.0, 0.0]) for i in range(20)]
+    df = spark.createDataFrame([*rows, (1, rows[1][1]), (5000, None), (5001, [1.0, float("nan"), 0.0, 0.0])], "k long, v array<double>")
+    want = plain_nearest(rows, 4)
+    found = neighbours.nearest(df, "k", "v", 4, leaf=20)
+    got = {}
+    for r in found.rows.orderBy("src", "place").collect():
+        got.setdefault(r.src, []).append((r.distance, r.dst))
+        assert r.place == len(got[r.src])
+    assert set(got) == set(want)
+    for i, near in got.items():
+        assert [j for _, j in near] == [j for _, j in want[i]] and all(abs(a - b) < 1e-12 for (a, _), (b, _) in zip(near, want[i]))
+    few = neighbours.nearest(df.where("k < 3"), "k", "v", 4)
+    assert few.rows.count() == 6 and neighbours.nearest(df.where("false"), "k", "v").rows.isEmpty()
+    pairs = {(r.src, r.dst) for r in neighbours.within(df, "k", "v", 1.0, leaf=20).rows.collect()}
+    assert pairs == {(i, j) for i, x in rows for j, y in rows if i < j and sum((a - b) ** 2 for a, b in zip(x, y)) <= 1.0}
+    assert neighbours.within(df.where("false"), "k", "v", 1.0).rows.isEmpty()
+
+
+def test_clustered_rows_compare_few_pairs(spark):
+    n = 4000
+    df = spark.createDataFrame(clusters(n, 9), "k long, v array<double>")
+    found = neighbours.nearest(df, "k", "v", 5, leaf=50)
+    assert found.rows.count() == 5 * n
+    assert sum(r.pairs for r in found.compared.collect()) < n * n / 12 * 0.7  # well below the pairs within the clusters
+
+
+def test_propagation_by_plain_rounds(spark):
+    rng = random.Random(8)
+    fixed = {k: float(rng.random() < 0.5) if k % 4 == 0 else None for k in range(120)}
+    pairs = {tuple(sorted((rng.randrange(110), rng.randrange(110)))): rng.random() for _ in range(260)}
+    edges = [(a, b, w) for (a, b), w in pairs.items() if a != b]
+    score = {k: 0.5 if v is None else v for k, v in fixed.items()}
+    for _ in range(500):
+        near = {k: [(w, score[a if b == k else b]) for a, b, w in edges if k in (a, b)] for k, v in fixed.items() if v is None}
+        score |= {k: sum(w * x for w, x in n) / sum(w for w, _ in n) for k, n in near.items() if n}
+    nodes = spark.createDataFrame(list(fixed.items()), "k long, y double")
+    got = models.label_propagation(nodes, spark.createDataFrame(edges, "a long, b long, similarity double"), "k", "y", tolerance=1e-5).collect()
+    assert len(got) == 120 and all(abs(r.score - score[r.k]) < 1e-3 for r in got)
