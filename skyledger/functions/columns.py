@@ -53,6 +53,11 @@ def bounded(c: Column) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c.cast("double"), F.lit(0.0)), F.lit(1.0)))
 
 
+def in_unit(x: str) -> str:
+    """SQL text of x clipped to [0, 1]; null stays null."""
+    return f"if(({x}) is null, null, least(greatest({x}, 0D), 1D))"
+
+
 def at_least(c: Column, low: float = 0.0) -> Column:
     return F.when(c < low, low).otherwise(c.cast("double"))
 
@@ -68,13 +73,6 @@ def staged(df: DataFrame, columns: dict, make) -> DataFrame:
     return out.withColumns(made).drop(*named)
 
 
-def weighted(parts: list[tuple[Column, float]], default: float) -> Column:
-    """Mean of the parts (each within [0, 1]) that are not null, by their weights; ``default`` if there is none."""
-    total = reduce(lambda a, b: a + b, [F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for v, w in parts])
-    mean = reduce(lambda a, b: a + b, [F.coalesce(v * w, F.lit(0.0)) for v, w in parts])
-    return bounded(F.coalesce(F.try_divide(mean, total), F.lit(default)))
-
-
 def mean_of(parts: list[Column]) -> Column:
     """Plain mean of the parts that are not null; null if there is none."""
     total = reduce(lambda a, b: a + b, [v.isNotNull().cast("double") for v in parts])

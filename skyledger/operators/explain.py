@@ -65,11 +65,11 @@ def indicators(df: DataFrame) -> DataFrame:
     }).drop(*[f"_m_{c}" for c in measures])
 
 
-def nested(df: DataFrame) -> DataFrame:
-    """The object as structs: identity, orbit, physical, approach and sentry (null where they hold nothing)."""
+def nested(df: DataFrame, *beside: str) -> DataFrame:
+    """The object as structs: identity, orbit, physical, approach and sentry (null where they hold nothing), and columns ``beside``."""
     approach = F.struct("min_close_approach_dist", "max_close_approach_v_rel", "close_approach_count")
     return df.select(
         "object_key", F.struct("des", "spkid", "full_name").alias("identity"), F.struct("e", "a", "q", "i", "moid").alias("orbit"),
         F.struct("h", "diameter").alias("physical"), F.when(F.col("close_approach_count").isNotNull(), approach).alias("approach"),
-        F.when(F.col("sentry_ip").isNotNull(), F.struct("sentry_ip", "sentry_ps_cum")).alias("sentry"),
+        F.when(F.col("sentry_ip").isNotNull(), F.struct("sentry_ip", "sentry_ps_cum")).alias("sentry"), *beside,
     )

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import at_least, band, bounded, flag, log_share, number, palermo_signal, probability_signal, staged, weighted
+from skyledger.functions.columns import TRUE_WORDS, band, in_unit
 
 # Weights of the components.
 WEIGHTS = {"physical_risk_component": 0.22, "orbital_risk_component": 0.25, "approach_risk_component": 0.18,
@@ -31,41 +31,61 @@ def weights_of(weights: dict[str, float] | None) -> dict[str, float]:
     return {c: weights[c] / total for c in WEIGHTS} if abs(total - 1) > 1e-6 else {c: weights[c] for c in WEIGHTS}
 
 
+def _share(x: str, top: float) -> str:
+    return in_unit(f"log1p(greatest({x}, 0D * {x})) / log1p({top}D)")
+
+
+def _near(x: str, k: float) -> str:
+    """1 for 0 and below, falling with x."""
+    return f"1D / (1D + greatest({x}, 0D * {x}) * {k}D)"
+
+
+def _palermo(x: str) -> str:
+    return in_unit(f"({x} + 8D) / 10D")
+
+
+# Parts of each component with their weights, and its value without any; m_ marks a cleaned measure.
+_ARC, _OBS, _SIZE = f"1D - {_share('m_arc_length', 3650.0)}", f"1D - {_share('m_n_obs_used', 1000.0)}", "log1p(10D)"
+PARTS: dict[str, tuple[list[tuple[str, float]], float]] = {
+    "physical_risk_component": ([(in_unit(f"log1p(nullif(m_diameter, 0D)) / {_SIZE}"), 0.35), (in_unit("(30D - m_h) / 15D"), 0.30),
+                                 (in_unit(f"nullif(m_log_diameter, 0D) / {_SIZE}"), 0.15), (in_unit("m_size_proxy_score"), 0.20)], 0.0),
+    "orbital_risk_component": ([(_near("m_moid", 20.0), 0.35), (_near("m_moid_ld", 0.1), 0.20), (in_unit("m_inverse_moid"), 0.15),
+                                (in_unit("(1.3D - m_q) / 1.3D"), 0.10), (in_unit("m_e"), 0.12), (in_unit("m_i / 40D"), 0.08)], 0.0),
+    "approach_risk_component": ([(_near("m_min_close_approach_dist", 25.0), 0.28), (_near("m_min_close_approach_dist_min", 25.0), 0.20), (in_unit("m_inverse_min_distance"), 0.14),
+                                 (in_unit("m_max_close_approach_v_rel / 50D"), 0.16), (in_unit("m_relative_velocity_score"), 0.12), (_share("m_close_approach_count", 25.0), 0.10)], 0.0),
+    "sentry_risk_component": ([("cast(m_sentry_flag as double)", 0.20), (in_unit("m_sentry_presence_score"), 0.15),
+                               ("case when m_sentry_ip <= 1e-10D then 0D when m_sentry_ip >= 1D then 1D else (log10(m_sentry_ip) + 10D) / 10D end", 0.25),
+                               (_palermo("m_sentry_ps_cum"), 0.13), (_palermo("m_sentry_ps_max"), 0.12), (in_unit("m_sentry_ts_max / 10D"), 0.10), (_share("m_sentry_n_imp", 100.0), 0.05)], 0.0),
+    "uncertainty_risk_component": ([(in_unit("m_condition_code / 9D"), 0.28), (in_unit("m_rms / 2D"), 0.18), (_ARC, 0.22), (_OBS, 0.20), (in_unit("m_uncertainty_proxy_score"), 0.12)], 0.35),
+    "data_quality_component": ([(f"1D - {in_unit('m_feature_completeness_ratio')}", 0.50), (_ARC, 0.25), (_OBS, 0.25)], 0.40),
+}
+
+
 def components(df: DataFrame) -> DataFrame:
-    """``df`` with the six components; measures that the table lacks count as missing."""
-    measures = {f"_m_{c}": number(c) if c in df.columns else F.lit(None).cast("double") for c in MEASURES}
-    have = lambda c: F.col(f"_m_{c}")
-    near = lambda x, k: 1.0 / (1.0 + at_least(x) * k)
-    short_arc, few_obs = 1.0 - log_share(have("arc_length"), 3650.0), 1.0 - log_share(have("n_obs_used"), 1000.0)
-    diameter, log_d = have("diameter"), have("log_diameter")
-    size = F.log1p(F.lit(10.0))
-    sentry_flag: Column = F.coalesce(flag("sentry_flag"), F.lit(False)) if "sentry_flag" in df.columns else F.lit(False)
-    parts = {
-        "physical_risk_component": ([(bounded(F.log1p(F.when(diameter != 0, diameter)) / size), 0.35), (bounded((30.0 - have("h")) / 15.0), 0.30),
-                                             (bounded(F.when(log_d != 0, log_d) / size), 0.15), (bounded(have("size_proxy_score")), 0.20)], 0.0),
-        "orbital_risk_component": ([(near(have("moid"), 20.0), 0.35), (near(have("moid_ld"), 0.1), 0.20), (bounded(have("inverse_moid")), 0.15),
-                                            (bounded((1.3 - have("q")) / 1.3), 0.10), (bounded(have("e")), 0.12), (bounded(have("i") / 40.0), 0.08)], 0.0),
-        "approach_risk_component": ([(near(have("min_close_approach_dist"), 25.0), 0.28), (near(have("min_close_approach_dist_min"), 25.0), 0.20),
-                                             (bounded(have("inverse_min_distance")), 0.14), (bounded(have("max_close_approach_v_rel") / 50.0), 0.16),
-                                             (bounded(have("relative_velocity_score")), 0.12), (log_share(have("close_approach_count"), 25.0), 0.10)], 0.0),
-        "sentry_risk_component": ([(sentry_flag.cast("double"), 0.20), (bounded(have("sentry_presence_score")), 0.15), (probability_signal(have("sentry_ip")), 0.25),
-                                           (palermo_signal(have("sentry_ps_cum")), 0.13), (palermo_signal(have("sentry_ps_max")), 0.12),
-                                           (bounded(have("sentry_ts_max") / 10.0), 0.10), (log_share(have("sentry_n_imp"), 100.0), 0.05)], 0.0),
-        "uncertainty_risk_component": ([(bounded(have("condition_code") / 9.0), 0.28), (bounded(have("rms") / 2.0), 0.18), (short_arc, 0.22),
-                                                (few_obs, 0.20), (bounded(have("uncertainty_proxy_score")), 0.12)], 0.35),
-        "data_quality_component": ([(1.0 - bounded(have("feature_completeness_ratio")), 0.50), (short_arc, 0.25), (few_obs, 0.25)], 0.40),
-    }
-    out = staged(df.withColumns(measures), {c: [v for v, _ in ps] for c, (ps, _) in parts.items()},
-                 lambda c, cols: weighted(list(zip(cols, [w for _, w in parts[c][0]])), parts[c][1]))
-    return out.drop(*measures)
+    """``df`` with the six components; measures that the table lacks count as missing.
+
+    Three projections as SQL text: the measures as finite numbers, the parts of all components (each a column, so that
+    it is computed once), and their weighted means over the parts that are there.
+    """
+    columns = df.columns
+    have, kept = set(columns), [f"`{c}`" for c in columns]
+    measures = [f"case when abs(try_cast({c} as double)) < double('infinity') then try_cast({c} as double) end as m_{c}" if c in have else f"cast(null as double) as m_{c}" for c in MEASURES]
+    flagged = "case when lower(trim(cast(sentry_flag as string))) in ('" + "', '".join(TRUE_WORDS) + "') then true else false end" if "sentry_flag" in have else "false"
+    named = {name: [(f"p_{k}_{j}", part, w) for j, (part, w) in enumerate(parts)] for k, (name, (parts, _)) in enumerate(PARTS.items())}
+    cells = [f"{part} as {p}" for parts in named.values() for p, part, _ in parts]
+    made = []
+    for name, parts in named.items():
+        mean = " + ".join(f"coalesce({p} * {w}D, 0D)" for p, _, w in parts)
+        total = " + ".join(f"if({p} is null, 0D, {w}D)" for p, _, w in parts)
+        made.append(f"{in_unit(f'coalesce(try_divide({mean}, {total}), {PARTS[name][1]}D)')} as {name}")
+    return df.selectExpr(*kept, *measures, f"{flagged} as m_sentry_flag").selectExpr(*kept, *cells).selectExpr(*kept, *made)
 
 
 def scored(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``df`` with components, risk_score (0 to 1), risk_score_0_100 (six places) and risk_category."""
     own = weights_of(weights)
-    total = bounded(sum((F.col(c) * w for c, w in own.items()), F.lit(0.0)))
-    out = components(df).withColumn("risk_score", total)
-    out = out.withColumn("risk_score_0_100", F.round(F.col("risk_score") * 100.0, 6))
+    total = " + ".join(f"{c} * {w!r}D" for c, w in own.items())
+    out = components(df).selectExpr("*", f"{in_unit(total)} as risk_score").selectExpr("*", "round(risk_score * 100D, 6) as risk_score_0_100")
     return out.withColumn("risk_category", band(F.col("risk_score_0_100")))
 
 

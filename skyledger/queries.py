@@ -60,6 +60,17 @@ def gold_or_join(spark, d):
     return gold.with_sentry(base, b.sentry(spark, d)).select("object_key", "des", F.round("sentry_ip", 10).alias("sentry_ip"), *r6("sentry_ps_cum"), "sentry_n_imp")
 
 
+@query(f"""with {SENTRY_SQL}, cad as (select cast(l_partkey as varchar) as des, count(*) as close_approach_count, round(max(l_quantity), 6) as max_close_approach_v_rel from lineitem group by 1),
+base as (select spk as object_key, min(des) as des from sentry group by 1), met as (select object_key, max(sentry_ip) as sentry_ip from base join groups g on base.des = g.des or base.object_key = g.spk group by 1)
+select 'sentry' as base, object_key, des, round(sentry_ip, 10) as sentry_ip, close_approach_count, max_close_approach_v_rel, true as sentry_flag, round((1 + 2 * (cad.des is not null)::int) / 14e0, 6) as feature_completeness_ratio from base left join met using (object_key) left join cad using (des)
+union all select 'approaches', des, des, null, close_approach_count, max_close_approach_v_rel, false, round(2 / 14e0, 6) from cad""")
+def gold_without_objects(spark, d):
+    """Gold tables whose base are the impact records, or the approaches where those are absent too."""
+    frames = {"sentry": gold.gold(None, b.approaches(spark, d), b.sentry(spark, d), unique=True), "approaches": gold.gold(None, b.approaches(spark, d), None)}
+    rows = [df.select(F.lit(name).alias("base"), "object_key", "des", F.round("sentry_ip", 10).alias("sentry_ip"), "close_approach_count", *r6("max_close_approach_v_rel"), "sentry_flag", *r6("feature_completeness_ratio")) for name, df in frames.items()]
+    return rows[0].unionByName(rows[1])
+
+
 @query(f"with {SCORE_SQL} select object_key, round(risk_score, 6) as risk_score, risk_category, {s6(*PARTS)} from scores")
 def risk_scores(spark, d):
     return scores(spark, d).select("object_key", F.round("risk_score", 6).alias("risk_score"), "risk_category", *r6(*PARTS))
@@ -151,8 +162,8 @@ def indicators(spark, d):
 def entity_360(spark, d):
     whole = scores(spark, d)
     history = rank.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select(F.col("user_id").cast("string").alias("des"), F.round("value", 6).alias("last_value"))
-    view = explain.nested(whole).select("object_key", F.col("identity.full_name").alias("name"), F.col("identity.des").alias("des"), F.round("orbit.moid", 6).alias("moid"))
-    return view.join(whole.select("object_key", "risk_category"), "object_key", "left").join(history, "des", "left").drop("des")
+    view = explain.nested(whole, "risk_category").select("object_key", F.col("identity.full_name").alias("name"), F.col("identity.des").alias("des"), F.round("orbit.moid", 6).alias("moid"), "risk_category")
+    return view.join(history, "des", "left").drop("des")
 
 
 RANGES = {"e": (0.0, 0.9), "h": (15.0, None), "moid": (0.0, None)}

@@ -32,6 +32,20 @@ def test_or_join_keeps_each_group(spark):
     assert gold.with_sentry(base, s, unique=True).first().sentry_ip == 0.2
 
 
+def test_gold_without_relations(spark):
+    a = spark.createDataFrame([("d1", 0.05, 0.04, 11.0, "2026-Jan-01 01:43"), (None, 0.1, 0.1, 1.0, "2027")], "des string, dist double, dist_min double, v_rel double, close_approach_datetime string")
+    s = spark.createDataFrame([("d1", "s1", 0.1, 0.0, 0.0, 0.0, 1), ("d1", "s1", 0.3, 0.0, 0.0, 0.0, 1), (None, "s2", 0.2, 0.0, 0.0, 0.0, 1), (None, None, 0.9, 0.0, 0.0, 0.0, 1)], "des string, spk string, ip double, ps_cum double, ps_max double, ts_max double, n_imp int")
+    of = lambda *frames: {r.object_key: r for r in gold.gold(*frames, keys=["spkid", "des"], unique=True).collect()}
+    alone = spark.createDataFrame([("s1", "d1", *[None] * 9)], "spkid string, des string, h double, diameter double, e double, a double, q double, i double, moid double, condition_code string, rms double").withColumns({"arc_length": F.lit(1.0), "n_obs_used": F.lit(1)})
+    assert of(alone)["s1"].sentry_ip is None and not of(alone)["s1"].sentry_flag and of(alone, a)["s1"].close_approach_count == 1 and of(alone, None, s)["s1"].sentry_ip == 0.3
+    found = of(None, a, s)
+    assert set(found) == {"s1", "s2"} and found["s1"].sentry_ip == 0.3 and found["s1"].close_approach_count == 1 and found["s2"].sentry_ip == 0.2 and found["s2"].e is None
+    assert set(of(None, a)) == {"d1"} and of(None, a)["d1"].max_close_approach_v_rel == 11.0
+    assert [c for c, t in gold.gold(None, a).dtypes if t in ("void", "null")] == []
+    with pytest.raises(ValueError):
+        gold.gold(None)
+
+
 def test_score_without_measures(spark):
     r = score.scored(spark.createDataFrame([("x",)], "object_key string")).first()
     assert math.isclose(r.risk_score_0_100, 6.55) and r.risk_category == "low"
