@@ -52,6 +52,14 @@ def summary(df: DataFrame, key: str = "object_key") -> DataFrame:
     return df.groupBy("prediction_mode").agg(F.count_distinct(key).alias("objects"), F.count_distinct("model").alias("models"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def coverage(df: DataFrame, objects: DataFrame, key: str = "object_key") -> DataFrame:
+    """(rows_full, objects_full, rows_eval, coverage_ratio): predictions of each mode, and the share of objects in the full one."""
+    full = F.col("prediction_mode") == "full"
+    counts = df.agg(F.count_if(full).alias("rows_full"), F.count_distinct(F.when(full, F.col(key))).alias("objects_full"), F.count_if(~full).alias("rows_eval"))
+    total = objects.agg(F.count_distinct(key).alias("n"))
+    return counts.join(F.broadcast(total)).withColumn("coverage_ratio", F.round(F.coalesce(F.try_divide(F.col("objects_full").cast("double"), F.col("n")), F.lit(0.0)), 6)).drop("n")
+
+
 def attempts(log: DataFrame) -> DataFrame:
     """Counts of each status, coverage of the target and the run's status."""
     out = log.agg(F.count(F.lit(1)).alias("target"), *[F.count_if(F.col("status") == s).alias(s) for s in ("success", "failed", "skipped")])

@@ -15,7 +15,7 @@ from skyledger.operators.score import dominant_driver
 from skyledger.plans.shared import materialised
 
 # Columns attached to gold rows, columns that no graph may learn from, node features.
-SCORE_COLUMNS = ["risk_score", "risk_score_0_100", "risk_category", "dominant_driver"]
+SCORE_COLUMNS = ["risk_score", "risk_score_0_100", "risk_category", "explanation"]
 FORBIDDEN = ["pha", "neo", "object_key", "spkid", "des", "full_name", "name", "risk_category", "built_at_utc", "source_availability_json", "next_close_approach_datetime"]
 NODE_FEATURES = ["e", "a", "q", "i", "om", "w", "ma", "n", "per", "ad", "moid", "moid_ld", "h", "diameter", "albedo", "min_close_approach_dist",
                  "max_close_approach_v_rel", "close_approach_count", "sentry_flag", "sentry_ip", "feature_completeness_ratio", "risk_score_0_100"]
@@ -25,7 +25,8 @@ MIN_ROWS, MIN_POSITIVE, BATCH = 100, 5, 100
 
 
 def attach_scores(gold: DataFrame | None, risk: DataFrame | None, key: str = "object_key", columns: list[str] = SCORE_COLUMNS) -> DataFrame | None:
-    """Gold rows with the score columns; whichever of the two is there if one isn't."""
+    """Gold rows with the score columns; whichever of the two is there and has rows, if the other hasn't."""
+    gold, risk = (None if df is None or df.isEmpty() else df for df in (gold, risk))
     if gold is None or risk is None:
         return risk if gold is None else gold
     return gold.join(risk.select(key, *[c for c in columns if c in risk.columns]), key, "left")

@@ -556,9 +556,30 @@ def evidence_summary(spark, d):
 
 @query(f"{_MODELS} select p_partkey, model from r where prediction_mode = 'eval'")
 def sink_bundle(spark, d):
-    p, path = predictions(spark, d).select("p_partkey", "model", "prediction_mode"), shared_folder(spark, "bundle")
-    sinks.write_bundle(p, path)
-    return sinks.read_bundle(spark, path, "p_partkey long, model string, prediction_mode string", "eval").select("p_partkey", "model")
+    p, path = predictions(spark, d), shared_folder(spark, "bundle")
+    sinks.write_bundle(p, path, "p_partkey")
+    return sinks.read_bundle(spark, path, p.withColumn("error_kind", F.lit("")), "eval").select("p_partkey", "model")
+
+
+@query(f"{_MODELS} select p_partkey, model, feature_set, confidence, 'false_positive' as error_kind from r where prediction_mode = 'full' and confidence = 'high' and label = 0 and predicted = 1 and leakage_risk <> 'high'")
+def evidence_subset(spark, d):
+    """Confident false positives of defensible models, read back from their folder only."""
+    p, path = predictions(spark, d), shared_folder(spark, "bundle")
+    sinks.write_bundle(p, path, "p_partkey")
+    like = p.withColumn("error_kind", F.lit(""))
+    return sinks.read_bundle(spark, path, like, "full", "high", "false_positive", defensible=True).select("p_partkey", "model", "feature_set", "confidence", "error_kind")
+
+
+@query(f"{_MODELS} select p_partkey, count(distinct predicted) as labels, count(*) filter (confidence = 'high' and label <> predicted) as confident_errors, case when count(distinct predicted) > 1 then 'model_family_disagreement' else 'high_confidence_error' end as reason from r where prediction_mode = 'full' group by 1 having count(distinct predicted) > 1 or count(*) filter (confidence = 'high' and label <> predicted) > 0")
+def saved_disagreements(spark, d):
+    path = shared_folder(spark, "bundle")
+    sinks.write_bundle(predictions(spark, d), path, "p_partkey")
+    return sinks.read_disagreements(spark, path).select("p_partkey", "labels", "confident_errors", "reason")
+
+
+@query(f"{_MODELS}, f as (select * from r where prediction_mode = 'full'), a as (select count(*) as n from part) select count(*) as rows_full, count(distinct p_partkey) as objects_full, (select count(*) from r where prediction_mode = 'eval') as rows_eval, round(count(distinct p_partkey) / cast(any_value(n) as double), 6) as coverage_ratio from f, a")
+def evidence_coverage(spark, d):
+    return evidence.coverage(predictions(spark, d), table(spark, d, "part"), "p_partkey")
 
 
 _F1 = "q as (select model, feature_set, round(2e0 * count(*) filter (label = 1 and predicted = 1) / (2 * count(*) filter (label = 1 and predicted = 1) + count(*) filter (label <> predicted)), 6) as f1 from r group by 1, 2)"
@@ -624,4 +645,4 @@ def label_propagation(spark, d):
     return models.label_propagation(nodes, embedding_edges(spark, d), "vec_id", "known", tolerance=1e-6).withColumn("score", F.round("score", 2))
 
 
-from skyledger import model_queries, report_queries  # noqa: E402, F401  (they register their queries)
+from skyledger import layer_queries, model_queries, report_queries  # noqa: E402, F401  (they register their queries)

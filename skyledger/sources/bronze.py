@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.columns import slug
+from skyledger.sources import files
 
 METADATA = "struct<source:string,ingested_at_utc:string,query_params:map<string,string>,object_id:string,api_signature:struct<version:string>>"
 
@@ -24,11 +25,26 @@ def land(wrapped: DataFrame, root: str, mode: str = "append") -> None:
     wrapped.write.mode(mode).partitionBy("source", "ingest_date").json(root)
 
 
-def read(spark: SparkSession, root: str, data: str, source: str | None = None) -> DataFrame:
-    """Captures under ``root`` with data of type ``data``; a source prunes its partition. Files' paths come as lineage."""
-    schema = T.StructType.fromDDL(f"metadata {METADATA}, data {data}, source string, ingest_date string")
-    df = spark.read.schema(schema).option("basePath", root).json(root).withColumn("bronze_file_path", F.col("_metadata.file_path"))
-    return df if source is None else df.where(F.col("source") == source)
+class SourceNotFound(LookupError):
+    """No capture has landed for a source."""
+
+
+def read(spark: SparkSession, root: str, data: str | None = None, source: str | None = None) -> DataFrame:
+    """Captures under ``root``; a source prunes its partition. Files' paths come as lineage.
+
+    data: the type of the payload; without it the captures' own schema is inferred, which reads them once more. A root or
+    source without captures raises ``SourceNotFound``, and captures without request parameters have none.
+    """
+    at_ = root if source is None else f"{root}/source={source}"
+    if not files.exists(spark, at_):
+        raise SourceNotFound(f"no captures of {source or 'any source'} under {root}")
+    reader = spark.read.option("basePath", root)
+    if data is not None:
+        reader = reader.schema(T.StructType.fromDDL(f"metadata {METADATA}, data {data}, source string, ingest_date string"))
+    df = reader.json(at_).withColumn("bronze_file_path", F.col("_metadata.file_path"))
+    if field_type(df, "metadata") is not None and field_type(df, "metadata.query_params") is None:
+        df = df.withColumn("metadata", F.col("metadata").withField("query_params", F.create_map().cast("map<string,string>")))
+    return df.withColumn("ingest_date", F.col("ingest_date").cast("string"))
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
