@@ -143,8 +143,8 @@ weights as (select template, license, term, tf * idf as weight, sqrt(sum(tf * id
 parts as (select doc_id, {_PARTS} as parts from files), lines as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as k from parts),
 terms as (select doc_id, k, term, count(*) as tf from (select doc_id, k, unnest({_SPLIT.format('line')}) as term from lines) t group by all),
 vectors as (select doc_id, k, term, w, sqrt(sum(w * w) over (partition by doc_id, k)) as norm from (select doc_id, k, term, tf * coalesce(idf, ln(1 + n) + 1) as w from terms left join idf using (term), n) t),
-cosines as (select doc_id, k, template, license, round(sum(w * weight) / max(norm) / max(length), 6) as cosine from vectors join weights using (term) group by all having sum(w * weight) / max(norm) / max(length) >= 8e-1 - 1e-12),
-own as (select doc_id, license, cosine from (select *, row_number() over (partition by doc_id order by cosine desc, template, license) as r from cosines) t where r = 1),
+cosines as (select doc_id, k, template, license, round(sum(w * weight), 6) as shared, round(sum(w * weight) / max(norm) / max(length), 6) as cosine from vectors join weights using (term) group by all having sum(w * weight) / max(norm) / max(length) >= 8e-1 - 1e-12),
+own as (select doc_id, license, cosine from (select *, row_number() over (partition by doc_id order by license = '{licenses.RESERVED}', shared desc, cosine desc, template, license) as r from cosines) t where r = 1),
 found as (select doc_id, path, license, cosine, regexp_replace(path, '/?[^/]*$', '') as home, regexp_extract(path, '([^/]*)$', 1) as name from files left join own using (doc_id)),
 holders as (select home as dir, license as dir_license from (select *, row_number() over (partition by home order by cosine desc, license) as r from found where license is not null and name like 'LICENSE%') t where r = 1),
 nearest as (select doc_id, arg_max(dir, length(dir)) as licence_dir, arg_max(dir_license, length(dir)) as dir_license from found join holders on home = dir or starts_with(home, dir || '/') or dir = '' where license is null group by 1)
