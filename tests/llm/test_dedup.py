@@ -233,6 +233,70 @@ def test_benchmark_by_brute_force(spark):
     assert {r.id: list(r.item_ids) for r in got.collect()} == want and any(want.values())
 
 
+def test_changed_numbers_names_and_letters(spark):
+    tom = "Tom buys {} pens and then {} more pens for the small school near the old town hall"
+    names = "the girl {} and her sister {} gave {} apples to the friend {} who lives near the old mill by the river"
+    apples = "die äpfel sind heute im laden sehr teuer und niemand kauft sie mehr ausser dem alten koch"
+    items = [(1, tom.format("three", "seven")), (2, names.format("Émile", "Zoé", "3", "Renée")), (3, apples)]
+    docs = [(1, tom.format("four", "nine")), (2, names.format("Élodie", "Éva", "8", "Íris")), (3, "İ " + apples.upper()), (4, tom.format("4", "9")), (5, tom.format("four", "four"))]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for sent in (decontam.MAX_SENT, 0):
+        got = {r.id: list(r.item_ids) for r in decontam.contaminated(d, b, max_sent=sent).collect()}
+        assert got == {1: [1], 2: [2], 3: [3], 4: [1], 5: []}
+
+
+def test_tables_of_numbers_meet_in_proportion(spark):
+    number = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    table, own = number(300), "prices of all the goods in the old shop are listed in this table"
+    docs = [(k, number(3000)) for k in range(5)] + [(9, "so: " + table), (10, f"{own} {number(300)}"), (11, number(100) + " " + " ".join(table.split()[50:63]) + " " + number(100))]
+    b = spark.createDataFrame([(1, table), (2, f"{own} {table}")], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for sent in (decontam.MAX_SENT, 0):
+        got = {r.id: (list(r.item_ids), r.max_tokens) for r in decontam.contaminated(d, b, max_sent=sent).collect()}
+        assert got == {**{k: ([], 0) for k in range(5)}, 9: ([1, 2], 300), 10: ([2], 314), 11: ([1, 2], 163)}
+    size = decontam.windows(d, "doc_id", "text", 13).join(decontam.windows(b, "item_id", "text", 13).select("window"), "window").count()
+    assert size < 2 * 3 * 700  # three readings at most; all tables against each other would be millions
+
+
+def test_slots_by_brute_force(spark):
+    """Every stretch of every placement, in plain Python, for texts of words and numbers."""
+    few = [str(k) for k in range(4)]
+    pick = lambda n: [rng.choice(few) if rng.random() < 0.45 else rng.choice(WORDS[:300]) for _ in range(n)]
+    items = [pick(rng.randint(6, 26)) for _ in range(20)] + [pick(8) + [rng.choice(few) for _ in range(20)] + pick(6)]
+    docs = []
+    for k in range(80):
+        item, turn = items[k % len(items)], rng.sample(few, 4)
+        changed = [turn[int(w)] if w in few and rng.random() < 0.95 else w for w in item]
+        a = rng.randint(0, 3)
+        docs.append(pick(rng.randint(0, 12)) + changed[a : a + rng.randint(5, 40)] + pick(rng.randint(0, 12)))
+
+    def stretch(text, item, shift):
+        """Whether a part of a run of alike tokens is long enough; parts begin anew at contradictions, or are the same on both sides."""
+        least, slot = min(13, len(item)), lambda w: w in few
+        alike = [0 <= k + shift < len(text) and (text[k + shift] == w or slot(w) and slot(text[k + shift])) for k, w in enumerate(item)]
+        at = 0
+        while at < len(item):
+            end = at
+            while end < len(item) and alike[end]:
+                end += 1
+            there, here, equal, same = {}, {}, 0, 0
+            for b in range(at, end if end - at >= least else at):
+                x, y = text[b + shift], item[b]
+                if slot(y) and (there.get(x, y) != y or here.get(y, x) != x):
+                    there, here, equal, at = {}, {}, 0, b
+                there[x], here[y] = y, x
+                equal, same = equal + (x == y), same + 1 if x == y else 0
+                if max(same, b + 1 - at if equal >= min(5, len(item)) else 0) >= least:
+                    return True
+            at = end + 1
+        return False
+
+    want = {d: [i for i, item in enumerate(items) if any(stretch(text, item, shift) for shift in range(-len(item), len(text)))] for d, text in enumerate(docs)}
+    rows = [(k, " ".join(t)) for k, t in enumerate(docs)]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string"))
+    assert {r.id: list(r.item_ids) for r in got.collect()} == want and sum(map(bool, want.values())) > 20
+
+
 def test_words_beyond_ascii():
     count = lambda t: len(textnum.word_hashes(t))
     assert [count(t) for t in ("¿? ...", "l’été — «oui»", "文字です。", "x文y", "ไทย", "naïve æther", "𠀀𠀁", "한국 말")] == [0, 3, 4, 3, 3, 2, 2, 2]
