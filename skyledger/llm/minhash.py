@@ -1,16 +1,15 @@
 """Near-duplicates by Order MinHash: several minimum occurrence-labelled k-mers, kept in text order.
 
-A text is its lower-cased words; its k-mers are runs of three words, each labelled with how often it occurred before in
-the text. Each of many hash orders picks the smallest labelled k-mers and hashes them in the order in which they stand,
-so two texts share a sketch the likelier the smaller their edit distance is. Texts that share a sketch are candidates; a
+A text is its lower-cased words; its k-mers are runs of words, each labelled with how often it occurred before in the
+text. Each of many hash orders picks the two smallest labelled k-mers and hashes them in the order in which they stand, so
+two texts share a sketch the likelier the smaller their edit distance is. Texts that share a sketch are candidates; a
 banded alignment of their words decides: near-duplicates have an edit similarity 1 - distance / longer length of 0.8 or
 more. Linked texts form classes, named by their smallest doc_id.
 
-How many sketches there are follows from the share ``miss`` of pairs that are lost just at that similarity. Texts of up
-to 100 words have sketches of one k-mer, as many as the miss asks for wherever the edits stand. Longer texts have
-sketches of two, so that unlike texts rarely meet, as many as the miss asks for with edits at random places; edits spread
-so evenly that they spare the fewest k-mers are lost more often (about 3 % just at 0.8). Texts of up to 14 words are met
-without any loss: their marks are what is left of them without each set of up to as many words as edits are allowed.
+K-mers have three words, and two where the longer text of a pair has up to 100, since an edit destroys as many k-mers as
+these have words. How many sketches there are follows, at every length, from the share ``miss`` of pairs that are lost
+just at that similarity: with two-word k-mers for edits that stand as badly as they can, with three-word ones for edits
+at random places (edits spread so evenly that they spare the fewest k-mers are lost more often, about 3 % just at 0.8).
 
 Hot groups: equal texts become one text before anything else. A bucket's members are first aligned with its smallest
 member only, so a group of near copies costs one row for each member. Buckets that then still hold several classes
@@ -24,7 +23,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,12 +38,10 @@ WORDS = 3
 SIMILARITY = 0.8
 #: Share of pairs just at the similarity that share no sketch.
 MISS = 5e-4
-#: K-mers of a sketch of longer texts.
+#: K-mers of a sketch.
 PICKS = 2
-#: Words up to which a pair is met by sketches of one k-mer.
+#: Words of a pair's longer text up to which k-mers are a word shorter.
 SHORT = 100
-#: Marks up to which a text is met by what is left of it.
-MOST_LEFT = 128
 #: Diagonals of the band that is tried before a wider one.
 NARROW = 24
 #: Bins of a text's word counts.
@@ -60,48 +56,40 @@ def _edits(n: int, similarity: float) -> int:
 
 
 @functools.cache
-def plan(similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> tuple[int, int, int]:
-    """(words up to which texts are met by what is left of them, sketches of one k-mer, sketches of ``PICKS``)."""
-
-    def sketches(kept: float, picks: int) -> int:
-        """For texts that keep such a share of their k-mers: of all k-mers of two texts both have kept / (2 - kept)."""
-        return math.ceil(math.log(miss) / math.log(1 - min((kept / (2 - kept)) ** picks, 1 - miss)))
-
-    tiny = 0
-    while tiny < SHORT and sum(math.comb(tiny + 1, k) for k in range(_edits(tiny + 1, similarity) + 1)) <= MOST_LEFT:
-        tiny += 1
-    # An edit destroys at most ``words`` k-mers.
-    kept = min((1 - words * _edits(n, similarity) / max(1, n - words + 1) for n in range(tiny + 1, SHORT + 1)), default=1)
-    random = similarity**words
-    return tiny, sketches(kept if kept > 0 else random, 1), sketches(random, PICKS)
+def needed(n: int, similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> int:
+    """Sketches that pairs whose longer text has ``n`` words need; 0 where only equal texts are similar."""
+    edits = _edits(n, similarity)
+    if not edits:
+        return 0
+    size = words - 1 if n <= SHORT else words
+    grams = max(1, n - size + 1)
+    worst, random = grams - size * edits, grams * (1 - edits / n) ** size
+    shared = worst if n <= SHORT and worst >= PICKS else random
+    # Of all k-mers of two texts (2 * grams - shared) both have the shared ones; a sketch agrees if its picks are such.
+    agree = math.prod(max(shared - k, 0.5) / max(2 * grams - shared - k, 1) for k in range(PICKS))
+    return math.ceil(math.log(miss) / math.log(1 - min(agree, 1 - miss)))
 
 
 @functools.cache
-def _left(n: int, gone: int) -> np.ndarray:
-    """The places that are left of ``n``, for each choice of ``gone`` of them."""
-    return np.array(list(itertools.combinations(range(n), n - gone)), np.int64)
+def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> tuple[int, int]:
+    """(sketches of shorter k-mers, sketches of k-mers of ``words``) of a text of ``n`` words.
+
+    A pair is met by the sketches that its longer text's length needs; both texts have these, as its shorter text has
+    ``similarity`` times as many words at least. Beyond ``SHORT`` words the need hardly changes with the length.
+    """
+    longest = int(n / similarity + 1e-9)
+    short = max((needed(k, similarity, miss, words) for k in range(n, min(longest, SHORT) + 1)), default=0)
+    return short, needed(10 * SHORT, similarity, miss, words) + 1 if longest > SHORT else 0
 
 
 def marks(hashes: np.ndarray, similarity: float = SIMILARITY, miss: float = MISS, words: int = WORDS) -> np.ndarray:
-    """The marks of one text, given its words' hashes, as signed longs: near-duplicates share one. None without words."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    tiny, ones, several = plan(similarity, miss, words)
-    out = []
-    if n <= tiny:
-        for gone in range(_edits(n, similarity) + 1):
-            left = hashes[_left(n, gone)]
-            value = np.full(len(left), 0x2545F4914F6CDD1D, np.uint64)
-            for k in range(n - gone):
-                value = textnum.mixed(value * np.uint64(3) + left[:, k])
-            out.append(np.unique(value.view(np.int64)))
-    # A pair is met by the marks for its longer text's length; its shorter text has ``similarity`` times that at least.
-    if similarity * (tiny + 1) <= n + 1e-9 and n <= SHORT:
-        out.append(sketch(hashes, ones, 1, words))
-    if n + 1e-9 >= similarity * (max(tiny, SHORT) + 1):
-        out.append(sketch(hashes, several, PICKS, words, 2))
-    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
+    """The marks of one text, given its words' hashes, as signed longs: near-duplicates share one.
+
+    None for texts so short that only equal ones are similar.
+    """
+    short, long = plan(len(hashes), similarity, miss, words)
+    out = [sketch(hashes, n, PICKS, size, seed) for n, size, seed in ((short, words - 1, 1), (long, words, 2)) if n]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def sketch(hashes: np.ndarray, sketches: int, picks: int, words: int = WORDS, seed: int = 1) -> np.ndarray:
@@ -110,7 +98,8 @@ def sketch(hashes: np.ndarray, sketches: int, picks: int, words: int = WORDS, se
     if not len(grams):
         return np.zeros(0, np.int64)
     labelled = textnum.mixed(grams + textnum.occurrence(grams).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    keys = np.random.default_rng(seed).integers(1, 1 << 63, (2, sketches, 1), dtype=np.int64).astype(np.uint64)
+    # A text with more sketches has those of one with fewer: the keys are drawn one sketch after the other.
+    keys = np.random.default_rng(seed).integers(1, 1 << 63, (sketches, 2), dtype=np.int64).astype(np.uint64).T[:, :, None]
     out = np.arange(sketches, dtype=np.uint64) + np.uint64(seed << 32)
     step = max(1, 2_000_000 // len(labelled))  # orders held at once: bounded for very long texts
     for lo in range(0, sketches, step):
