@@ -107,3 +107,12 @@ def normal(*parts: Column) -> Column:
     """A reproducible standard normal number (Box-Muller)."""
     u = F.greatest(uniform(*parts, F.lit("u")), F.lit(1e-12))
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * F.pi() * uniform(*parts, F.lit("v")))
+
+
+# Thresholds of the rule.
+RULE_MOID, RULE_H = 0.05, 22.0
+
+
+def rule_label(moid: Column | str = "moid", h: Column | str = "h") -> Column:
+    """1 for objects that are near and large by the rule, else 0; 0 too where either is unknown."""
+    return F.coalesce((col(moid) <= RULE_MOID) & (col(h) <= RULE_H), F.lit(False)).cast("int")

@@ -30,6 +30,12 @@ def feature_sets(spark, d):
     return features.registry(q.gold_table(spark, d))
 
 
+@query(f"""with {GOLD_SQL}, n as (select {_COUNTED} from gold), f as (unpivot n on columns(*) into name feature value filled)
+select s.feature, feature_class, count(distinct feature_set) as n_sets, max(filled) as filled from (values {_LISTED}) s(feature_set, place, feature, feature_class, state, leakage_risk) join f on s.feature = f.feature where state = 'used' group by all""")
+def leakage_report(spark, d):
+    return features.used(features.registry(q.gold_table(spark, d)))
+
+
 _INSPECTED = ["pha", "object_key", "des", "full_name", "orbit_class_code", "next_close_approach_datetime", *features.DEFINITION, *features.PROXIES, "e", "rms", "sentry_ip"]
 _CLASSES = "case when feature = 'pha' then 'direct' when feature in ('object_key', 'des', 'full_name', 'orbit_class_code', 'next_close_approach_datetime') then 'identifier' " + " ".join(
     f"when feature in ({', '.join(repr(c) for c in columns)}) then '{name}'" for name, columns in (("strong_proxy", features.PROXIES), ("definition", features.DEFINITION))

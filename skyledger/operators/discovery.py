@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import designation
@@ -51,3 +52,11 @@ def filled(candidates: DataFrame, existing: DataFrame, key: str, target: int) ->
     have = existing.select(F.col(key).cast("string").alias("candidate")).distinct()
     room = max(0, target - have.count())
     return candidates.join(have, "candidate", "left_anti").orderBy("source", "place", "row").limit(room)
+
+
+def new_counts(candidates: DataFrame, sources: int) -> DataFrame:
+    """(source, n_new, n_so_far): the candidates that each of so many sources adds to those before it, 0 too."""
+    spark = candidates.sparkSession
+    found = candidates.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    every = spark.range(sources).select(F.col("id").cast("int").alias("source")).join(found, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n_new"))
+    return every.withColumn("n_so_far", F.sum("n_new").over(W.orderBy("source")))  # a row for each source

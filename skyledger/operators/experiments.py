@@ -20,14 +20,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import flag, number
+from skyledger.functions.columns import flag, number, rule_label
 from skyledger.operators import features as fs
 from skyledger.operators import metrics
 from skyledger.operators.evidence import confidence
 from skyledger.operators.quantiles import medians
 from skyledger.plans.shared import materialised
 
-# Models of a grid, cells of the evidence run, thresholds of the rule, least rows of either.
+# Models of a grid, cells of the evidence run, sets and features of the rule, least rows of either.
 MODELS = ["dummy_most_frequent", "logistic_regression", "random_forest", "hist_gradient_boosting"]
 RULE, RULE_SETS, RULE_FEATURES = "rule_based_pha", ["full_features", "definition_features_only"], ["h", "moid"]
 EVIDENCE = [("random_forest", "no_definition_features"), ("logistic_regression", "orbital_only"), ("random_forest", "orbital_only"), ("random_forest", "full_features"), ("random_forest", "definition_features_only")]
@@ -102,8 +102,7 @@ def _estimator(model: str):
 def _scores(p: Prepared, model: str, own: list[str], train: DataFrame, on: DataFrame) -> DataFrame:
     """``on`` with score (probability of label 1) by ``model`` fitted to ``train`` over the features ``own``."""
     if model == RULE:
-        hit = F.coalesce((F.col("moid") <= 0.05) & (F.col("h") <= 22), F.lit(False))
-        return on.withColumn("score", hit.cast("double"))
+        return on.withColumn("score", rule_label().cast("double"))
     if model == "dummy_most_frequent":  # ties go to the smaller label
         return on.withColumn("score", F.lit(float(p.size("train", 1) > p.size("train", 0))))
     pick = VectorSlicer(inputCol="all", outputCol="features", indices=[p.columns.index(c) for c in own])

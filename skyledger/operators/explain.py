@@ -15,7 +15,7 @@ PROTECTIVE = {"orbital_risk_component": "orbital_distance", "sentry_risk_compone
 
 
 def explained(df: DataFrame) -> DataFrame:
-    """``df`` with drivers (at least 0.45, else the greatest; four at most), protective factors, limitations and a sentence.
+    """``df`` with drivers (at least 0.45, else the greatest; four at most), protective factors, limitations, a sentence and all components as text.
 
     A column that isn't there counts as missing in every row.
     """
@@ -34,14 +34,24 @@ def explained(df: DataFrame) -> DataFrame:
     present = lambda xs: F.slice(F.filter(F.array(*xs), lambda x: x.isNotNull()), 1, 4)
     out = df.withColumns({"drivers": F.transform("_drivers", lambda p: p["factor"]), "driver_values": F.transform("_drivers", lambda p: p["value"]),
                           "protective": present(low), "limitations": present(limits)})
-    sentence = F.format_string("%s priority, score %.1f, led by %s", F.col("risk_category"), F.col("risk_score_0_100"), F.replace(F.coalesce(F.get("drivers", F.lit(0)), F.lit("none")), F.lit("_"), F.lit(" ")))
-    return out.withColumn("explanation", sentence).drop("_ranked", "_strong", "_drivers", "_missing")
+    sentence = F.format_string("%s priority, score %.1f, led by %s", F.col("risk_category"), F.round("risk_score_0_100", 1), F.replace(F.coalesce(F.get("drivers", F.lit(0)), F.lit("none")), F.lit("_"), F.lit(" ")))
+    shown = F.array_join(F.transform("_ranked", lambda p: F.format_string("%s %.2f", p["factor"], F.round(p["value"], 2))), ", ")
+    return out.withColumns({"explanation": sentence, "technical": shown}).drop("_ranked", "_strong", "_drivers", "_missing")
 
 
 def best_identifier(df: DataFrame, columns: list[str], default: str) -> Column:
     return F.coalesce(*[text(c) for c in columns if c in df.columns], F.lit(default))
 
 
+# The columns that name an object, the most useful first.
+NAMES = ["name", "full_name", "des", "spkid", "object_key"]
+
+
+def display_name(df: DataFrame) -> Column:
+    """The most useful label of an object; blanks and words for missing don't count."""
+    return best_identifier(df, NAMES, "Unknown object")
+
+
 def indicators(df: DataFrame) -> DataFrame:
     """``df`` with proximity, uncertainty, size, approach and sentry indicators and the has-data flags."""
     measures = ["moid", "moid_ld", "min_close_approach_dist", "min_close_approach_dist_min", "diameter", "log_diameter", "h", "condition_code", "rms",

@@ -77,3 +77,9 @@ def registry(df: DataFrame, target: str = TARGET, sets: dict[str, list[str]] = S
 def inspected(df: DataFrame, target: str = TARGET) -> DataFrame:
     """(feature, feature_class, filled) of every column of ``df``."""
     return _filled(df, df.columns).withColumn("feature_class", feature_class(F.col("feature"), target))
+
+
+def used(registry: DataFrame) -> DataFrame:
+    """(feature, feature_class, n_sets, filled): each feature that any set uses, with its class, for a leakage report."""
+    rows = registry.where("state = 'used'")
+    return rows.groupBy("feature", "feature_class").agg(F.count_distinct("feature_set").alias("n_sets"), F.max("filled").alias("filled"))

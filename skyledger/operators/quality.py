@@ -94,6 +94,34 @@ def readiness(layers: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("band", readiness_band(F.col("n_rows")))
 
 
+# Columns that a graph is built from, and how many of them it needs.
+GRAPH_COLUMNS, GRAPH_NEEDS, LEAST_ROWS = ["e", "a", "q", "i", "moid"], 3, 100
+
+
+def consumers(features: DataFrame, scored: DataFrame, target: str = "pha") -> DataFrame:
+    """(consumer, n_rows, status): how ready the tables are for each of their uses, by the bands of ``readiness_band``.
+
+    Models need both labels, graphs also enough of ``GRAPH_COLUMNS``; with too few rows neither is ready.
+    """
+    y = flag(target) if target in features.columns else F.lit(None).cast("boolean")
+    one = features.agg(F.count(F.lit(1)).alias("gold"), F.count_if(y).alias("yes"), F.count_if(~y).alias("no"))
+    one = one.join(F.broadcast(scored.agg(F.count(F.lit(1)).alias("risk"))))  # one row beside one row
+    ranked = F.when(F.col("risk") > 0, F.col("risk")).otherwise(F.col("gold"))
+    both = (F.col("yes") > 0) & (F.col("no") > 0)
+    columns = F.lit(sum(c in features.columns for c in GRAPH_COLUMNS) >= GRAPH_NEEDS)
+    needs = lambda n, ok: F.when(n < LEAST_ROWS, "not_ready").when(~ok, "minimal").otherwise(readiness_band(n))
+    uses = {"overall": (F.col("gold"), readiness_band(F.col("gold"))), "models": (F.col("gold"), needs(F.col("gold"), both)), "leakage": (F.col("gold"), needs(F.col("gold"), both)),
+            "ranking": (ranked, readiness_band(ranked)), "simulation": (F.col("risk"), readiness_band(F.col("risk"))), "graph": (ranked, needs(ranked, columns & both)), "reports": (ranked, readiness_band(ranked))}
+    cells = F.array(*[F.struct(F.lit(k).alias("consumer"), n.alias("n_rows"), s.alias("status")) for k, (n, s) in uses.items()])
+    return one.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def targets(df: DataFrame, sizes: tuple[int, ...] = (1000, 4000)) -> DataFrame:
+    """(target, n_rows, available): whether the table has as many rows as each target asks for."""
+    have = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(s) for s in sizes])).alias("target"), "n_rows")
+    return have.withColumn("available", F.col("n_rows") >= F.col("target"))
+
+
 def impute_scale(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """``key`` and the columns with medians for missing values, centred and divided by the population deviation (or 1).
 

@@ -133,6 +133,16 @@ def explanations(spark, d):
     return out.select("object_key", F.array_join("drivers", ",").alias("drivers"), F.array_join("protective", ",").alias("protective"), F.array_join("limitations", "|").alias("limitations"))
 
 
+_TEXT = " || ', ' || ".join(f"(ranked[{k + 1}].f || ' ' || format('{{:.2f}}', round(round(-ranked[{k + 1}].o, 6), 2)))" for k in range(len(score.DRIVERS)))
+
+
+@query(f"""with {SCORE_SQL}, l as (select *, list_sort({_DRIVER_LIST}) as ranked from scores)
+select object_key, risk_category || ' priority, score ' || format('{{:.1f}}', round(risk_score_0_100, 1)) || ', led by ' || replace(ranked[1].f, '_', ' ') as explanation, {_TEXT} as technical, coalesce(full_name, 'Unknown object') as display_name from l""")
+def explanation_texts(spark, d):
+    whole = explain.explained(scores(spark, d))
+    return whole.select("object_key", "explanation", "technical", explain.display_name(whole).alias("display_name"))
+
+
 @query(f"with {OBJECTS_SQL}, probes as (select o_orderkey % 500 as k, case o_orderkey % 3 when 0 then cast(o_orderkey % 500 as varchar) when 1 then '2' || lpad(cast(o_orderkey % 500 as varchar), 7, '0') else 'none such' end as probe from orders), "
        "hits as (select distinct p.probe, o.spkid as object_key, case when o.spkid = p.probe then 0 else 2 end as priority from probes p join objects o on o.spkid = p.probe or o.des = p.probe) "
        "select probe, object_key from (select *, row_number() over (partition by probe order by priority, object_key) as n from hits) t where n = 1")
@@ -380,7 +390,7 @@ def stratified_split(spark, d):
 
 @query(f"with {OBJECTS_SQL}, p as (select case when pha then 1 else 0 end as y, case when moid <= 5e-2 and h <= 22 then 1 else 0 end as p from objects), c as (select count(*) filter (y = 1 and p = 1) as tp, count(*) filter (y = 0 and p = 1) as fp, count(*) filter (y = 1 and p = 0) as fn, count(*) filter (y = 0 and p = 0) as tn from p) select 'rule' as model, tp, fp, fn, tn, round((tp + tn) / cast(tp + fp + fn + tn as double), 6) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(fn / nullif(tp + fn, 0), 6) as false_negative_rate from c")
 def rule_baseline_metrics(spark, d):
-    rows = b.objects(spark, d).select(F.lit("rule").alias("model"), F.col("pha").cast("int").alias("label"), ((F.col("moid") <= 0.05) & (F.col("h") <= 22)).cast("int").alias("predicted"))
+    rows = b.objects(spark, d).select(F.lit("rule").alias("model"), F.col("pha").cast("int").alias("label"), c.rule_label().alias("predicted"))
     return metrics.confusion(rows, ["model"]).select("model", "tp", "fp", "fn", "tn", *r6("accuracy", "precision", "recall", "f1", "false_negative_rate"))
 
 

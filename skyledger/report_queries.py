@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyledger import queries as q
 from skyledger.functions import columns as c
-from skyledger.operators import discovery, evidence, explain, features, rank, reports
+from skyledger.operators import discovery, evidence, explain, features, quality, rank, reports
 from skyledger.plans import binding as b
 from skyledger.plans.binding import GOLD_SQL, OBJECT_COLUMNS, OBJECTS_SQL, SCORE_SQL, table
 from skyledger.queries import query
@@ -247,3 +247,20 @@ def best_identifiers(spark, d):
 @query("select event_id from events")
 def first_available(spark, d):
     return sinks.first_available(spark, [None, table(spark, d, "events").select("event_id"), None], "event_id long")
+
+
+@query(f"with {SCORE_SQL}, n as (select count(*) as n, count(*) filter (pha) as t, count(*) filter (not pha) as f from scores), r as (select *, case when n >= 4000 then 'strong' when n >= 300 then 'usable' when n >= 100 then 'minimal' else 'not_ready' end as band from n), m as (select *, case when n < 100 then 'not_ready' when t = 0 or f = 0 then 'minimal' else band end as learn from r) "
+       "select unnest(['overall', 'models', 'leakage', 'ranking', 'simulation', 'graph', 'reports']) as consumer, n as n_rows, unnest([band, learn, learn, band, band, learn, band]) as status from m")
+def consumer_readiness(spark, d):
+    scored = q.scores(spark, d)
+    return quality.consumers(scored, scored)
+
+
+@query("select target, n as n_rows, n >= target as available from (select count(*) as n from part) p, (values (1000), (4000)) t(target)")
+def target_availability(spark, d):
+    return quality.targets(table(spark, d, "part"))
+
+
+@query(f"with {_FOUND}, s(source) as (values (0), (1), (2)) select source, count(found.candidate) as n_new, (sum(count(found.candidate)) over (order by source))::bigint as n_so_far from s left join found using (source) group by source")
+def discovery_counts(spark, d):
+    return discovery.new_counts(_candidates(spark, d), 3)

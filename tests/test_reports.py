@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import discovery, explain, metrics, reports
+from skyledger.operators import discovery, explain, metrics, quality, reports
 from skyledger.queries import scores
 from skyledger.sources import sinks
 from tests.conftest import SF
@@ -52,3 +52,24 @@ def test_ranked_by_brute_force(spark, scale):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
     assert abs(metrics.ranked(df, ["model"]).first().roc_auc - want) < 1e-9
     assert metrics.ranked(df.where("label = 1"), ["model"]).first().roc_auc is None
+
+
+def test_readiness_of_each_use(spark):
+    rows = spark.createDataFrame([(k, k % 2 == 0, float(k), 1.0, 2.0) for k in range(350)], "id long, pha boolean, e double, a double, q double")
+    of = lambda f, s: {r.consumer: r.status for r in quality.consumers(f, s).collect()}
+    assert of(rows, rows) == {"overall": "usable", "models": "usable", "leakage": "usable", "ranking": "usable", "simulation": "usable", "graph": "usable", "reports": "usable"}
+    one = rows.withColumn("pha", F.lit(True))
+    assert of(one, one.limit(0))["models"] == of(one, one.limit(0))["graph"] == "minimal" and of(one, one.limit(0))["simulation"] == "not_ready"
+    assert of(rows.drop("q"), rows)["graph"] == "minimal" and of(rows.limit(50), rows.limit(50))["graph"] == "not_ready"
+    assert [(r.target, r.available) for r in quality.targets(rows, (10, 1000)).collect()] == [(10, True), (1000, False)]
+
+
+def test_sources_add_what_is_new(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    found = discovery.extended([discovery.from_columns(df, ["x"], "id"), discovery.from_columns(df, ["x"], "id"), discovery.seed(spark, 2)])
+    assert [(r.source, r.n_new, r.n_so_far) for r in discovery.new_counts(found, 4).orderBy("source").collect()] == [(0, 2, 2), (1, 0, 2), (2, 2, 4), (3, 0, 4)]
+
+
+def test_names_of_objects(spark):
+    df = spark.createDataFrame([("nan", "Full", "d"), (None, " ", "d"), (None, None, None)], "name string, full_name string, des string")
+    assert [r.n for r in df.select(explain.display_name(df).alias("n")).collect()] == ["Full", "d", "Unknown object"]
