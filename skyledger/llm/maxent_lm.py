@@ -21,6 +21,7 @@ up its few weights and two normalisers, in sparse numpy batches.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ PRIOR = 1.0
 MOST_WORDS = 1_000_000
 MOST_BUCKETS = 4096
 MOST_WEIGHTS = 1 << 24
+#: Class events of a task (about 40 bytes each while it sorts them).
+EVENTS = 2_000_000
 END = b""
 
 
@@ -284,7 +287,8 @@ def class_factor(found: DataFrame, lex: Lexicon, steps: int = STEPS) -> np.ndarr
     """Weights of the class factor: a row for each bucket, for each hashed skip, and the biases."""
     spark = found.sparkSession
     rows = found.where("key < 0").select("key", "part", "n")
-    parts = max(8, spark.sparkContext.defaultParallelism)
+    # A task holds and sorts its events, so their number is bounded, not that of the tasks.
+    parts = max(8, spark.sparkContext.defaultParallelism, math.ceil(rows.count() / EVENTS))
     rows = written(rows.repartition(parts, "part"), "class-events")
     weights = np.zeros((lex.buckets + SKIPS + 1, lex.n_classes))
 

@@ -14,6 +14,8 @@ from skyledger.llm.common import crc32_of
 
 #: Hash buckets of the row numbering: rows are only ever sorted within one of them.
 BUCKETS = 4096
+#: Copies of a row that are expanded at a time.
+PIECE = 65_536
 ROUNDS = 6
 #: Walks tried on any position before the loop that covers a cycle of any length.
 WALKS = 3
@@ -47,11 +49,11 @@ def row_numbers(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataF
     order = ", ".join(f"`{k}`" for k in keys)
     before = F.expr(f"coalesce(sum(_n) over (partition by _bucket order by {order} rows between unbounded preceding and 1 preceding), 0)")
     placed = rows.withColumn("_before", before).join(F.broadcast(sizes), "_bucket")
-    return placed.select(
-        *keys,
-        F.explode(F.sequence(F.col("_first") + F.col("_before"), F.col("_first") + F.col("_before") + F.col("_n") - 1)).alias("row_number"),
-        "n_rows",
-    )
+    # In two steps, so that the numbers of a row that repeats very often are never one array.
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PIECE).cast("long"))).alias("_from")
+    pieces = placed.select(*keys, (F.col("_first") + F.col("_before")).alias("_start"), "_n", "n_rows", piece)
+    last = F.least(F.col("_from") + PIECE, F.col("_n")) - 1
+    return pieces.select(*keys, F.explode(F.sequence(F.col("_start") + F.col("_from"), F.col("_start") + last)).alias("row_number"), "n_rows")
 
 
 def _sides(n: Column) -> tuple[Column, Column]:

@@ -158,7 +158,10 @@ _codecs: dict[int, Codec] = {}
 
 
 def encoded(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of each whole text: null for null, empty for empty texts. ``ids_col`` is replaced."""
+    """``docs`` with the piece ids of each whole text: null for null, empty for empty texts. ``ids_col`` is replaced.
+
+    Repeated rows stay, texts of any length are encoded whole, an empty table gives an empty one.
+    """
 
     def run(codec: Codec, texts: pa.Array) -> pa.Array:
         ids = [None if t is None else codec.encode(t) for t in texts.to_pylist()]
@@ -173,7 +176,8 @@ def encoded(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: st
 def decoded(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of each list of ids: the encoded text itself, but for U+2581 in it, which reads as a space.
 
-    Null stays null. ``text_col`` is replaced. Bytes that are no UTF-8 become replacement characters.
+    Null stays null. ``text_col`` is replaced. Bytes that are no UTF-8 become replacement characters. Repeated rows stay,
+    lists of any length are decoded whole, an empty table gives an empty one.
     """
 
     def run(codec: Codec, lists: pa.Array) -> pa.Array:

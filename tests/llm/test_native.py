@@ -35,6 +35,15 @@ def test_permutation_is_a_bijection_and_its_inverse_locates(spark):
     assert sharding.shards(spark.range(0), ["id"]).isEmpty()
 
 
+def test_a_row_that_repeats_very_often(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 100)
+    df = spark.range(1050).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text")).union(spark.createDataFrame([(1, "y" * 1_000_000), (2, None)], "doc_id int, text string"))
+    rows = sharding.documents_sharded(df, 24).collect()
+    places = {(r.shard, r.slot) for r in rows}
+    assert len(rows) == len(places) == 1052 and sorted(r.row_number for r in sharding.row_numbers(df, ["doc_id", "text"]).collect()) == list(range(1052))
+    assert {r["size"] for r in rows} == {9, 8, 1_000_008}
+
+
 def brute_licence(text, files):
     import math
     import re
