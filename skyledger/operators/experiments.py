@@ -24,6 +24,7 @@ from skyledger.functions.columns import flag, number, rule_label
 from skyledger.operators import features as fs
 from skyledger.operators import metrics
 from skyledger.operators.evidence import confidence
+from skyledger.operators.models import without_summary
 from skyledger.operators.quantiles import medians
 from skyledger.plans.shared import materialised
 
@@ -106,7 +107,7 @@ def _scores(p: Prepared, model: str, own: list[str], train: DataFrame, on: DataF
     if model == "dummy_most_frequent":  # ties go to the smaller label
         return on.withColumn("score", F.lit(float(p.size("train", 1) > p.size("train", 0))))
     pick = VectorSlicer(inputCol="all", outputCol="features", indices=[p.columns.index(c) for c in own])
-    fitted = Pipeline(stages=[pick, _estimator(model)]).fit(train)
+    fitted = without_summary(Pipeline(stages=[pick, _estimator(model)]).fit(train))
     return fitted.transform(on).withColumn("score", vector_to_array("probability")[1])
 
 

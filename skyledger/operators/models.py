@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators.evidence import confidence
@@ -24,6 +24,17 @@ def estimator(name: str, width: int):
     }[name]()
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """``model`` without its training summaries.
+
+    A summary holds the session, which can't be sent to tasks once it has observed a write, and nothing reads it.
+    """
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def predictions(df: DataFrame, model: str, features: list[str], key: str = "object_key", label: str = "label") -> DataFrame:
     """(key, label, split, model, score, predicted, confidence): trained on 75 % of each class, balanced by weights."""
     split = stratified(df.select(key, label).where(F.col(label).isNotNull()), label, key).withColumnRenamed(label, "label")
@@ -35,7 +46,7 @@ def predictions(df: DataFrame, model: str, features: list[str], key: str = "obje
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator(model, len(features))])
     train = frame.where("split = 'train'").persist()
     try:
-        fitted = pipe.fit(train)
+        fitted = without_summary(pipe.fit(train))
     finally:
         train.unpersist()
     out = fitted.transform(frame)

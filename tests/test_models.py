@@ -4,11 +4,13 @@ import random
 import statistics
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from skyledger.operators import experiments, features, graph, metrics, models, neighbours, quality, quantiles
+from skyledger.sources import sinks
 
 
 def objects(spark, n=240):
@@ -46,6 +48,7 @@ def test_grid_against_a_plain_fit(spark):
     whole["weight"] = whole.label.map(lambda y: len(train) / (2 * n[y]))
     frame = VectorAssembler(inputCols=own, outputCol="features").transform(spark.createDataFrame(whole[[*own, "object_key", "label", "split", "weight"]]))
     model = LogisticRegression(maxIter=1000, regParam=1e-4, standardization=False, weightCol="weight").fit(frame.where("split = 'train'"))
+    models.without_summary(PipelineModel([model]))
     want = {r.object_key: r.prediction for r in model.transform(frame.where("split = 'test'")).collect()}
     got = {r.object_key: r.predicted for r in run.predictions.where("model = 'logistic_regression' and prediction_mode = 'eval'").collect()}
     assert got == want
@@ -164,3 +167,12 @@ def test_propagation_by_plain_rounds(spark):
     nodes = spark.createDataFrame(list(fixed.items()), "k long, y double")
     got = models.label_propagation(nodes, spark.createDataFrame(edges, "a long, b long, similarity double"), "k", "y", tolerance=1e-5).collect()
     assert len(got) == 120 and all(abs(r.score - score[r.k]) < 1e-3 for r in got)
+
+
+def test_models_after_an_observed_write(spark, tmp_path):
+    """A session that has observed a write still sends fitted models to tasks."""
+    assert sinks.write_table(spark.range(3), str(tmp_path / "t"))["row_count"] == 3
+    df = objects(spark).select("object_key", F.col("pha").cast("int").alias("label"), "e", "a")
+    for model in ("logistic_regression", "random_forest", "mlp"):
+        assert models.predictions(df, model, ["e", "a"]).count() == 240
+        assert models.predictions(df, model, ["e", "a"]).where("score > 2").isEmpty()
