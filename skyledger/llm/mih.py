@@ -76,8 +76,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def learned(entries: DataFrame) -> dict[int, np.ndarray]:
     """Projections by number of components, from a bounded sample; vectors of other lengths get random rotations."""
-    widest = entries.agg(F.max("dim").alias("d")).first().d or 1
-    rows = entries.orderBy(F.xxhash64("vector"), "vector").limit(max(1, min(SAMPLE, SAMPLE_COMPONENTS // widest))).select("vector").collect()
+    size = entries.agg(F.max("dim").alias("widest"), F.count(F.lit(1)).alias("n")).first()
+    sample = max(1, min(SAMPLE, SAMPLE_COMPONENTS // (size.widest or 1)))
+    # Twice as many have a hash below this, so tasks send few rows that aren't in the sample.
+    below = -(1 << 63) + min((1 << 64) - 1, (2 * sample + 1000) * (1 << 64) // max(1, size.n))
+    rows = entries.where(F.xxhash64("vector") <= F.lit(below)).orderBy(F.xxhash64("vector"), "vector").limit(sample).select("vector").collect()
     found: dict[int, list] = {}
     for r in rows:
         found.setdefault(len(r.vector), []).append(r.vector)
