@@ -69,7 +69,9 @@ def built(entries: DataFrame, leaf: int = LEAF) -> Index | None:
     n = entries.count()
     if not n:
         return None
-    some = entries.orderBy(F.xxhash64("v"), "v").select("v").limit(min(PIVOTS, math.ceil(math.sqrt(n)))).collect()
+    most = min(PIVOTS, math.ceil(math.sqrt(n)))
+    below = -(1 << 63) + min((1 << 64) - 1, (2 * most + 500) * (1 << 64) // n)  # more than enough; the others stay where they are
+    some = entries.where(F.xxhash64("v") <= F.lit(below)).orderBy(F.xxhash64("v"), "v").select("v").limit(most).collect()
     pivots = np.array([r.v for r in some])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
