@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger import queries as q
 from skyledger.functions import columns as c
 from skyledger.operators import gold, metrics, orbit, score, simulate
 from skyledger.queries import QUERIES
@@ -103,3 +104,21 @@ def test_label_propagation_keeps_known(spark):
 
 def test_column_builders_keep_null(spark):
     assert spark.range(1).select(c.bounded(F.lit(None).cast("double")), c.band(F.lit(None).cast("double"))).first() == (None, "low")
+
+
+def test_a_scored_table_is_scored_anew(spark):
+    once = QUERIES["risk_scores"](spark, SF).limit(0).columns
+    whole = q.scores(spark, SF)
+    again = score.scored(whole)
+    assert sorted(again.columns) == sorted(whole.columns) and set(once) <= set(again.columns)
+    pick = lambda df: {r.object_key: (r.risk_score_0_100, r.risk_category, r.physical_risk_component) for r in df.collect()}
+    assert pick(again) == pick(whole)
+    n = whole.count()
+    runs = QUERIES["score_simulation"](spark, SF).collect()
+    assert len(runs) == n and all(r.n_simulations == q.RUNS and r.p05_score <= r.median_score <= r.p95_score for r in runs)
+    rolled = QUERIES["simulation_rollup"](spark, SF).first()
+    assert rolled.n_objects == n and abs(rolled.mean_of_means - sum(r.mean_score for r in runs) / n) < 1e-3
+    places = {}
+    for r in QUERIES["sensitivity"](spark, SF).collect():
+        places.setdefault(r.object_key, []).append(r.place)
+    assert len(places) == n and all(sorted(p) == [1, 2, 3, 4, 5] for p in places.values())
