@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -176,3 +177,28 @@ def test_models_after_an_observed_write(spark, tmp_path):
     for model in ("logistic_regression", "random_forest", "mlp"):
         assert models.predictions(df, model, ["e", "a"]).count() == 240
         assert models.predictions(df, model, ["e", "a"]).where("score > 2").isEmpty()
+
+
+def test_rows_without_clusters_visit_shelves_once(spark, monkeypatch):
+    """Without clusters nothing is ruled out: a row is sent once for each shelf, and results are those of all pairs."""
+    rng, n, k = np.random.default_rng(3), 3000, 4
+    v = rng.normal(size=(n, 16))
+    v[2990:] = v[:10]  # equal rows
+    v[2980] *= 1e200  # whose square is no number
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "k long, v array<double>")
+    monkeypatch.setattr(neighbours, "SHELF", n * (16 * 8 + 64) // 5)
+    index = neighbours.built(neighbours._entries(neighbours._points(df, "k", "v"), k + 1), 20)
+    members, tasks, visitors = neighbours._grid(index, k + 1, False)
+    assert 5 <= tasks <= 12 and len(index.parts) > 40
+    sent = visitors(index.placed.withColumn("u", F.lit(1e6))).groupBy("node").count().agg(F.max("count")).first()[0]
+    assert sent <= 6 and members.count() == index.placed.count() * (tasks // 6 if tasks % 6 == 0 else tasks // 5)
+    with np.errstate(over="ignore"):
+        far = np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in v])
+    np.fill_diagonal(far, np.nan)
+    got = {}
+    for r in neighbours.nearest(df, "k", "v", k, leaf=20).rows.orderBy("src", "place").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    for i in range(n):
+        assert got[i] == np.lexsort((np.arange(n), far[i]))[:k].tolist(), i
+    pairs = {(r.src, r.dst) for r in neighbours.within(df, "k", "v", 3.0, leaf=20).rows.collect()}
+    assert pairs == {(i, j) for i, j in zip(*np.nonzero(far <= 3.0)) if i < j}
