@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import bounded, normal, number
+from skyledger.plans.shared import spread
 
 ELEMENTS = ["a", "e", "i", "om", "w", "ma", "n"]
 # Mean motion of a 1 AU orbit in degrees and radians a day.
@@ -34,22 +39,87 @@ def elements(df: DataFrame) -> DataFrame:
     return out.withColumn("n", F.when(F.col("_n") > 0, F.col("_n")).when(F.col("_per") > 0, 360.0 / F.col("_per")).otherwise(DEGREES_A_DAY / F.pow("a", F.lit(1.5)))).drop("_n", "_per")
 
 
+def _clone(clone: Column, seed: int, key: str) -> dict[str, Column]:
+    """The elements of a clone of a row of ``elements``; clone -1 is the object itself."""
+    own, wide = clone < 0, 0.5 + 4.0 * F.col("orbital_uncertainty")
+    z = {c: F.when(~own, normal(F.col(key), F.lit(c), clone, F.lit(seed))).otherwise(0.0) for c in ELEMENTS}
+    a, n = F.greatest(F.col("a"), F.lit(0.05)), F.greatest(F.col("n"), F.lit(1e-6))
+    moved = {"a": a + F.greatest(F.lit(0.0005), a * 0.0025 * wide) * z["a"], "e": F.col("e") + 0.0015 * wide * z["e"],
+             "n": n + F.greatest(F.lit(1e-6), n * 0.0015 * wide) * z["n"],
+             **{c: F.col(c) + k * wide * z[c] for c, k in (("i", 0.04), ("om", 0.06), ("w", 0.06), ("ma", 0.08))}}
+    return {c: moved[c] for c in ELEMENTS} | {
+        "a": F.when(own, a).otherwise(F.least(F.greatest(moved["a"], F.lit(0.05)), F.lit(12.0))), "e": F.least(F.greatest(moved["e"], F.lit(0.0)), F.lit(0.98)), "n": F.greatest(moved["n"], F.lit(1e-6))
+    }
+
+
+def days(horizon: int, step: int) -> range:
+    return range(0, (max(horizon, step) + step - 1) // step * step + 1, step)
+
+
+def _flown(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``distances`` of elements (..., 7) on days t, as an array (..., days)."""
+    a, e, i, om, w, ma, n = (x[..., k, None] for k in range(len(ELEMENTS)))
+    mean = np.mod(np.radians(ma + n * t), 2.0 * np.pi)
+    at = mean.copy()
+    for _ in range(8):
+        at = at - (at - e * np.sin(at) - mean) / np.maximum(1.0 - e * np.cos(at), 1e-9)
+    px, py = a * (np.cos(at) - e), a * np.sqrt(np.maximum(0.0, 1.0 - e * e)) * np.sin(at)
+    w, om, i, earth = np.radians(w), np.radians(om), np.radians(i), EARTH_A_DAY * t
+    x1, y1 = np.cos(w) * px - np.sin(w) * py, np.sin(w) * px + np.cos(w) * py
+    dx = np.cos(om) * x1 - np.sin(om) * y1 * np.cos(i) - np.cos(earth)
+    dy = np.sin(om) * x1 + np.cos(om) * y1 * np.cos(i) - np.sin(earth)
+    dz = y1 * np.sin(i)
+    return np.sqrt(dx * dx + dy * dy + dz * dz)
+
+
+def _quantiles(x: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+    """Exact quantiles along axis 1, between two places in proportion; the shares come last."""
+    x = np.sort(x, axis=1)
+    out = []
+    for p in shares:
+        place = (x.shape[1] - 1) * p
+        low = int(place)
+        high = min(low + 1, x.shape[1] - 1)
+        out.append(x[:, low] if place == low else (high - place) * x[:, low] + (place - low) * x[:, high])
+    return np.stack(out, axis=-1)
+
+
+def _swarms(df: DataFrame, n_clones: int, horizon: int, step: int, seed: int, key: str, made: str, make: Callable) -> DataFrame:
+    """(key, orbital_uncertainty, out): ``make`` of each object's distances (objects, clones and itself first, days).
+
+    An object is one row with its clones as an array; its day grid lives only while a few objects are computed, and no
+    row of it is sorted, shuffled or spilled.
+    """
+    if n_clones < 1:
+        raise ValueError("at least one clone")
+    t = np.array(days(horizon, step))
+    base = spread(elements(df).select(key, *ELEMENTS, "orbital_uncertainty"), key)
+    swarm = F.transform(F.sequence(F.lit(-1), F.lit(n_clones - 1)), lambda k: F.array(*_clone(k, seed, key).values()))
+    wide = base.select(key, "orbital_uncertainty", F.flatten(swarm).alias("swarm"))
+    own = wide.schema[key].dataType.simpleString()
+    some = max(1, 400_000 // ((n_clones + 1) * len(t)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, n_clones + 1, len(ELEMENTS))
+                found = np.concatenate([make(_flown(x[s : s + some], t)) for s in range(0, len(x), some)])
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found[0].size, pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], [key, "orbital_uncertainty", made])
+
+    return wide.mapInArrow(run, f"`{key}` {own}, orbital_uncertainty double, {made} array<double>")
+
+
 def clones(df: DataFrame, n_clones: int, seed: int = 42, key: str = "object_key") -> DataFrame:
     """Clone -1 is the object itself; the others have noise by the object's uncertainty, hashed from key, element and clone."""
-    out = df.repartition(F.col(key)).withColumn("clone", F.explode(F.sequence(F.lit(-1), F.lit(n_clones - 1))))
-    out = out.withColumns({f"_z_{c}": F.when(F.col("clone") >= 0, normal(F.col(key), F.lit(c), F.col("clone"), F.lit(seed))).otherwise(0.0) for c in ELEMENTS} | {"_s": 0.5 + 4.0 * F.col("orbital_uncertainty")})
-    a, n = F.greatest(F.col("a"), F.lit(0.05)), F.greatest(F.col("n"), F.lit(1e-6))
-    moved = {"a": a + F.greatest(F.lit(0.0005), a * 0.0025 * F.col("_s")) * F.col("_z_a"), "e": F.col("e") + 0.0015 * F.col("_s") * F.col("_z_e"),
-             "n": n + F.greatest(F.lit(1e-6), n * 0.0015 * F.col("_s")) * F.col("_z_n"),
-             **{c: F.col(c) + k * F.col("_s") * F.col(f"_z_{c}") for c, k in (("i", 0.04), ("om", 0.06), ("w", 0.06), ("ma", 0.08))}}
-    out = out.withColumns(moved).drop("_s", *[f"_z_{c}" for c in ELEMENTS])
-    own = F.col("clone") < 0
-    return out.withColumns({"a": F.when(own, F.col("a")).otherwise(F.least(F.greatest("a", F.lit(0.05)), F.lit(12.0))), "e": F.least(F.greatest("e", F.lit(0.0)), F.lit(0.98)), "n": F.greatest("n", F.lit(1e-6))})
+    out = spread(df, key).withColumn("clone", F.explode(F.sequence(F.lit(-1), F.lit(n_clones - 1))))
+    return out.withColumns(_clone(F.col("clone"), seed, key))
 
 
 def distances(df: DataFrame, horizon: int, step: int) -> DataFrame:
     """``df`` on the day grid with the distance from a body on a circle of 1 AU. Kepler's equation by eight staged Newton steps."""
-    out = df.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit((max(horizon, step) + step - 1) // step * step), F.lit(step))))
+    out = df.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days(horizon, step)[-1]), F.lit(step))))
     out = out.withColumn("_m", F.pmod(F.radians(F.col("ma") + F.col("n") * F.col("day")), F.lit(2.0) * F.pi())).withColumn("_ea", F.col("_m"))
     for _ in range(8):
         out = out.withColumn("_ea", F.col("_ea") - (F.col("_ea") - F.col("e") * F.sin("_ea") - F.col("_m")) / F.greatest(1.0 - F.col("e") * F.cos("_ea"), F.lit(1e-9)))
@@ -68,25 +138,26 @@ def category(p05: Column, dispersion: Column, score: Column) -> Column:
 
 def scenarios(df: DataFrame, n_clones: int = 300, horizon: int = 3650, step: int = 10, seed: int = 42, key: str = "object_key") -> DataFrame:
     """Baseline and clone minima of each object: mean, p05, p50, p95, closest days, dispersion and category."""
-    grid = distances(clones(elements(df).select(key, *ELEMENTS, "orbital_uncertainty"), n_clones, seed, key), horizon, step)
-    near = grid.groupBy(key, "clone", "orbital_uncertainty").agg(F.min(F.struct("distance", "day")).alias("m"))
-    near = near.select(key, "clone", "orbital_uncertainty", F.col("m.distance").alias("d"), F.col("m.day").alias("t"), (F.col("clone") >= 0).alias("c"))
-    if_clone = lambda x: F.when(F.col("c"), F.col(x))
-    out = near.groupBy(key, "orbital_uncertainty").agg(
-        F.max(F.when(~F.col("c"), F.col("d"))).alias("baseline_distance"), F.max(F.when(~F.col("c"), F.col("t"))).alias("baseline_day"), F.avg(if_clone("d")).alias("mean_distance"),
-        F.percentile(if_clone("d"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.avg(if_clone("t")).alias("closest_mean"),
-        F.percentile(if_clone("t"), F.array(F.lit(0.05), F.lit(0.95))).alias("tq"),
-    )
-    out = out.withColumns({"p05": F.col("q")[0], "p50": F.col("q")[1], "p95": F.col("q")[2], "closest_p05": F.col("tq")[0], "closest_p95": F.col("tq")[1]}).drop("q", "tq")
+    t = np.array(days(horizon, step))
+
+    def minima(far: np.ndarray) -> np.ndarray:
+        at = far.argmin(axis=2)  # the first day of equals
+        d, day = np.take_along_axis(far, at[..., None], axis=2)[..., 0], t[at].astype(float)
+        of = [d[:, :1], day[:, :1], d[:, 1:].mean(axis=1, keepdims=True), _quantiles(d[:, 1:], (0.05, 0.5, 0.95)), day[:, 1:].mean(axis=1, keepdims=True), _quantiles(day[:, 1:], (0.05, 0.95))]
+        return np.concatenate(of, axis=1)
+
+    names = ["baseline_distance", "baseline_day", "mean_distance", "p05", "p50", "p95", "closest_mean", "closest_p05", "closest_p95"]
+    near = _swarms(df, n_clones, horizon, step, seed, key, "_near", minima)
+    out = near.select(key, "orbital_uncertainty", *[F.col("_near")[k].cast("int" if name == "baseline_day" else "double").alias(name) for k, name in enumerate(names)])
     out = out.withColumn("dispersion_index", (F.col("p95") - F.col("p05")) / F.greatest(F.abs("p50"), F.lit(1e-6)))
     return out.withColumn("scenario_category", category(F.col("p05"), F.col("dispersion_index"), F.col("orbital_uncertainty")))
 
 
 def trace(df: DataFrame, n_clones: int, horizon: int, step: int, seed: int = 42, key: str = "object_key") -> DataFrame:
     """(key, day, p05, p50, p95) of the clones' distances."""
-    grid = distances(clones(elements(df).select(key, *ELEMENTS, "orbital_uncertainty"), n_clones, seed, key), horizon, step).where("clone >= 0")
-    out = grid.groupBy(key, "day").agg(F.percentile("distance", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return out.select(key, "day", *[F.col("q")[k].alias(name) for k, name in enumerate(("p05", "p50", "p95"))])
+    found = _swarms(df, n_clones, horizon, step, seed, key, "_q", lambda far: _quantiles(far[:, 1:], (0.05, 0.5, 0.95)).reshape(len(far), -1))
+    rows = found.select(key, "_q", F.posexplode(F.array(*[F.lit(x) for x in days(horizon, step)])).alias("_k", "day"))
+    return rows.select(key, "day", *[F.col("_q")[F.col("_k") * 3 + k].alias(name) for k, name in enumerate(("p05", "p50", "p95"))])
 
 
 def summary(results: DataFrame) -> DataFrame:

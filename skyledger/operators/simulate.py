@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.columns import band, bounded, normal, number
 from skyledger.operators.score import scored
+from skyledger.plans.shared import spread
 
 LOGNORMAL = {"diameter": 0.25, "moid": 0.25, "moid_ld": 0.25, "min_close_approach_dist": 0.20, "min_close_approach_dist_min": 0.20, "sentry_ip": 0.60,
              "arc_length": 0.25, "n_obs_used": 0.25}
@@ -76,7 +77,7 @@ def simulated(df: DataFrame, n: int = 500, seed: int = 42, limit: int | None = 5
     base = df if limit is None else df.orderBy(F.desc_nulls_last("risk_score_0_100"), key).limit(limit)
     place = F.row_number().over(W.orderBy(F.desc_nulls_last("risk_score_0_100"), key)) - 1 if limit is not None else F.lit(0)
     base = base.withColumns({"_seed": F.lit(seed) + place, "base_category": F.col("risk_category"), "base_score": F.col("risk_score_0_100")})
-    base = base.repartition(F.col(key))  # the scenarios of a few best objects are made in many tasks
+    base = spread(base, key)  # the scenarios of a few best objects are made in many tasks
     runs = scored(perturbed(base, n, F.col("_seed"), key)).select(key, "base_category", "base_score", F.col("risk_score_0_100").alias("s"), "risk_category")
     q = F.percentile("s", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     out = runs.groupBy(key, "base_score", "base_category").agg(

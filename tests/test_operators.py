@@ -122,3 +122,27 @@ def test_a_scored_table_is_scored_anew(spark):
     for r in QUERIES["sensitivity"](spark, SF).collect():
         places.setdefault(r.object_key, []).append(r.place)
     assert len(places) == n and all(sorted(p) == [1, 2, 3, 4, 5] for p in places.values())
+
+
+def test_swarms_are_those_of_single_rows_and_nothing_is_sorted(spark):
+    rows = [(f"K{k}", 0.7 + 0.4 * k, 0.2 * k, 4.2 * k, 80.0 - k, 22.0 + k, 18.0 * k, str(k), 0.4) for k in range(5)] + [("none", None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "object_key string, a double, e double, i double, om double, w double, ma double, condition_code string, rms double")
+    grid = orbit.distances(orbit.clones(orbit.elements(df).select("object_key", *orbit.ELEMENTS, "orbital_uncertainty"), 7), 400, 30)
+    q = lambda x, *p: F.percentile(x, F.array(*[F.lit(v) for v in p]))
+    near = grid.groupBy("object_key", "clone").agg(F.min("distance").alias("d"), F.min_by("day", "distance").alias("t"))
+    want = {r.object_key: r for r in near.where("clone >= 0").groupBy("object_key").agg(F.avg("d").alias("m"), q("d", 0.05, 0.5, 0.95).alias("q"), F.avg("t").alias("t"), q("t", 0.05, 0.95).alias("tq")).collect()}
+    own = {r.object_key: r for r in near.where("clone < 0").collect()}
+    found = orbit.scenarios(df, 7, 400, 30)
+    trace = orbit.trace(df, 7, 400, 30)
+    for out in (found, trace):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Sort" not in plan
+    same = lambda x, y: math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)
+    got = found.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[r.object_key]
+        assert all(map(same, (r.baseline_distance, r.baseline_day, r.mean_distance, r.p05, r.p50, r.p95, r.closest_mean, r.closest_p05, r.closest_p95), (own[r.object_key].d, own[r.object_key].t, w.m, *w.q, w.t, *w.tq)))
+    by_day = {(r.object_key, r.day): r.q for r in grid.where("clone >= 0").groupBy("object_key", "day").agg(q("distance", 0.05, 0.5, 0.95).alias("q")).collect()}
+    got = trace.collect()
+    assert {(r.object_key, r.day) for r in got} == set(by_day) and all(all(map(same, (r.p05, r.p50, r.p95), by_day[r.object_key, r.day])) for r in got)
