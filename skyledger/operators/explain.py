@@ -17,7 +17,7 @@ PROTECTIVE = {"orbital_risk_component": "orbital_distance", "sentry_risk_compone
 def explained(df: DataFrame) -> DataFrame:
     """``df`` with drivers (at least 0.45, else the greatest; four at most), protective factors, limitations, a sentence and all components as text.
 
-    A column that isn't there counts as missing in every row.
+    A column that isn't there counts as missing in every row. Numbers in texts are their six places rounded, halves up.
     """
     have = lambda c: F.col(c) if c in df.columns else F.lit(None)
     parts = F.array(*[F.struct((-F.col(c)).alias("order"), F.lit(k).alias("place"), F.lit(name).alias("factor"), F.round(c, 6).alias("value")) for k, (c, name) in enumerate(DRIVERS.items())])

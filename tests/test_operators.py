@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyledger import queries as q
 from skyledger.functions import columns as c
-from skyledger.operators import gold, metrics, orbit, score, simulate
+from skyledger.operators import explain, gold, metrics, orbit, score, simulate
 from skyledger.queries import QUERIES
 from tests.conftest import SF
 
@@ -146,3 +146,15 @@ def test_swarms_are_those_of_single_rows_and_nothing_is_sorted(spark):
     by_day = {(r.object_key, r.day): r.q for r in grid.where("clone >= 0").groupBy("object_key", "day").agg(q("distance", 0.05, 0.5, 0.95).alias("q")).collect()}
     got = trace.collect()
     assert {(r.object_key, r.day) for r in got} == set(by_day) and all(all(map(same, (r.p05, r.p50, r.p95), by_day[r.object_key, r.day])) for r in got)
+
+
+def test_halves_in_texts_go_up_in_sql_too(spark, duck):
+    """0.285 is a little less as a double, so a product of doubles rounded it down."""
+    values, total = [0.285, 0.145, 0.575, 0.125, 0.065, 0.0], 45.05
+    names = dict(zip(score.DRIVERS, values))
+    df = spark.createDataFrame([(*names.values(), total, 0.5, "moderate")], ", ".join(f"{c} double" for c in names) + ", risk_score_0_100 double, feature_completeness_ratio double, risk_category string")
+    got = explain.explained(df).first()
+    ranked = ", ".join(f"{{'o': -{v}e0, 'f': '{score.DRIVERS[c]}'}}" for c, v in sorted(names.items(), key=lambda x: -x[1]))
+    (want, shown), = duck.sql(f"select {q._TEXT}, {q.half_up_sql('45.05e0', 1)} from (select [{ranked}] as ranked)").fetchall()
+    assert got.technical == want and "physical 0.29" in want and "orbital 0.15" in want
+    assert got.explanation.startswith(f"moderate priority, score {shown},") and shown == "45.1"
