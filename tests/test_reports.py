@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import discovery, explain, metrics, quality, reports
+from skyledger.operators import discovery, evidence, explain, metrics, quality, reports
 from skyledger.queries import scores
 from skyledger.sources import sinks
 from tests.conftest import SF
@@ -73,3 +73,16 @@ def test_sources_add_what_is_new(spark):
 def test_names_of_objects(spark):
     df = spark.createDataFrame([("nan", "Full", "d"), (None, " ", "d"), (None, None, None)], "name string, full_name string, des string")
     assert [r.n for r in df.select(explain.display_name(df).alias("n")).collect()] == ["Full", "d", "Unknown object"]
+
+
+def test_rows_of_one_partition_are_dealt_out(spark, tmp_path):
+    rows = [(k, m, k % 2, (k + m) % 2, "high" if k % 3 else "low", 0.5, "low", "full" if k % 4 else "eval") for k in range(400) for m in range(2)]
+    df = spark.createDataFrame(rows, "object_key int, model int, label int, predicted int, confidence string, score double, leakage_risk string, prediction_mode string").coalesce(1)
+    found, path = evidence.disagreements(df), str(tmp_path / "bundle")
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.rindex("Aggregate") < plan.rindex("Exchange")  # no aggregate below the exchange
+    assert sorted((r.object_key, r.labels, r.models) for r in found.collect()) == [(k, 2, 2) for k in range(400)]
+    assert dict(found.dtypes)["labels"] == "bigint"
+    assert sinks.write_bundle(df, path)["row_count"] == 800
+    names = spark.read.parquet(f"{path}/predictions").inputFiles()
+    assert len({x.rsplit("/part-", 1)[1][:5] for x in names}) > 1  # several tasks wrote it
