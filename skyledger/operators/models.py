@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,10 +17,14 @@ from skyledger.operators.metrics import stratified
 from skyledger.operators.quality import impute_scale
 from skyledger.plans.shared import dropped, materialised
 
+#: Rows that a task of a fit holds, unless there are fewer than that for each core.
+FIT_ROWS = 500_000
+
+
 def estimator(name: str, width: int):
     return {
         "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=1e-4, standardization=False, weightCol="weight"),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, minInstancesPerNode=2, maxDepth=8, weightCol="weight", seed=42),
+        "random_forest": lambda: RandomForestClassifier(numTrees=100, minInstancesPerNode=2, maxDepth=8, weightCol="weight", seed=42, cacheNodeIds=True),
         "gradient_boosting": lambda: GBTClassifier(maxIter=20, stepSize=0.08, weightCol="weight", seed=42),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[width, 32, 2], maxIter=200, seed=42),
     }[name]()
@@ -35,16 +41,27 @@ def without_summary(model: PipelineModel) -> PipelineModel:
     return model
 
 
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """``df`` of about ``n`` rows dealt out for a fit: a task for each core, or as many times more as ``FIT_ROWS`` asks for.
+
+    A fit reads all rows in each of its rounds, and each task makes and sends the sums of all nodes of all trees; that
+    work grows with the tasks, not with the rows, and a shuffle or a table's files are more or fewer tasks than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, math.ceil(n / (cores * FIT_ROWS))), key)
+
+
 def predictions(df: DataFrame, model: str, features: list[str], key: str = "object_key", label: str = "label") -> DataFrame:
     """(key, label, split, model, score, predicted, confidence): trained on 75 % of each class, balanced by weights."""
     split = stratified(df.select(key, label).where(F.col(label).isNotNull()), label, key).withColumnRenamed(label, "label")
-    frame = impute_scale(df, features, key).join(split, key)
+    frame = materialised(impute_scale(df, features, key).join(split, key), "frame")
     counts = frame.where("split = 'train'").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
     weights = counts.crossJoin(F.broadcast(total)).select("label", (F.col("all") / (F.col("k") * F.col("n"))).alias("weight"))
     frame = frame.join(F.broadcast(weights), "label")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator(model, len(features))])
-    train = frame.where("split = 'train'").persist()
+    train = frame.where("split = 'train'")
+    train = dealt(train, train.count(), key).persist()
     try:
         fitted = without_summary(pipe.fit(train))
     finally:

@@ -5,7 +5,7 @@ import statistics
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -179,6 +179,21 @@ def test_models_after_an_observed_write(spark, tmp_path):
         assert models.predictions(df, model, ["e", "a"]).where("score > 2").isEmpty()
 
 
+def _tasks_of_fits(monkeypatch):
+    """Tasks of the tables that pipelines are fitted to, as they come."""
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    return seen
+
+
+def test_fits_have_a_task_for_each_core(spark, monkeypatch):
+    seen, cores = _tasks_of_fits(monkeypatch), spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "FIT_ROWS", 30, raising=False)  # 240 rows: 180 to learn from
+    df = objects(spark).withColumn("label", F.col("pha").cast("int"))
+    out = models.predictions(df, "random_forest", ["e", "a"])
+    assert out.count() == 240 and seen == [cores * -(-180 // (cores * 30))]
+
+
 def test_rows_without_clusters_visit_shelves_once(spark, monkeypatch):
     """Without clusters nothing is ruled out: a row is sent once for each shelf, and results are those of all pairs."""
     rng, n, k = np.random.default_rng(3), 3000, 4
