@@ -2,8 +2,9 @@
 
 The table holds each object once, with its split, class weight and one vector of all features of all sets: missing values
 are the medians of the training rows, and columns are centred and scaled by them. A feature set is a slice of that
-vector, so no cell imputes, scales or splits anew. Cells are fitted in concurrent Spark jobs. Their predictions are one
-long table, and the metrics of all cells come from one pass over it.
+vector, so no cell imputes, scales or splits anew. The rows to learn from are dealt out over the cores once for all cells,
+which are fitted in concurrent Spark jobs, as many as can hold their rows. Their predictions are one long table, and the
+metrics of all cells come from one pass over it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from skyledger.functions.columns import flag, number, rule_label
 from skyledger.operators import features as fs
 from skyledger.operators import metrics
 from skyledger.operators.evidence import confidence
-from skyledger.operators.models import without_summary
+from skyledger.operators.models import dealt, without_summary
 from skyledger.operators.quantiles import medians
 from skyledger.plans.shared import materialised
 
@@ -33,8 +34,8 @@ MODELS = ["dummy_most_frequent", "logistic_regression", "random_forest", "hist_g
 RULE, RULE_SETS, RULE_FEATURES = "rule_based_pha", ["full_features", "definition_features_only"], ["h", "moid"]
 EVIDENCE = [("random_forest", "no_definition_features"), ("logistic_regression", "orbital_only"), ("random_forest", "orbital_only"), ("random_forest", "full_features"), ("random_forest", "definition_features_only")]
 MIN_ROWS, MIN_POSITIVE, MIN_EVIDENCE = 100, 5, 20
-#: Cells that are fitted at the same time.
-AT_ONCE = 4
+#: Cells that are fitted at the same time, and the rows that all of these may learn from (a forest holds 1 to 2 KB of each).
+AT_ONCE, ROWS_AT_ONCE = 4, 4_000_000
 CONTEXT = ["des", "risk_score_0_100", "risk_category"]
 
 
@@ -95,7 +96,7 @@ def prepared(df: DataFrame, sets: Iterable[str], key: str = "object_key", target
 def _estimator(model: str):
     return {
         "logistic_regression": lambda: LogisticRegression(maxIter=1000, regParam=1e-4, standardization=False, weightCol="weight"),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, minInstancesPerNode=2, maxDepth=8, weightCol="weight", seed=42),
+        "random_forest": lambda: RandomForestClassifier(numTrees=100, minInstancesPerNode=2, maxDepth=8, weightCol="weight", seed=42, cacheNodeIds=True),
         "hist_gradient_boosting": lambda: GBTClassifier(maxIter=100, maxDepth=4, stepSize=0.08, seed=42),
     }[model]()
 
@@ -111,11 +112,16 @@ def _scores(p: Prepared, model: str, own: list[str], train: DataFrame, on: DataF
     return fitted.transform(on).withColumn("score", vector_to_array("probability")[1])
 
 
-def _cell(p: Prepared, model: str, feature_set: str, own: list[str], modes: tuple[str, ...]) -> list[DataFrame]:
+def _learned(p: Prepared, mode: str) -> DataFrame:
+    """The rows that the cells of a mode learn from, dealt out; kept until it is unpersisted."""
+    rows, n = (p.frame.where("split = 'train'"), p.size("train")) if mode == "eval" else (p.frame, p.size())
+    return dealt(rows.select(p.key, "label", "weight", "all"), n, p.key).persist()
+
+
+def _cell(p: Prepared, model: str, feature_set: str, own: list[str], learned: dict[str, DataFrame]) -> list[DataFrame]:
     """Predictions of one cell: held-out rows by the training rows' model (eval), all rows by all rows' model (full)."""
     out = []
-    for mode in modes:
-        train = p.frame.where("split = 'train'") if mode == "eval" else p.frame
+    for mode, train in learned.items():
         on = p.frame.where("split = 'test'") if mode == "eval" else p.frame
         found = _scores(p, model, own, train, on)
         context = [c for c in CONTEXT if c in p.frame.columns]
@@ -139,7 +145,7 @@ def run(df: DataFrame, cells: list[tuple[str, str]], key: str = "object_key", ta
     spark = df.sparkSession
     p = prepared(df, dict.fromkeys(s for _, s in cells), key, target)
     blocked = "insufficient_data" if p.size() < min_rows or p.size(label=1) < min_positive else "single_class" if 0 in (p.size(label=1), p.size(label=0)) else None
-    rows, frames = [], []
+    rows, frames, learned = [], [], {mode: _learned(p, mode) for mode in modes}
 
     def one(cell: tuple[str, str]) -> tuple[tuple, list[DataFrame]]:
         model, feature_set = cell
@@ -152,14 +158,18 @@ def run(df: DataFrame, cells: list[tuple[str, str]], key: str = "object_key", ta
         if blocked or not own:
             return (model, feature_set, blocked or "skipped", *facts, None), []
         try:
-            return (model, feature_set, "success", *facts, None), _cell(p, model, feature_set, own, modes)
+            return (model, feature_set, "success", *facts, None), _cell(p, model, feature_set, own, learned)
         except Exception as error:  # a cell that can't be fitted is a result, not the end of the grid
             return (model, feature_set, "failed", *facts, str(error)[:500]), []
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        for row, found in pool.map(inheritable_thread_target(spark)(one), cells):
-            rows.append(row)
-            frames += found
+    try:
+        with ThreadPoolExecutor(max(1, min(AT_ONCE, ROWS_AT_ONCE // max(1, p.size())))) as pool:
+            for row, found in pool.map(inheritable_thread_target(spark)(one), cells):
+                rows.append(row)
+                frames += found
+    finally:
+        for train in learned.values():
+            train.unpersist()
     listed = spark.createDataFrame(rows, _RESULT)
     states = {r[2] for r in rows}
     status = states.pop() if len(states) == 1 else "partial_success" if "success" in states else "failed"

@@ -194,6 +194,13 @@ def test_fits_have_a_task_for_each_core(spark, monkeypatch):
     assert out.count() == 240 and seen == [cores * -(-180 // (cores * 30))]
 
 
+def test_cells_learn_from_rows_dealt_out_once(spark, monkeypatch):
+    seen, cores = _tasks_of_fits(monkeypatch), spark.sparkContext.defaultParallelism
+    run = experiments.run(objects(spark), [("random_forest", "orbital_only"), ("logistic_regression", "orbital_only")], modes=("eval", "full"))
+    assert run.status == "success" and seen == [cores] * 4
+    assert run.predictions.where("prediction_mode = 'full'").count() == 480
+
+
 def test_rows_without_clusters_visit_shelves_once(spark, monkeypatch):
     """Without clusters nothing is ruled out: a row is sent once for each shelf, and results are those of all pairs."""
     rng, n, k = np.random.default_rng(3), 3000, 4
