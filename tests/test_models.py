@@ -4,6 +4,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -148,6 +149,32 @@ def test_nearest_by_brute_force(spark):
     assert neighbours.within(df.where("false"), "k", "v", 1.0).rows.isEmpty()
 
 
+def test_copies_are_linked_through_one_of_them(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1), rng.gauss(0, 1), 0.0]) for i in range(120)] + [(1000 + i, [0.0, 0.0, -0.0]) for i in range(300)] + [(2000 + i, [0.0, 0.0, 0.2]) for i in range(300)]
+    rows += [(3000, None), (3001, [0.0, float("nan"), 0.0]), (3002, [9.0, 9.0, 9.0]), (2999, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    links = neighbours.linked(df, "k", "v", 0.25, leaf=20).rows
+    plain = neighbours.within(df, "k", "v", 0.25, leaf=20).rows
+    assert plain.count() > 600 * 599 // 2 and links.count() < 2000
+    want = {tuple(r) for r in graph.components(df.select("k"), graph.undirected(plain), "k").collect()}
+    assert {tuple(r) for r in graph.radius_components(df, "k", "v", 0.25).collect()} == want
+    assert neighbours.linked(df, "k", "v", -1.0).rows.isEmpty()
+
+
+def test_links_within_a_radius_are_not_held_back(monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 500)
+    node, v = np.arange(40), np.linspace(0, 0.1, 40)[:, None]
+    leaf = neighbours._Leaf(pa.table({"d": v[:, 0], "v": neighbours._lists(v), "node": node, "ids": neighbours._lists(node[:, None])}))
+    ask, sent = neighbours._Asking(node + 100, v, np.full(40, 1.0), None), []
+    for _ in range(3):
+        ask.meet(leaf, node, None, np.zeros(40))
+        sent += list(ask.sent())
+        assert not len(ask.row)
+    found = [r for b in [*sent, ask.answers()] for r in b.to_pylist()]
+    assert sum(r["id"] is not None for r in found) == sum(r["compared"] or 0 for r in found) == 3 * 1600
+
+
 def test_clustered_rows_compare_few_pairs(spark):
     n = 4000
     df = spark.createDataFrame(clusters(n, 9), "k long, v array<double>")
