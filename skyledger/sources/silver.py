@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.columns import flag
-from skyledger.sources.bronze import as_json, at, field_type, named_value, unpacked
+from skyledger.sources.bronze import as_json, at, field_type, header_rows, named_value
 
 
 def _both(name: str, stored: str | None = None) -> list[str]:
@@ -94,13 +94,15 @@ def impactors(captures: DataFrame) -> DataFrame:
 
 def approaches(captures: DataFrame) -> DataFrame:
     """A row for each row of header-and-rows captures; the body comes from the request where a row has none."""
-    rows = unpacked(captures)
-    of = lambda c, t: F.try_element_at("record", F.lit(c)).try_cast(t).alias(c)
+    if field_type(captures, "data.fields") is None or field_type(captures, "data.data") is None:
+        captures = captures.withColumn("data", F.lit(None).cast("struct<fields:array<string>,data:array<array<string>>>"))
+    rows = header_rows(captures, names=list(APPROACHES))
+    of = lambda c, t: F.get("_r", F.col(f"_at_{c}")).try_cast(t).alias(c)
     params = field_type(rows, "metadata.query_params")
     asked = F.try_element_at("metadata.query_params", F.lit("body")) if isinstance(params, T.MapType) else at(rows, "metadata.query_params.body", "string")
     columns = [F.coalesce(of(c, t), asked).alias(c) if c == "body" else of(c, t) for c, t in APPROACHES.items()]
     head = [F.coalesce(at(rows, "metadata.source", "string"), F.lit("unknown")).alias("source"), at(rows, "metadata.ingested_at_utc", "string").alias("ingested_at_utc")]
-    return rows.select(*head, *columns, of("cd", "string").alias("close_approach_datetime"), F.to_json("record").alias("raw_json"))
+    return rows.select(*head, *columns, of("cd", "string").alias("close_approach_datetime"), F.to_json(F.map_from_arrays("_f", "_r")).alias("raw_json"))
 
 
 def events(captures: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger import layer_queries
 from skyledger.operators import quality, reports
 from skyledger.plans import runs
 from skyledger.queries import predictions
@@ -105,6 +106,22 @@ def test_records_go_by_their_markers(spark, tmp_path):
     assert [(r.des, r.sigma_imp, r.energy) for r in silver.impactors(captures).collect()] == [("b", 0.5, None)]
 
 
+def test_columns_stand_where_each_header_says(spark):
+    rows = [(["cd", "x", "des"], [["d1", "1", "a"], ["d2", None, "b"], ["short"]]), (["des", "dist", "v_rel", "cd"], [["c", "0.5", "none", "d3"]]), (["des", "des"], [["e", "e"]]), (["body", "des"], [["Moon", "f"]]), (None, [["g"]]), (["des"], None)]
+    captures = spark.createDataFrame(rows, "fields array<string>, data array<array<string>>").selectExpr("named_struct('source', 's', 'query_params', map('body', 'Earth')) as metadata", "struct(fields, data) as data")
+    got = silver.approaches(captures)
+    assert {(r.des, r.cd, r.close_approach_datetime, r.dist, r.v_rel, r.body, r.raw_json) for r in got.collect()} == {
+        ("a", "d1", "d1", None, None, "Earth", '{"cd":"d1","x":"1","des":"a"}'), ("b", "d2", "d2", None, None, "Earth", '{"cd":"d2","x":null,"des":"b"}'),
+        ("c", "d3", "d3", 0.5, None, "Earth", '{"des":"c","dist":"0.5","v_rel":"none","cd":"d3"}'), ("f", None, None, None, None, "Moon", '{"body":"Moon","des":"f"}')}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(record" not in plan and plan.index("Generate explode") < plan.index("array_position")  # below it: once a capture
+
+
+def test_lines_are_dealt_out_by_part_before_they_are_grouped(spark):
+    plan = layer_queries._approach_captures(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("partial_collect_list") < plan.index("Exchange")
+
+
 def test_runs_and_their_log(spark, tmp_path):
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
     assert runs.run_all(spark, root, out)["status"] == "failed"
