@@ -70,8 +70,13 @@ _EVIDENCE = ", ".join(f"('{m}', '{s}', '{'high' if s in features.HIGH else 'low'
 select object_key, label, model, feature_set, mode as prediction_mode, leakage_risk, evidence_role, case mode when 'eval' then 'holdout_train_test_split' else 'full_labeled_dataset_after_holdout_evaluation' end as training_strategy
 from split, c, (values ('eval'), ('full')) m(mode) where mode = 'full' or split = 'test'""")
 def full_predictions(spark, d):
-    """Held-out and full predictions of the five evidence cells; scores differ between optimisers, so SQL has the rest."""
+    """Held-out and full predictions of the five evidence cells; scores differ between optimisers, so SQL has the rest.
+
+    Labelled rows that a cell can't predict (too few, or of one label) are an error, not a table without them.
+    """
     run = experiments.run(q.scores(spark, d), experiments.EVIDENCE, modes=("eval", "full"), min_rows=experiments.MIN_EVIDENCE, min_positive=1)
+    if run.lost:
+        raise ValueError(f"there are no predictions by {'; '.join(run.lost)}")
     return run.predictions.select("object_key", "label", "model", "feature_set", "prediction_mode", "leakage_risk", "evidence_role", "training_strategy")
 
 

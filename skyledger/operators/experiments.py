@@ -55,11 +55,12 @@ class Prepared:
 
 @dataclass
 class Run:
-    """results: a row for each cell; predictions: a row for each cell and object it predicts."""
+    """results: a row for each cell; predictions: a row for each cell and object it predicts; lost: cells that predict none of the labelled rows."""
 
     results: DataFrame
     predictions: DataFrame
     status: str
+    lost: list[str] = field(default_factory=list)
 
 
 def grid(sets: Iterable[str] = tuple(fs.SETS), models: Iterable[str] = tuple(MODELS)) -> list[tuple[str, str]]:
@@ -130,17 +131,17 @@ def _cell(p: Prepared, model: str, feature_set: str, own: list[str], learned: di
     return out
 
 
-_RESULT = "model string, feature_set string, status string, n_features int, missing array<string>, refused array<string>, error string"
+_RESULT = "model string, feature_set string, status string, n_features int, missing array<string>, refused array<string>"
 
 
 def run(df: DataFrame, cells: list[tuple[str, str]], key: str = "object_key", target: str = fs.TARGET, modes: tuple[str, ...] = ("eval",),
         min_rows: int = MIN_ROWS, min_positive: int = MIN_POSITIVE) -> Run:
     """Fits and evaluates every cell (model, feature set).
 
-    A cell is success, skipped (no usable feature) or failed (with its error); all are insufficient_data below
-    ``min_rows`` rows or ``min_positive`` positives, and single_class without both labels. The run's status is that of
-    its cells if they agree, else partial_success. Results hold counts, confusion, ranking metrics and recalls at
-    10, 25 and 50; those of held-out rows.
+    A cell is success or skipped (no usable feature); all are insufficient_data below ``min_rows`` rows or
+    ``min_positive`` positives, and single_class without both labels. A fit that fails ends the run with its error: a
+    grid without that cell would look whole. The run's status is that of its cells if they agree, else partial_success.
+    Results hold counts, confusion, ranking metrics and recalls at 10, 25 and 50; those of held-out rows.
     """
     spark = df.sparkSession
     p = prepared(df, dict.fromkeys(s for _, s in cells), key, target)
@@ -156,11 +157,11 @@ def run(df: DataFrame, cells: list[tuple[str, str]], key: str = "object_key", ta
             own, missing = [c for c in RULE_FEATURES if c in p.available], [c for c in RULE_FEATURES if c not in p.available]
         facts = (len(own), missing, refused)
         if blocked or not own:
-            return (model, feature_set, blocked or "skipped", *facts, None), []
+            return (model, feature_set, blocked or "skipped", *facts), []
         try:
-            return (model, feature_set, "success", *facts, None), _cell(p, model, feature_set, own, learned)
-        except Exception as error:  # a cell that can't be fitted is a result, not the end of the grid
-            return (model, feature_set, "failed", *facts, str(error)[:500]), []
+            return (model, feature_set, "success", *facts), _cell(p, model, feature_set, own, learned)
+        except Exception as error:
+            raise RuntimeError(f"{model} on {feature_set} failed: {str(error)[:500]}") from error
 
     try:
         with ThreadPoolExecutor(max(1, min(AT_ONCE, ROWS_AT_ONCE // max(1, p.size())))) as pool:
@@ -174,8 +175,9 @@ def run(df: DataFrame, cells: list[tuple[str, str]], key: str = "object_key", ta
     states = {r[2] for r in rows}
     status = states.pop() if len(states) == 1 else "partial_success" if "success" in states else "failed"
     predictions = _described(frames, p, key)
+    lost = [f"{model} on {feature_set}: {state}" for model, feature_set, state, *_ in rows if state != "success" and p.size()]
     sizes = {"n_train": p.size("train"), "n_test": p.size("test"), "test_positive": p.size("test", 1)}
-    return Run(_evaluated(listed, predictions, key).withColumns({k: F.lit(v).cast("long") for k, v in sizes.items()}), predictions, status)
+    return Run(_evaluated(listed, predictions, key).withColumns({k: F.lit(v).cast("long") for k, v in sizes.items()}), predictions, status, lost)
 
 
 def _described(frames: list[DataFrame], p: Prepared, key: str) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from skyledger import queries as q
 from skyledger.operators import experiments, features, graph, metrics, models, neighbours, quality, quantiles
+from skyledger.queries import QUERIES
 from skyledger.sources import sinks
+from tests.conftest import SF
 
 
 def objects(spark, n=240):
@@ -251,3 +254,26 @@ def test_rows_without_clusters_visit_shelves_once(spark, monkeypatch):
         assert got[i] == np.lexsort((np.arange(n), far[i]))[:k].tolist(), i
     pairs = {(r.src, r.dst) for r in neighbours.within(df, "k", "v", 3.0, leaf=20).rows.collect()}
     assert pairs == {(i, j) for i, j in zip(*np.nonzero(far <= 3.0)) if i < j}
+
+
+def test_a_cell_that_fails_ends_the_grid(spark, monkeypatch):
+    def broken(p, model, *rest):
+        if model == "logistic_regression":
+            raise MemoryError("no room")
+        return fits(p, model, *rest)
+
+    fits = experiments._scores
+    monkeypatch.setattr(experiments, "_scores", broken)
+    with pytest.raises(RuntimeError, match="logistic_regression on orbital_only failed: no room"):
+        experiments.run(objects(spark), [("dummy_most_frequent", "orbital_only"), ("logistic_regression", "orbital_only")])
+
+
+def test_rows_that_no_cell_predicts_are_an_error(spark, monkeypatch):
+    df = objects(spark)
+    for rows, says in ((df.limit(15), "random_forest on orbital_only: insufficient_data"), (df.withColumn("pha", F.lit(True)), "single_class"), (df.drop("e", "a", "q", "i"), "logistic_regression on orbital_only: skipped")):
+        monkeypatch.setattr(q, "scores", lambda *_, rows=rows: rows)
+        monkeypatch.setattr(experiments, "EVIDENCE", [(m, s) for m, s in experiments.EVIDENCE if s == "orbital_only"])
+        with pytest.raises(ValueError, match=says):
+            QUERIES["full_predictions"](spark, SF)
+    monkeypatch.setattr(q, "scores", lambda *_: df.where("false"))
+    assert QUERIES["full_predictions"](spark, SF).isEmpty()
