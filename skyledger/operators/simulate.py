@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import band, bounded, normal, number
-from skyledger.operators.score import scored
-from skyledger.plans.shared import spread
+from skyledger.functions.columns import band, bounded, number
+from skyledger.functions.hashed import bits, normals
+from skyledger.operators.score import MEASURES, scored
+from skyledger.plans.shared import dropped, materialised, small_methods, spread
 
 LOGNORMAL = {"diameter": 0.25, "moid": 0.25, "moid_ld": 0.25, "min_close_approach_dist": 0.20, "min_close_approach_dist_min": 0.20, "sentry_ip": 0.60,
              "arc_length": 0.25, "n_obs_used": 0.25}
 VARIABLES = [*LOGNORMAL, "max_close_approach_v_rel", "sentry_ps_cum", "h", "condition_code", "rms"]
+#: Scenarios that a task makes at most; it sorts their scores by object.
+TASK_SCENARIOS = 1_000_000
 
 
 def scale(variable: str, v: Column) -> Column:
@@ -26,25 +31,28 @@ def scale(variable: str, v: Column) -> Column:
 def perturbed(df: DataFrame, n: int = 1000, seed: Column | int = 42, key: str = "object_key") -> DataFrame:
     """``n`` scenarios of each row (simulation_index from 0), bounded, with derived features made anew.
 
-    Noise is hashed from (key, variable, scenario, seed): the same in any partitioning. Null values stay null.
+    Noise is hashed from (key, variable, scenario, seed): the same in any partitioning. Null values stay null, and
+    nothing is hashed for them.
     """
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    out = df.withColumn("simulation_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     own = [v for v in VARIABLES if v in df.columns]
-    out = out.withColumns({f"_z_{v}": normal(F.col(key), F.lit(v), F.col("simulation_index"), seed) for v in own})
+    if not own:
+        return refreshed(df.withColumn("simulation_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
+    whole = df.withColumns({v: number(v) for v in own})
+    out = normals(whole, own, n, F.col(key), seed, bits([F.col(v).isNotNull() for v in own]), "simulation_index", "_z")
     made = {}
-    for v in own:
-        x, z = number(v), F.col(f"_z_{v}")
+    for k, v in enumerate(own):
+        x, z = F.col(v), F.col("_z")[k]
         noisy = F.when(x > 0, x * F.exp(scale(v, x) * z)).otherwise(x + F.greatest(scale(v, x), F.lit(0.01)) * z) if v in LOGNORMAL else x + scale(v, x) * z
         made[v] = noisy
-    out = out.withColumns(made).drop(*[f"_z_{v}" for v in own])
+    out = out.withColumns(made).drop("_z")
     low = {v: F.when(F.col(v).isNotNull(), F.greatest(F.col(v), F.lit(0.0))) for v in own if v not in ("sentry_ps_cum", "h", "sentry_ip", "condition_code")}
     if "sentry_ip" in own:
         low["sentry_ip"] = bounded(F.col("sentry_ip"))
     if "condition_code" in own:
-        low["condition_code"] = F.when(F.col("condition_code").isNotNull(), F.least(F.greatest(F.bround("condition_code"), F.lit(0.0)), F.lit(9.0)))
+        low["condition_code"] = F.when(F.col("condition_code").isNotNull(), F.least(F.greatest(F.rint("condition_code") + 0.0, F.lit(0.0)), F.lit(9.0)))
     if "n_obs_used" in own:
-        low["n_obs_used"] = F.when(F.col("n_obs_used").isNotNull(), F.greatest(F.bround("n_obs_used"), F.lit(0.0)))
+        low["n_obs_used"] = F.when(F.col("n_obs_used").isNotNull(), F.greatest(F.rint("n_obs_used") + 0.0, F.lit(0.0)))
     return refreshed(out.withColumns(low))
 
 
@@ -77,14 +85,19 @@ def simulated(df: DataFrame, n: int = 500, seed: int = 42, limit: int | None = 5
     base = df if limit is None else df.orderBy(F.desc_nulls_last("risk_score_0_100"), key).limit(limit)
     place = F.row_number().over(W.orderBy(F.desc_nulls_last("risk_score_0_100"), key)) - 1 if limit is not None else F.lit(0)
     base = base.withColumns({"_seed": F.lit(seed) + place, "base_category": F.col("risk_category"), "base_score": F.col("risk_score_0_100")})
-    base = spread(base, key)  # the scenarios of a few best objects are made in many tasks
-    runs = scored(perturbed(base, n, F.col("_seed"), key)).select(key, "base_category", "base_score", F.col("risk_score_0_100").alias("s"), "risk_category")
+    used = [c for c in base.columns if c in {*MEASURES, *VARIABLES, "sentry_flag"} and c != key]
+    base = materialised(base.select(key, *used, "_seed", "base_category", "base_score"), "simulated")
+    dealt = spread(base, key, math.ceil(base.count() * n / TASK_SCENARIOS))  # the scenarios of a few best objects are made in many tasks
+    runs = scored(perturbed(dealt, n, F.col("_seed"), key)).select(key, "base_category", "base_score", F.col("risk_score_0_100").alias("s"), "risk_category")
     q = F.percentile("s", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     out = runs.groupBy(key, "base_score", "base_category").agg(
         F.count(F.lit(1)).alias("n_simulations"), F.avg("s").alias("mean_score"), F.stddev_pop("s").alias("std_score"), F.min("s").alias("min_score"), q.alias("q"),
         F.max("s").alias("max_score"), F.avg((F.col("s") > 60).cast("double")).alias("probability_high"), F.avg((F.col("s") > 80).cast("double")).alias("probability_critical"),
         F.avg((F.col("risk_category") != F.col("base_category")).cast("double")).alias("category_shift_probability"),
     )
+    with small_methods(df.sparkSession):
+        out = materialised(out, "simulations")
+    dropped(base)
     names = ["p05_score", "p25_score", "median_score", "p75_score", "p95_score"]
     out = out.withColumns({name: F.col("q")[k] for k, name in enumerate(names)}).drop("q")
     return out.withColumns({"p95_category": band(F.col("p95_score")), "stability": stability(F.col("category_shift_probability"), F.col("std_score"))})

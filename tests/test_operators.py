@@ -158,3 +158,32 @@ def test_halves_in_texts_go_up_in_sql_too(spark, duck):
     (want, shown), = duck.sql(f"select {q._TEXT}, {q.half_up_sql('45.05e0', 1)} from (select [{ranked}] as ranked)").fetchall()
     assert got.technical == want and "physical 0.29" in want and "orbital 0.15" in want
     assert got.explanation.startswith(f"moderate priority, score {shown},") and shown == "45.1"
+
+
+def test_noise_is_that_of_columns(spark):
+    """Numbers hashed in batches are those of ``normal``: for runs of scenarios, long keys and null ones, seeds by row, nulls among values."""
+    keys = ["a", "é", "k" * 45, "k" * 60, "x" * 130, None, "2000001", "2000002"]
+    df = spark.createDataFrame([(k, 20.0 + i, None if i % 3 == 0 else 0.02 * i, 40 + i % 2 if i else None) for i, k in enumerate(keys)], "object_key string, h double, moid double, s int")
+    out = simulate.perturbed(df, 60, F.col("s"))
+    z = lambda v: c.normal(F.col("object_key"), F.lit(v), F.col("simulation_index"), F.col("s"))
+    base = df.withColumnsRenamed({"h": "h0", "moid": "moid0"}).withColumnRenamed("object_key", "k0").drop("s")
+    rows = out.withColumns({"zh": z("h"), "zm": z("moid")}).join(base, F.col("object_key").eqNullSafe(F.col("k0"))).collect()
+    assert len(rows) == 60 * len(keys) and {r.simulation_index for r in rows} == set(range(60))
+    for r in rows:
+        assert math.isclose(r.h, r.h0 + 0.3 * r.zh, abs_tol=1e-12)
+        assert r.moid is None if r.moid0 is None else math.isclose(r.moid, r.moid0 * math.exp(0.25 * r.zm), abs_tol=1e-12)
+
+
+def test_scenarios_are_dealt_out_and_run_compiled(spark, monkeypatch):
+    """A few objects stand for much work: their scenarios are made in tasks of a bounded number, in methods that the JVM compiles."""
+    limit, seen, write, tasks, spread = "spark.sql.codegen.hugeMethodLimit", [], simulate.materialised, [], simulate.spread
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(simulate, "materialised", lambda df, name: seen.append(spark.conf.get(limit)) or write(df, name))
+    monkeypatch.setattr(simulate, "spread", lambda *a: tasks.append(spread(*a).rdd.getNumPartitions()) or spread(*a))
+    monkeypatch.setattr(simulate, "TASK_SCENARIOS", 1000)
+    out = simulate.simulated(q.scores(spark, SF), 50, limit=None)
+    assert seen == [before, "8000"] and spark.conf.get(limit) == before
+    assert tasks == [200 * 50 // 1000]
+    assert out.count() == 200 and {r.n_simulations for r in out.collect()} == {50}
+    best = simulate.simulated(q.scores(spark, SF), 60, limit=5)
+    assert best.count() == 5 and best.agg(F.min("n_simulations")).first()[0] == 60
