@@ -187,3 +187,9 @@ def test_scenarios_are_dealt_out_and_run_compiled(spark, monkeypatch):
     assert out.count() == 200 and {r.n_simulations for r in out.collect()} == {50}
     best = simulate.simulated(q.scores(spark, SF), 60, limit=5)
     assert best.count() == 5 and best.agg(F.min("n_simulations")).first()[0] == 60
+
+
+def test_a_rollup_reads_summaries(spark):
+    """The scenarios are made once, when the query is built; what it returns is a sum over written summaries."""
+    rolled = QUERIES["simulation_rollup"](spark, SF)
+    assert "Generate" not in rolled._jdf.queryExecution().optimizedPlan().toString() and rolled.first().n_objects == 200
